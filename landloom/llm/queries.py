@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from landloom.llm import idfile, packing, tokens
+from landloom.llm import idfile, mixing, packing, tokens
 from landloom.llm.common import read_table
 
 #: Tokenizer of the token operators.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Weights that the sources take in turn.
+MIX_WEIGHTS = [3, 1, 2]
+
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), TOKENIZER, limit=2048)
@@ -22,13 +25,17 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_file_digest(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=1, max_len=2048)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_bit_packed_ids, op10_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op4_bit_packed_ids, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.mix_sql(MIX_WEIGHTS)}
