@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from landloom.llm import idfile, mixing, packing, tokens
+from landloom.llm import idfile, mixing, packing, simhash, tokens, toxicity
 from landloom.llm.common import read_table
 
 #: Tokenizer of the token operators.
@@ -25,6 +25,14 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_file_digest(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), distance=2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -34,7 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_bit_packed_ids, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op3_token_counts, op4_bit_packed_ids, op6_simhash_dedup, op7_toxicity, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

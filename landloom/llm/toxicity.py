@@ -17,41 +17,54 @@ from pyspark.sql import types as T
 
 from landloom.llm.common import fresh_name, text_chunks, with_columns_of
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 7)
 HASH_BITS = 20
 #: Labelled rows that the classifier is fitted on, at most.
 TRAIN_ROWS = 6_000
 #: n-grams with the largest chi-square statistics that the classifier uses.
-FEATURES = 30_000
+FEATURES = 8_000
 THRESHOLD = 0.3
 _STEP_BYTES = 2 << 20
 _PAD = " " * max(ORDERS)
 
 
-def hashed_grams(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Hash and text number of every n-gram, in steps of some texts.
+def hashed_grams(text: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Hashes of the n-grams that begin at each character, in steps of some texts.
 
-    Yields first row, number of rows, hashes and text numbers within the step.
-    Texts are lower-cased, every white space counts as a space, and a space
-    stands on both sides.
+    Yields the first row, the end of each text among the characters of the step,
+    whether n-grams that begin at a character count, and an array of hashes for
+    each order.  Texts are lower-cased, every white space counts as a space, and
+    spaces stand on both sides.
     """
     for row, part in text_chunks(text, _STEP_BYTES):
         low = [" " + t.lower() for t in part.to_numpy(zero_copy_only=False).tolist()]
-        sizes = np.fromiter(map(len, low), np.int64, len(low))
+        ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + len(_PAD))
         chars = np.frombuffer((_PAD.join(low) + _PAD).encode("utf-32-le", "surrogatepass"), "<u4")
-        chars = np.where((chars >= 9) & (chars <= 13), np.uint32(32), chars).astype(np.uint64)
-        ends = np.cumsum(sizes + len(_PAD))
+        chars = np.where((chars >= 9) & (chars <= 13), np.uint32(32), chars)
         inside = np.ones(len(chars), bool)
         for k in range(len(_PAD)):
             inside[ends - 1 - k] = False
-        owner = np.repeat(np.arange(len(low), dtype=np.int32), sizes)
         h, hashes = chars, []
         for n in range(2, max(ORDERS) + 1):
-            h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :]
+            h = h[:-1] * np.uint32(0x9E3779B1) + chars[n - 1 :]
             if n in ORDERS:
-                mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                hashes.append((mixed >> np.uint64(64 - HASH_BITS)).astype(np.int32)[inside[: len(h)]])
-        yield row, len(low), np.concatenate(hashes), np.concatenate([owner] * len(hashes))
+                mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+                hashes.append((mixed >> np.uint32(32 - HASH_BITS)).astype(np.int32))
+        yield row, ends, inside, hashes
+
+
+def occurring(text: pa.Array, used: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, text numbers and hashes of the distinct n-grams of each text.
+
+    With ``used`` only hashes that it marks.
+    """
+    for row, ends, inside, hashes in hashed_grams(text):
+        found = []
+        for h in hashes:
+            at = np.flatnonzero(inside[: len(h)] if used is None else used[h] & inside[: len(h)])
+            found.append((np.searchsorted(ends, at, side="right") << HASH_BITS) | h[at])
+        found = np.unique(np.concatenate(found))
+        yield row, found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
 
 
 @dataclass
@@ -67,20 +80,19 @@ class Model:
         used, weight = np.zeros(1 << HASH_BITS, bool), np.zeros(1 << HASH_BITS)
         used[self.hashes], weight[self.hashes] = True, self.weights
         out = np.full(len(text), self.bias)
-        for row, n, hashes, owner in hashed_grams(text):
-            hit = np.flatnonzero(used[hashes])
-            found = np.unique((owner[hit].astype(np.int64) << HASH_BITS) | hashes[hit])
-            out[row : row + n] += np.bincount(found >> HASH_BITS, weight[found & ((1 << HASH_BITS) - 1)], n)
+        for row, doc, gram in occurring(text, used):
+            sums = np.bincount(doc, weight[gram])
+            out[row : row + len(sums)] += sums
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(text: pa.Array, label: np.ndarray, features: int = FEATURES, steps: int = 300, penalty: float = 1e-4) -> Model:
+def fit(text: pa.Array, label: np.ndarray, features: int = FEATURES, steps: int = 250, penalty: float = 1e-4) -> Model:
     """Fit on texts and labels 0 or 1; a constant score if a class is missing."""
     n, n1 = len(label), int(label.sum())
     if n1 in (0, n):
         return Model(float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -20.0, np.empty(0, np.int32), np.empty(0))
-    found = np.concatenate([np.unique(((owner.astype(np.int64) + row) << HASH_BITS) | hashes) for row, _, hashes, owner in hashed_grams(text)])
-    doc, gram = found >> HASH_BITS, found & ((1 << HASH_BITS) - 1)
+    steps_of = [(doc + row, gram) for row, doc, gram in occurring(text)]
+    doc, gram = (np.concatenate(x) for x in zip(*steps_of, strict=True))
     in1 = np.bincount(gram[label[doc] == 1], minlength=1 << HASH_BITS).astype(float)
     in_all = np.bincount(gram, minlength=1 << HASH_BITS).astype(float)
     expected = in_all * n1 / n
@@ -100,7 +112,7 @@ def fit(text: pa.Array, label: np.ndarray, features: int = FEATURES, steps: int
         slope = (p - label) / n
         g = np.append(np.bincount(col, value * slope[doc], len(w)) + penalty * w, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        move = 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     return Model(b, chosen.astype(np.int32), w * ratio)
 
