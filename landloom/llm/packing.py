@@ -19,7 +19,7 @@ from landloom.llm.common import written
 from landloom.llm.tokens import crc32, encoded, encoder
 
 #: Pieces of one length that one task ranks.
-RANK_ROWS = 20_000
+RANK_ROWS = 1_000
 
 
 def pack_histogram(counts: dict[int, int], max_len: int) -> list[tuple[int, list[int]]]:
