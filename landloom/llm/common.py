@@ -47,11 +47,15 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+def written(df: DataFrame, tag: str, compression: str = "uncompressed") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage.
+
+    Tables of ids and numbers gain little from compression, whose codecs hold
+    native memory for each column of each file; tables with texts should ask for it.
+    """
     spark = df.sparkSession
     path = new_dir(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from landloom.llm import idfile, mixing, packing, simhash, tokens, toxicity
+from landloom.llm import embeddings, html, idfile, mixing, packing, quality, simhash, tokens, toxicity
 from landloom.llm.common import read_table
 
 #: Tokenizer of the token operators.
@@ -17,6 +17,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIX_WEIGHTS = [3, 1, 2]
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read_table(spark, sf_dir, "documents"), TOKENIZER, limit=2048)
 
@@ -25,6 +29,10 @@ def op4_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfile.id_file_digest(read_table(spark, sf_dir, "documents"), TOKENIZER, end_id=2)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), distance=2)
 
@@ -33,6 +41,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -42,8 +54,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_bit_packed_ids, op6_simhash_dedup, op7_toxicity, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_bit_packed_ids, op5_html_text, op6_simhash_dedup, op7_toxicity, op8_embedding_dedup, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.mix_sql(MIX_WEIGHTS)}
+    return {"op8_embedding_dedup": embeddings.near_vectors_sql(0.98), "op9_mixing": mixing.mix_sql(MIX_WEIGHTS)}

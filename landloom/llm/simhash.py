@@ -225,7 +225,7 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text
     If rows repeat that id, the one with the least hash of its text stays.
     """
     fp, row, comp = (fresh_name(docs.columns, c) for c in ("fp", "row", "component_id"))
-    marked = written(fingerprinted(docs, text_col, fp), "simhash-rows")
+    marked = written(fingerprinted(docs, text_col, fp), "simhash-rows", "zstd")
     parts = component_of(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), distance).select(F.col("fp").alias(f"{fp}_"), F.col("component_id").alias(comp))
     first = marked.join(parts, F.col(fp) == F.col(f"{fp}_")).filter(F.col(id_col).eqNullSafe(F.col(comp)))
     best = first.groupBy(id_col, F.when(F.col(id_col).isNull(), F.col(fp))).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias(row))
