@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from landloom.llm import embeddings, html, idfile, mixing, packing, quality, simhash, tokens, toxicity
+from landloom.llm import embeddings, html, idfile, mixing, packing, quality, simhash, tokens, toxicity, warc
 from landloom.llm.common import read_table
 
 #: Tokenizer of the token operators.
@@ -17,6 +17,11 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 MIX_WEIGHTS = [3, 1, 2]
 
 
+def op1_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = warc.records(read_table(spark, sf_dir, "pages"))
+    return warc.audit(kept, warc.damaged(kept))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -54,8 +59,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_counts, op4_bit_packed_ids, op5_html_text, op6_simhash_dedup, op7_toxicity, op8_embedding_dedup, op9_mixing, op10_packing)}
+    return {f.__name__: f for f in (op1_warc_audit, op2_quality_rules, op3_token_counts, op4_bit_packed_ids, op5_html_text, op6_simhash_dedup, op7_toxicity, op8_embedding_dedup, op9_mixing, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": embeddings.near_vectors_sql(0.98), "op9_mixing": mixing.mix_sql(MIX_WEIGHTS)}
+    return {"op1_warc_audit": warc.AUDIT_SQL, "op8_embedding_dedup": embeddings.near_vectors_sql(0.98), "op9_mixing": mixing.mix_sql(MIX_WEIGHTS)}
