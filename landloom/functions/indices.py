@@ -92,3 +92,6 @@ def all_indices() -> dict[str, Column]:
             strict=True,
         )
     )
+
+#: Number of each index's operator.
+INDEX_NAMES_TO_IDS = {name: f"{k:02d}" for k, name in enumerate(INDEX_NAMES, start=1)}
