@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 
 from landloom.functions.names import class_name
 
-FROM, TO = F.col("c1"), F.col("c2")
+
+def old() -> Column:
+    return F.col("c1")
+
+
+def new() -> Column:
+    return F.col("c2")
+
 
 # Focus maps and the label of each.
 FOCUS = {
@@ -28,12 +35,12 @@ FOCUS = {
 
 def valid() -> Column:
     """Both classes are among the ten."""
-    return F.coalesce(FROM.between(1, 10) & TO.between(1, 10), F.lit(False))
+    return F.coalesce(old().between(1, 10) & new().between(1, 10), F.lit(False))
 
 
 def changed() -> Column:
     """Both classes are valid and differ."""
-    return valid() & (FROM != TO)
+    return valid() & (old() != new())
 
 
 def both_years(pixels: DataFrame, year1: int = 2017, year2: int = 2024) -> DataFrame:
@@ -52,36 +59,36 @@ def pairwise_uncertainty(pixels: DataFrame) -> DataFrame:
 def focus_flags() -> dict[str, Column]:
     """Six flags of a changed pixel, which may overlap."""
     rules = [
-        TO.isin(1, 3),
-        TO == 2,
-        TO.isin(5, 6) | (TO == 4) & (FROM != 6),
-        (TO == 8) | (TO == 7) & (FROM != 8),
-        (TO == 9) | (TO == 5) & (FROM != 9),
-        (FROM == 9) | (FROM == 5) & (TO != 9),
+        new().isin(1, 3),
+        new() == 2,
+        new().isin(5, 6) | (new() == 4) & (old() != 6),
+        (new() == 8) | (new() == 7) & (old() != 8),
+        (new() == 9) | (new() == 5) & (old() != 9),
+        (old() == 9) | (old() == 5) & (new() != 9),
     ]
     return {k: F.coalesce(changed() & r, F.lit(False)) for k, r in zip(FOCUS, rules, strict=True)}
 
 
 def display_code(flag: Column) -> Column:
     """0 unchanged, 1 in focus, 2 other change, null for nodata."""
-    return F.when(~valid(), F.lit(None)).when(FROM == TO, 0).when(flag, 1).otherwise(2)
+    return F.when(~valid(), F.lit(None)).when(old() == new(), 0).when(flag, 1).otherwise(2)
 
 
 def change_group() -> Column:
     """P25: one group of a pixel by priority; 0 unchanged, 7 other, null for nodata."""
-    lost = (FROM == 9) | (FROM == 5) & ~TO.isin(5, 9)
-    made = TO.isin(5, 6) | (TO == 4) & (FROM != 6)
+    lost = (old() == 9) | (old() == 5) & ~new().isin(5, 9)
+    made = new().isin(5, 6) | (new() == 4) & (old() != 6)
     return (
-        F.when(~valid(), F.lit(None)).when(FROM == TO, 0).when(TO.isin(1, 3), 1).when(TO == 2, 2).when(TO.isin(7, 8), 4).when(TO == 9, 5).when(lost, 6).when(made, 3).otherwise(7)
+        F.when(~valid(), F.lit(None)).when(old() == new(), 0).when(new().isin(1, 3), 1).when(new() == 2, 2).when(new().isin(7, 8), 4).when(new() == 9, 5).when(lost, 6).when(made, 3).otherwise(7)
     )
 
 
 def reciprocal(kind: str) -> tuple[Column, Column]:
     """The two opposite categories of ``ecology`` or ``water``."""
     if kind == "ecology":
-        first, second = (FROM == 9) | (FROM == 5) & (TO != 9), (TO == 9) | (TO == 5) & (FROM != 9)
+        first, second = (old() == 9) | (old() == 5) & (new() != 9), (new() == 9) | (new() == 5) & (old() != 9)
     else:
-        first, second = (TO == 8) | (TO == 7) & (FROM != 8), (FROM == 8) | (FROM == 7) & (TO != 8)
+        first, second = (new() == 8) | (new() == 7) & (old() != 8), (old() == 8) | (old() == 7) & (new() != 8)
     return changed() & first, changed() & second
 
 
@@ -89,7 +96,7 @@ def reciprocal_category(kind: str) -> Column:
     """0 unchanged, 1 or 2 for the opposite categories, 3 other change; a pixel in both raises."""
     first, second = reciprocal(kind)
     clash = F.raise_error(F.lit("a pixel is in both categories")).cast("int")
-    return F.when(~valid(), F.lit(None)).when(FROM == TO, 0).when(first & second, clash).when(first, 1).when(second, 2).otherwise(3)
+    return F.when(~valid(), F.lit(None)).when(old() == new(), 0).when(first & second, clash).when(first, 1).when(second, 2).otherwise(3)
 
 
 def scoped(pixels: DataFrame, aggs: list[Column], by: list[str] = ()) -> DataFrame:
@@ -112,7 +119,7 @@ def transition_matrix(pixels: DataFrame) -> DataFrame:
     n = scoped(pixels.filter(valid()), [F.count("*").alias("n")], ["c1", "c2"])
     scopes = scoped(pixels, [F.count("*").alias("_n")]).select("scope")
     full = skeleton(scopes, ("c1", 10), ("c2", 10)).join(n, ["scope", "c1", "c2"], "left")
-    return full.select("scope", "c1", "c2", F.coalesce("n", F.lit(0)).alias("n"), (FROM != TO).alias("changed"))
+    return full.select("scope", "c1", "c2", F.coalesce("n", F.lit(0)).alias("n"), (old() != new()).alias("changed"))
 
 
 def transition_shares(pixels: DataFrame) -> DataFrame:
@@ -127,7 +134,7 @@ def transition_shares(pixels: DataFrame) -> DataFrame:
 
 def class_areas(pixels: DataFrame, pixel_m2: float = 100.0) -> DataFrame:
     """Pixels and area per scope, year and class, zero-filled."""
-    long = pixels.select("zone", F.explode(F.array(F.struct(F.lit(2017).alias("year"), FROM.alias("class_id")), F.struct(F.lit(2024).alias("year"), TO.alias("class_id")))).alias("x")).select("zone", "x.*")
+    long = pixels.select("zone", F.explode(F.array(F.struct(F.lit(2017).alias("year"), old().alias("class_id")), F.struct(F.lit(2024).alias("year"), new().alias("class_id")))).alias("x")).select("zone", "x.*")
     n = scoped(long.filter(F.col("class_id").between(1, 10)), [F.count("*").alias("n")], ["year", "class_id"])
     years = scoped(long, [F.count("*").alias("_n")], ["year"]).select("scope", "year")
     full = skeleton(years, ("class_id", 10)).join(n, ["scope", "year", "class_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -143,7 +150,7 @@ def change_summary(pixels: DataFrame, pixel_m2: float = 100.0) -> DataFrame:
 def uncertainty_summary(pixels: DataFrame) -> DataFrame:
     """Mean uncertainties per scope, of each year, both, and of changed and unchanged pixels."""
     p = pairwise_uncertainty(pixels)
-    parts = {"u1": (valid(), "u1"), "u2": (valid(), "u2"), "pair_mean": (valid(), "u_mean"), "pair_max": (valid(), "u_max"), "changed": (changed(), "u_mean"), "unchanged": (valid() & (FROM == TO), "u_mean")}
+    parts = {"u1": (valid(), "u1"), "u2": (valid(), "u2"), "pair_mean": (valid(), "u_mean"), "pair_max": (valid(), "u_max"), "changed": (changed(), "u_mean"), "unchanged": (valid() & (old() == new()), "u_mean")}
     aggs = [f(F.when(w, F.col(c))).alias(f"{n}_{k}") for k, (w, c) in parts.items() for n, f in (("avg", F.avg), ("n", F.count))]
     return scoped(p, aggs)
 
@@ -192,7 +199,7 @@ def reciprocal_statistics(pixels: DataFrame, kind: str) -> DataFrame:
 
 def code_counts(pixels: DataFrame) -> DataFrame:
     """Pixels per transition code."""
-    return pixels.filter(valid()).groupBy((FROM * 100 + TO).alias("code")).agg(F.count("*").alias("n"))
+    return pixels.filter(valid()).groupBy((old() * 100 + new()).alias("code")).agg(F.count("*").alias("n"))
 
 
 def top_changes(pixels: DataFrame, n: int) -> DataFrame:
@@ -203,8 +210,8 @@ def top_changes(pixels: DataFrame, n: int) -> DataFrame:
 def preview_class(pixels: DataFrame, n: int = 9) -> DataFrame:
     """0 unchanged, 1 other change, else 1 + rank of a top code."""
     top = top_changes(pixels, n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "code"))).select("code", "rank")  # n rows
-    out = pixels.filter(valid()).withColumn("code", FROM * 100 + TO).join(F.broadcast(top), "code", "left")
-    return out.withColumn("preview", F.when(FROM == TO, 0).when(F.col("rank").isNull(), 1).otherwise(F.col("rank") + 1)).drop("rank")
+    out = pixels.filter(valid()).withColumn("code", old() * 100 + new()).join(F.broadcast(top), "code", "left")
+    return out.withColumn("preview", F.when(old() == new(), 0).when(F.col("rank").isNull(), 1).otherwise(F.col("rank") + 1)).drop("rank")
 
 
 def window_counts(pixels: DataFrame, size: int) -> DataFrame:
