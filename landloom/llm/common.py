@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step inside a task works on.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 #: ASCII white space, which separates words everywhere in this package.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,7 @@ def text_chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         stop = max(row + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield row, text.slice(row, stop - row)
         base, row = int(ends[stop - 1]), stop
+        pa.default_memory_pool().release_unused()
 
 
 def split_long(text: str, limit: int) -> Iterator[str]:

@@ -213,9 +213,11 @@ def distance2(x: list[str] = X):
     return sum((gap[i] * gap[j] * F.col(f"v{i}_{j}") * (1 if i == j else 2) for i, j in CELLS), F.lit(0.0))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimates(rows: DataFrame, groups: DataFrame, steps: int = STEPS) -> DataFrame:
     """MCD estimate of each group, one row per group; ``rows`` has grp, bucket and ``X``.
 
+    ``groups`` has the number of buckets of each group; estimates are repeated
+    for each bucket and meet the rows by it, so no join gathers a large group.
     Buckets of about ``BUCKET_ROWS`` rows are estimated on their own, and their
     means start the group.  Each step over all rows then takes the half nearest
     to the estimate, by a quantile of the distances, and sums it up: map-side
@@ -229,14 +231,20 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         n = len(pdf)
         return pd.DataFrame([[key[0], n, *(n * m), *(n * s[i, j] for i, j in CELLS)]])
 
+    buckets = groups.select("grp", "buckets").distinct()
+
+    def met(estimate: DataFrame) -> DataFrame:
+        spread = estimate.join(buckets, "grp").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
+        return rows.join(spread, ["grp", "bucket"])
+
     names = ["n", *(f"s{k}" for k in range(P)), *(f"s{i}_{j}" for i, j in CELLS)]
     starts = rows.groupBy("grp", "bucket").applyInPandas(first, "grp string, " + ", ".join(f"{c} double" for c in names))
     now = written(_inverted(starts.groupBy("grp").agg(*(F.sum(c).alias(c) for c in names))), "mcd")
     for _ in range(steps):
-        seen = rows.join(now, "grp").withColumn("d2", distance2())
-        half = written(seen.groupBy("grp").agg(F.percentile_approx("d2", 0.5, 10_000).alias("half")), "mcd-half")
-        now = written(_inverted(_moments(seen.join(half, "grp"), F.col("d2") <= F.col("half"))), "mcd")
-    spread = rows.join(now, "grp").groupBy("grp").agg(F.greatest(F.percentile_approx(distance2(), 0.5, 10_000) / chi2_quantile(0.5, P), F.lit(1.0)).alias("scale"))
+        half = met(now).groupBy("grp").agg(F.percentile_approx(distance2(), 0.5, 10_000).alias("half"))
+        cut = written(now.join(half, "grp"), "mcd-half")
+        now = written(_inverted(_moments(met(cut), distance2() <= F.col("half"))), "mcd")
+    spread = met(now).groupBy("grp").agg(F.greatest(F.percentile_approx(distance2(), 0.5, 10_000) / chi2_quantile(0.5, P), F.lit(1.0)).alias("scale"))
     return written(now.join(spread, "grp"), "mcd")
 
 
@@ -264,7 +272,7 @@ def judged(rows: DataFrame, tail: float, names: list[str], seed_cols: list[str],
     fit = keyed.filter(~failed).select("gkey", "lkey", F.xxhash64(*seed_cols).alias("h"), *(F.col(a).alias(b) for a, b in zip(x, X, strict=True)))
     groups = grouped(fit)
     dealt = written(fit.join(groups, "gkey").select("grp", F.pmod("h", "buckets").cast("int").alias("bucket"), *X), "vectors")
-    of = written(groups.select("gkey", "grp").join(estimates(dealt), "grp").drop("grp"), "estimates")
+    of = written(groups.select("gkey", "grp").join(estimates(dealt, groups), "grp").drop("grp"), "estimates")
     seen = keyed.join(of, "gkey", "left")
     near = distance2(x) / F.col("scale") <= F.lit(chi2_quantile(1 - tail, P))
     return seen.withColumn("d2", distance2(x) / F.col("scale")).withColumn("kept", ~failed & F.coalesce(near, F.lit(True)))
