@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 from landloom.llm.common import per_batch, split_long, text_chunks, word_codes
 
 #: Words, and parts of words, kept between batches in each Python worker.
-CACHED_WORDS, CACHED_PARTS = 150_000, 600_000
+CACHED_WORDS, CACHED_PARTS = 50_000, 250_000
 
 #: Texts above this many characters are encoded piece by piece.
 LONG_CHARS = 4 << 20

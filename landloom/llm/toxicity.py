@@ -20,11 +20,11 @@ from landloom.llm.common import fresh_name, text_chunks, with_columns_of
 ORDERS = (4, 5, 7)
 HASH_BITS = 20
 #: Labelled rows that the classifier is fitted on, at most.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 5_000
 #: n-grams with the largest chi-square statistics that the classifier uses.
 FEATURES = 8_000
 THRESHOLD = 0.3
-_STEP_BYTES = 2 << 20
+_STEP_BYTES = 1 << 20
 _PAD = " " * max(ORDERS)
 
 
@@ -91,20 +91,20 @@ def fit(text: pa.Array, label: np.ndarray, features: int = FEATURES, steps: int
     n, n1 = len(label), int(label.sum())
     if n1 in (0, n):
         return Model(float(np.log((n1 + 0.5) / (n - n1 + 0.5))) if n else -20.0, np.empty(0, np.int32), np.empty(0))
-    steps_of = [(doc + row, gram) for row, doc, gram in occurring(text)]
-    doc, gram = (np.concatenate(x) for x in zip(*steps_of, strict=True))
-    in1 = np.bincount(gram[label[doc] == 1], minlength=1 << HASH_BITS).astype(float)
-    in_all = np.bincount(gram, minlength=1 << HASH_BITS).astype(float)
+    in1, in_all = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
+    for row, doc, gram in occurring(text):  # counts only, so that memory is that of a step
+        in_all += np.bincount(gram, minlength=1 << HASH_BITS)
+        in1 += np.bincount(gram[label[doc + row] == 1], minlength=1 << HASH_BITS)
     expected = in_all * n1 / n
     chi2 = np.where((in_all >= 3) & (in_all < n), (in1 - expected) ** 2 / np.maximum(expected * (1 - n1 / n), 1e-9), 0)
     chosen = np.sort(np.argsort(-chi2, kind="stable")[:features])
     chosen = chosen[chi2[chosen] > 0]
     in0 = in_all - in1
     ratio = (np.log((in1 + 1) / (n1 + 2)) - np.log((in0 + 1) / (n - n1 + 2)))[chosen]
-    place = np.full(1 << HASH_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[gram] >= 0
-    doc, col = doc[keep], place[gram[keep]]
+    place, used = np.zeros(1 << HASH_BITS, np.int32), np.zeros(1 << HASH_BITS, bool)
+    place[chosen], used[chosen] = np.arange(len(chosen)), True
+    found = [((doc + row).astype(np.int32), place[gram]) for row, doc, gram in occurring(text, used)]
+    doc, col = (np.concatenate(x) for x in zip(*found, strict=True))
     value, w, b = ratio[col], np.zeros(len(chosen)), float(np.log(n1 / (n - n1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, steps + 1):  # Adam on all rows
@@ -138,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.hashes.tolist()], pa.list_(pa.int32())), pa.array([model.weights.tolist()], pa.list_(pa.float64()))], ["bias", "hashes", "weights"])
 
     out = joined.select("_text", "_label").coalesce(1).mapInArrow(run, "bias double, hashes array<int>, weights array<double>").collect()
+    if not out:  # an empty table has no task that could fit
+        return fit(pa.array([], pa.large_string()), np.empty(0, int))
     return Model(out[0][0], np.array(out[0][1], np.int32), np.array(out[0][2], float))
 
 
