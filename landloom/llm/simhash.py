@@ -194,15 +194,20 @@ def links(nodes: DataFrame, distance: int = 2, bucket_rows: int = BUCKET_ROWS) -
     return found.unionByName(stars)
 
 
+def roots_of(docs: DataFrame, distance: int) -> DataFrame:
+    """(fp, least, root) of every fingerprint: its least doc_id, and the least fingerprint that links reach."""
+    nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    roots = connected_components(links(nodes, distance))
+    return written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def component_of(docs: DataFrame, distance: int = 2) -> DataFrame:
     """(fp, component_id) of every fingerprint in ``docs`` (doc_id, fp).
 
     Equal fingerprints are one node.  component_id is the least doc_id that a
     chain of links reaches; null if all of them are null.
     """
-    nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    roots = connected_components(links(nodes, distance))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = roots_of(docs, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     return written(rooted.join(least, F.col("root").bitwiseXOR(F.lit(1)) == F.col("r").bitwiseXOR(F.lit(1))).select("fp", "component_id"), "components")
 
@@ -224,9 +229,12 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text
 
     If rows repeat that id, the one with the least hash of its text stays.
     """
-    fp, row, comp = (fresh_name(docs.columns, c) for c in ("fp", "row", "component_id"))
-    marked = written(fingerprinted(docs, text_col, fp), "simhash-rows", "zstd")
-    parts = component_of(marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp")), distance).select(F.col("fp").alias(f"{fp}_"), F.col("component_id").alias(comp))
-    first = marked.join(parts, F.col(fp) == F.col(f"{fp}_")).filter(F.col(id_col).eqNullSafe(F.col(comp)))
-    best = first.groupBy(id_col, F.when(F.col(id_col).isNull(), F.col(fp))).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias(row))
-    return best.select(f"{row}.*")
+    fp, key, h = (fresh_name(docs.columns, c) for c in ("fp", "key", "hash"))
+    keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), h: F.xxhash64(text_col)})
+    marked = written(fingerprinted(keyed, text_col, fp), "simhash-rows", "zstd")
+    narrow = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("_k"), F.col(h).alias("_h"))
+    parts = roots_of(narrow, distance)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_k"))
+    best = narrow.join(parts, "fp").groupBy("root").agg(first.alias("x")).select(F.col("x._k").alias(key), F.col("x._h").alias(h))
+    # the texts are shuffled once: rows that repeat a key lie together after the join
+    return marked.join(best, [key, h], "left_semi").dropDuplicates([key, h]).select(*docs.columns)
