@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from landloom.llm.common import n_words, written
 
 #: Rows of one source that one task sorts.
-SORT_ROWS = 10_000
+SORT_ROWS = 1_000
 
 
 def quality_weight(text, size) -> F.Column:
