@@ -117,9 +117,10 @@ def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk
     """
     rows = dealt(classes, spaces, dims)
     keys = ["grp", "block", "slab"]
-    sizes = rows.groupBy(*keys).count().select(*keys, F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks"))
+    sizes = written(rows.groupBy(*keys).count().select(*keys, F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")), "slabs")
     rows = rows.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).select("node", "times", "unit", "home", "chunk", *keys, "low", "high")
+    rows = rows.repartition(*keys, "low", "high")  # else the chunks of a slab would stay in one task
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block, across = int(key[1]), key[3] != key[4]
