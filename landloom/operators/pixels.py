@@ -58,6 +58,11 @@ def two_way_split(u, val: float) -> Column:
     return F.when(u < val, "val").otherwise("train")
 
 
+def valid_shares(val, test) -> Column:
+    """The same rule as a column."""
+    return (val >= 0) & (test >= 0) & (val + test < 1)
+
+
 def check_shares(val: float, test: float) -> None:
     """Shares of a split are not negative and leave some for training."""
     if val < 0 or test < 0 or val + test >= 1:

@@ -96,3 +96,8 @@ def v10_sample_replay(spark, d):
 @query()
 def m10_balanced_draw(spark, d):
     return S.balanced_draw(table(spark, d, "ae_pixels").select("sample_id", "class_id"), 42, ["sample_id"])
+
+
+@query("SELECT s_suppkey, s_acctbal >= 0 AND s_acctbal / 10000 + 0.25::DOUBLE < 1 AS valid FROM {supplier}")
+def v09_valid_shares(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", P.valid_shares(F.col("s_acctbal") / 10000, F.lit(0.25)).alias("valid"))
