@@ -21,9 +21,12 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are never part of an article.
 DROPPED = frozenset("nav footer aside form dialog menu button select option fieldset head object canvas audio video map".split())
 #: Words in class, id or role that mark an element as no part of an article.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr notice popup modal overlay footer masthead comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget skip complementary contentinfo search".split())
-#: Words that mark a container of an article whatever else is in its names.
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal footer masthead topbar comment comments disqus reply replies respond share sharing related recommended newsletter subscribe subscription signup login pagination pager complementary contentinfo".split())
+#: Words that do so unless a word of ``GOOD`` stands beside them.
+WEAK_MARKS = frozenset("alert banner notice overlay search side skip social sponsor toolbar widget".split())
 GOOD = frozenset("article body content entry main post story text".split())
+#: Words that turn a mark around, as in "no-sidebar" or "has-comments".
+TURNS = frozenset("has no with without".split())
 #: An end or start of the second kind of element closes an open one of the first.
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 FENCES = frozenset("ul ol dl table body html article section div".split())
@@ -59,7 +62,9 @@ def dropped_by_names(tag: str, rest: str, in_article: bool) -> bool:
     if "=" not in rest or tag in ("html", "body", "article", "main"):
         return False
     words = {w.lower() for m in _NAMES.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")}
-    return bool(words & MARKS) and not words & GOOD
+    if words & TURNS:
+        return False
+    return bool(words & MARKS) or bool(words & WEAK_MARKS) and not words & GOOD or "header" in words and not in_article and not words & GOOD
 
 
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
@@ -150,7 +155,8 @@ def main_text(page: str | None) -> str:
             containers[id(e)] = e
             points /= 2
     if not containers:
-        return ""
+        bare = re.sub(r"(?i)</?form\b[^>]*>", "", page or "")
+        return main_text(bare) if bare != (page or "") else ""  # some pages are one form
     worth = {k: e.score * (1 - e.density()) * (2 if e.tag in ("article", "main") else 1) for k, e in containers.items()}
     best = containers[max(worth, key=worth.__getitem__)]
     kept = [best]
