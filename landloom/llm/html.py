@@ -139,7 +139,7 @@ def main_text(page: str | None) -> str:
     characters; its container gets them, each further ancestor half of what the
     one below got.  Containers lose the share of their text that is in links;
     article and main elements count double.  A sibling is kept if it has a
-    fifth of the best score, or holds running text.  Blocks of a list that is
+    fifth of the best score, or holds running text.  Blocks of a list or box that is
     links for the most part are left out.
     """
     blocks = blocks_of(page or "")
@@ -169,7 +169,7 @@ def main_text(page: str | None) -> str:
             kept.append(sibling)
 
     def menu(owner: Element) -> bool:
-        return any(e.tag in ("ul", "ol", "dl", "table") and e.density() > 0.6 for e in (owner, *owner.ancestors()))
+        return any(e.tag in ("ul", "ol", "dl", "table", "div", "section") and e.density() > 0.6 for e in (owner, *owner.ancestors()))
 
     return " ".join(words for owner, words, _ in blocks if any(owner.inside(k) for k in kept) and not menu(owner))
 
