@@ -197,13 +197,12 @@ def _inverted(sums: DataFrame) -> DataFrame:
     return sums.mapInPandas(run, "grp string, " + ", ".join(f"{c} double" for c in names))
 
 
-def _moments(rows: DataFrame, weight=None) -> DataFrame:
-    """Per group: n and the sums of x and x x, of all rows or of those with ``weight``."""
-    keep = (lambda c: c) if weight is None else (lambda c: F.when(weight, c))
+def _moments(rows: DataFrame) -> DataFrame:
+    """Per group: n and the sums of x and x x."""
     return rows.groupBy("grp").agg(
-        F.count(keep(F.lit(1))).alias("n"),
-        *(F.sum(keep(F.col(X[k]))).alias(f"s{k}") for k in range(P)),
-        *(F.sum(keep(F.col(X[i]) * F.col(X[j]))).alias(f"s{i}_{j}") for i, j in CELLS),
+        F.count("*").alias("n"),
+        *(F.sum(X[k]).alias(f"s{k}") for k in range(P)),
+        *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"s{i}_{j}") for i, j in CELLS),
     )
 
 
@@ -243,7 +242,7 @@ def estimates(rows: DataFrame, groups: DataFrame, steps: int = STEPS) -> DataFra
     for _ in range(steps):
         half = met(now).groupBy("grp").agg(F.percentile_approx(distance2(), 0.5, 10_000).alias("half"))
         cut = written(now.join(half, "grp"), "mcd-half")
-        now = written(_inverted(_moments(met(cut), distance2() <= F.col("half"))), "mcd")
+        now = written(_inverted(_moments(met(cut).filter(distance2() <= F.col("half")))), "mcd")
     spread = met(now).groupBy("grp").agg(F.greatest(F.percentile_approx(distance2(), 0.5, 10_000) / chi2_quantile(0.5, P), F.lit(1.0)).alias("scale"))
     return written(now.join(spread, "grp"), "mcd")
 
