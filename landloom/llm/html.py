@@ -19,28 +19,40 @@ RAW = frozenset("script style noscript template iframe textarea title svg".split
 #: Elements whose text is not split from what surrounds it.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: Elements that are never part of an article.
-DROPPED = frozenset("nav footer aside form dialog menu button select option fieldset head object canvas audio video map".split())
-#: Words in class, id or role that mark an element as no part of an article.
+DROPPED = frozenset("nav footer aside dialog menu button select option fieldset head object canvas audio video map".split())
+#: Words in class, id or role that mark an element as no part of an article, unless it holds most of the page's text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal footer masthead topbar comment comments disqus reply replies respond share sharing related recommended newsletter subscribe subscription signup login pagination pager complementary contentinfo".split())
 #: Words that do so unless a word of ``GOOD`` stands beside them.
 WEAK_MARKS = frozenset("alert banner notice overlay search side skip social sponsor toolbar widget".split())
 GOOD = frozenset("article body content entry main post story text".split())
+#: Marks of what may hold most of a page's text and still be no article.
+TALK = frozenset("comment comments consent cookie cookies disqus gdpr replies reply respond".split())
 #: Words that turn a mark around, as in "no-sidebar" or "has-comments".
 TURNS = frozenset("has no with without".split())
 #: An end or start of the second kind of element closes an open one of the first.
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 FENCES = frozenset("ul ol dl table body html article section div".split())
 MAX_POINTS = 3.0
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that go with an article beside them, and boxes that may be menus.
+BESIDE = frozenset("ul ol dl pre table blockquote figure".split())
+BOXES = frozenset("ul ol dl table div section".split())
+#: Characters of a running paragraph, and of all that a marked element without other signs of an article must have.
+RUNNING, MUCH = 80, 200
 
 
 class Element:
     """An element with the lengths of its text and of the text in its links."""
 
-    __slots__ = ("chars", "dropped", "links", "parent", "score", "tag")
+    __slots__ = ("chars", "dropped", "good", "links", "mark", "near", "parent", "prose", "running", "score", "tag", "title")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Element | None, mark: str = "", good: bool = False):
+        self.tag, self.parent, self.mark, self.good = tag, parent, mark, good
+        self.dropped = mark == "dropped" or parent is not None and parent.dropped
+        #: The innermost marked element around this one, or itself.
+        self.near: Element | None = self if mark else parent and parent.near
         self.score, self.chars, self.links = 0.0, 0, 0
+        self.prose, self.running, self.title = 0, 0, False
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -51,25 +63,40 @@ class Element:
             yield at
             at = at.parent
 
+    def marks(self) -> Iterator[Element]:
+        """Marked elements around this one, itself included."""
+        at = self.near
+        while at is not None:
+            yield at
+            at = at.parent and at.parent.near
+
     def inside(self, other: Element) -> bool:
         return self is other or any(a is other for a in self.ancestors())
 
 
-def dropped_by_names(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element's tag or names say that it is no part of an article."""
+def mark_of(tag: str, rest: str, in_article: bool) -> tuple[str, bool]:
+    """What an element's tag and names say: "dropped", a kind of mark or nothing, and whether they name an article.
+
+    A marked element is left out unless ``released`` finds that it holds the article.
+    """
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if "=" not in rest or tag in ("html", "body", "article", "main"):
-        return False
-    words = {w.lower() for m in _NAMES.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")}
+        return "dropped", False
+    words = {w.lower() for m in _NAMES.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if "=" in rest else set()
+    good = bool(words & GOOD)
+    if tag == "form":
+        return "form", good
+    if tag in ("html", "body", "article", "main"):
+        return "", tag in ("article", "main")
     if words & TURNS:
-        return False
-    return bool(words & MARKS) or bool(words & WEAK_MARKS) and not words & GOOD or "header" in words and not in_article and not words & GOOD
+        return "", good
+    if words & MARKS or words & WEAK_MARKS and not good or "header" in words and not in_article and not good:
+        return "talk" if words & TALK else "mark", good
+    return "", good
 
 
-def blocks_of(page: str) -> list[tuple[Element, str, int]]:
-    """Text blocks of a page in order: element, text and characters inside links."""
-    root = Element("html", None, False)
+def blocks_of(page: str) -> list[tuple[Element, str, int, Element]]:
+    """Text blocks of a page in order: element, text, characters inside links and innermost element."""
+    root = Element("html", None)
     stack, blocks, text, links, in_link, at = [root], [], [], 0, 0, 0
 
     def close_block() -> None:
@@ -78,7 +105,7 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             words = " ".join(entities.unescape("".join(text)).split())
             if words and not stack[-1].dropped:
                 owner = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-                blocks.append((owner, words, min(links, len(words))))
+                blocks.append((owner, words, min(links, len(words)), stack[-1]))
             text.clear()
         links = 0
 
@@ -126,23 +153,100 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
             continue
         parent = stack[-1]
         in_article = any(e.tag in ("article", "main") for e in stack)
-        stack.append(Element(tag, parent, parent.dropped or dropped_by_names(tag, rest, in_article)))
+        stack.append(Element(tag, parent, *mark_of(tag, rest, in_article)))
         in_link += tag == "a"
     close_block()
     return blocks
 
 
+def released(blocks: list[tuple[Element, str, int, Element]]) -> set[int]:
+    """Ids of the marked elements that stay because they hold the page's article.
+
+    Such an element holds over half of the page's text outside links, and is
+    named as an article, or holds a main heading or an element that is one with
+    as much text; or it holds three quarters of the text in running paragraphs.
+    Without a good name of its own it goes if an article stands beside it.
+    """
+    total, seen = 0, {}
+    for owner, words, linked, _ in blocks:
+        prose = len(words) - linked if linked * 2 < len(words) else 0
+        total += prose
+        for e in (owner, *owner.ancestors()):
+            e.prose += prose
+            e.running += prose if prose >= RUNNING else 0
+            e.title |= owner.tag == "h1"
+            seen[id(e)] = e
+    marked = {id(m): m for *_, inner in blocks for m in inner.marks()}
+    named = [e for e in seen.values() if e.good and not e.mark and e.prose]
+    out = set()
+    for k, m in marked.items():
+        if m.prose * 2 <= total:
+            continue
+        holds = m.title or any(e.prose * 2 > total and e.inside(m) for e in named)
+        rival = any(e.tag in ("article", "main") and not e.inside(m) and not m.inside(e) for e in named)
+        if m.good and (m.mark != "talk" or not rival) or not rival and (holds or m.mark != "talk" and m.prose * 4 > total * 3 and m.running >= MUCH):
+            out.add(k)
+    return out
+
+
+def beside(best: Element, kept: set[int], blocks: list[tuple[Element, str, int]]) -> set[int]:
+    """Places of the blocks that go with the kept children of one parent.
+
+    These are what stands between kept children, headings before them with
+    what lies between, and lists and the like behind them.
+    """
+    units: list[tuple[Element | None, list[int]]] = []  # children of the parent in order; its own text has no element
+    for at, (owner, _, _) in enumerate(blocks):
+        child = next((e for e in (owner, *owner.ancestors()) if e.parent is best.parent), None)
+        if child is None and owner is not best.parent:
+            continue
+        if units and child is not None and units[-1][0] is child:
+            units[-1][1].append(at)
+        else:
+            units.append((child, [at]))
+
+    def share(unit: tuple[Element | None, list[int]]) -> float:
+        return sum(blocks[k][2] for k in unit[1]) / sum(len(blocks[k][1]) for k in unit[1])
+
+    def heading(unit: tuple[Element | None, list[int]]) -> bool:
+        return all(blocks[k][0].tag in HEADINGS for k in unit[1])
+
+    held = [k for k, (child, _) in enumerate(units) if child is not None and id(child) in kept]
+    first, last = held[0], held[-1]
+    chosen = {k for k in range(first, last) if share(units[k]) <= 0.6}
+    start = k = first
+    while k and share(units[k - 1]) < 0.25:
+        k -= 1
+        if heading(units[k]):
+            start = k
+            if any(blocks[i][0].tag == "h1" for i in units[k][1]):
+                break
+    chosen |= set(range(start, first))
+    k, waiting = last + 1, []
+    while k < len(units) and share(units[k]) < 0.25 and (heading(units[k]) or units[k][0] is not None and units[k][0].tag in BESIDE):
+        waiting.append(k)
+        if not heading(units[k]):
+            chosen |= set(waiting)
+        k += 1
+    return {at for k in chosen for at in units[k][1]}
+
+
 def main_text(page: str | None) -> str:
     """Text of the best container of a page and of its siblings that go with it.
 
     A block gives 1 point, 1 for each comma and up to 3 for each hundred
     characters; its container gets them, each further ancestor half of what the
     one below got.  Containers lose the share of their text that is in links;
-    article and main elements count double.  A sibling is kept if it has a
-    fifth of the best score, or holds running text.  Blocks of a list or box that is
-    links for the most part are left out.
+    article and main elements count double, those in a marked element half.
+    A sibling is kept if it has a fifth of the best score, or holds running
+    text, or stands between or beside such blocks as headings and lists do.
+    Lists and boxes inside the container that are links for the most part are
+    left out, unless running text goes before them, and after them or a heading
+    leads them in.
     """
-    blocks = blocks_of(page or "")
+    every = blocks_of(page or "")
+    stay = released(every) if any(inner.near for *_, inner in every) else set()
+    blocks = [(owner, words, linked) for owner, words, linked, inner in every if all(id(m) in stay for m in inner.marks())]
     containers: dict[int, Element] = {}
     for owner, words, linked in blocks:
         points = 1.0 + sum(map(words.count, ",،、，")) + min(len(words) / 100, MAX_POINTS)
@@ -157,21 +261,53 @@ def main_text(page: str | None) -> str:
     if not containers:
         bare = re.sub(r"(?i)</?form\b[^>]*>", "", page or "")
         return main_text(bare) if bare != (page or "") else ""  # some pages are one form
-    worth = {k: e.score * (1 - e.density()) * (2 if e.tag in ("article", "main") else 1) for k, e in containers.items()}
+
+    def weight(e: Element) -> float:
+        return (2 if e.tag in ("article", "main") else 1) * (0.5 if any(m.mark != "form" and not m.good for m in e.marks()) else 1)
+
+    worth = {k: e.score * (1 - e.density()) * weight(e) for k, e in containers.items()}
     best = containers[max(worth, key=worth.__getitem__)]
-    kept = [best]
+    kept = {id(best)}
     for owner, _, _ in blocks:
         line = [owner, *owner.ancestors()]
         sibling = next((e for e in line if e.parent is best.parent), None)
-        if best.parent is None or sibling is None or any(sibling is k for k in kept):
+        if best.parent is None or sibling is None or id(sibling) in kept:
             continue
         if worth.get(id(sibling), 0) >= worth[id(best)] / 5 or sibling.tag == "p" and sibling.chars > 80 and sibling.density() < 0.25:
-            kept.append(sibling)
+            kept.add(id(sibling))
+    more = beside(best, kept, blocks) if best.parent is not None else set()
+    in_kept = [next((e for e in (owner, *owner.ancestors()) if id(e) in kept), None) for owner, _, _ in blocks]
+
+    spans: dict[int, list[int]] = {}
+    running = [0]  # running blocks before each block
+    for at, (owner, words, linked) in enumerate(blocks):
+        running.append(running[-1] + (owner.tag not in HEADINGS and linked * 2 < len(words) and len(words) - linked >= RUNNING / 2))
+        for e in (owner, *owner.ancestors()):
+            spans.setdefault(id(e), [at, at])[1] = at
 
-    def menu(owner: Element) -> bool:
-        return any(e.tag in ("ul", "ol", "dl", "table", "div", "section") and e.density() > 0.6 for e in (owner, *owner.ancestors()))
+    def in_text(box: Element) -> bool:
+        first, last = spans[id(box)]
+        begin, end = spans[id(box.parent)]
+        if running[first] == running[begin]:
+            return False
+        lead = next((at for at in (first, first - 1) if blocks[at][0].tag in HEADINGS), None)
+        if lead is not None:
+            return not {w.lower() for w in _WORDS.findall(blocks[lead][1])} & MARKS
+        return running[end + 1] > running[last + 1]
+
+    known: dict[int, bool] = {}
+
+    def menu(owner: Element, top: Element | None) -> bool:
+        line = [owner, *owner.ancestors()]
+        below = line[: next((k for k, e in enumerate(line) if e is top or top is None and e is best.parent), len(line))]
+        box = next((e for e in reversed(below) if e.tag in BOXES and e.density() > 0.6), None)
+        if box is None:
+            return False
+        if id(box) not in known:
+            known[id(box)] = not in_text(box)
+        return known[id(box)]
 
-    return " ".join(words for owner, words, _ in blocks if any(owner.inside(k) for k in kept) and not menu(owner))
+    return " ".join(words for at, (owner, words, _) in enumerate(blocks) if (in_kept[at] is not None or at in more) and not menu(owner, in_kept[at]))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

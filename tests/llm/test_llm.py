@@ -169,6 +169,48 @@ def test_html(spark, sf):
     assert html.main_texts(empty(pages)).count() == 0
 
 
+LONG = [f"Sentence {k} of the article tells a long story, with commas, about rivers and the fields beside them, as it was." for k in range(10)]
+PARAGRAPHS, ARTICLE = "".join(f"<p>{x}</p>" for x in LONG), " ".join(LONG)
+REFERENCES = "".join(f"<li><a href=r{k}>Reference number {k} with a title</a></li>" for k in range(40))
+HOME = "<ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul>"
+
+
+@pytest.mark.parametrize("names", ["content sidebar-right", "entry ad-free", "layout nav-open", "page share", "post comments-open"])
+def test_marks_on_the_article_do_not_drop_it(names):
+    assert html.main_text(f"<body><nav>{HOME}</nav><div class='{names}'>{PARAGRAPHS}</div><div class=sidebar><p>Other text.</p></div></body>") == ARTICLE
+    assert html.main_text(f"<body><div class='{names}'><div class=sidebar>{HOME}<p>Other text.</p></div><div>{PARAGRAPHS}</div></div></body>") == ARTICLE
+
+
+def test_html_marked_boxes_stay_out():
+    short = "<p>A short article, with few words.</p>"
+    for box in (f"<div class=comments>{PARAGRAPHS}</div>", f"<div class=comment-body>{PARAGRAPHS}</div>", f"<div class=related>{PARAGRAPHS}</div>", f"<form>{PARAGRAPHS}</form>"):
+        assert html.main_text(f"<body><article>{short}</article>{box}</body>") == "A short article, with few words."
+    assert html.main_text(f"<body><div class=post>{short}</div><div class=comments>{PARAGRAPHS}</div></body>") == "A short article, with few words."
+    assert html.main_text("<body><div class=post><p>Few words.</p></div><div class=ad>More words than there are in the article.</div></body>") == "Few words."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=post>{PARAGRAPHS}<h2>Sources</h2><ol>{REFERENCES}</ol></div>", ARTICLE + " Sources " + " ".join(f"Reference number {k} with a title" for k in range(40))),
+        (f"<div class=post>{PARAGRAPHS}<table><tr><td><a href=x>Linked cell of a table</a></td></tr></table><p>{LONG[0]}</p></div>", f"{ARTICLE} Linked cell of a table {LONG[0]}"),
+        (f"<div class=post>{HOME}{PARAGRAPHS}{HOME}</div>", ARTICLE),
+        (f"<div class=post>{PARAGRAPHS}<h3>Related</h3>{HOME}</div>", ARTICLE + " Related"),
+        (f"<div class=post><h1>T</h1><div class=body>{PARAGRAPHS}</div></div>", "T " + ARTICLE),
+        (f"<div class=post><h1>T</h1><p>By me</p><div class=body>{PARAGRAPHS}</div><ul><li>one<li>two</ul><pre>x = 1</pre></div>", f"T By me {ARTICLE} one two x = 1"),
+        (f"<div class=post><div>{PARAGRAPHS}</div><h2>Middle</h2><ul><li>one</ul><div>Short.</div><div>{PARAGRAPHS}</div></div>", f"{ARTICLE} Middle one Short. {ARTICLE}"),
+        (f"<body><form id=aspnetForm><nav>{HOME}</nav><div>{PARAGRAPHS}</div></form><div>Rights reserved</div></body>", ARTICLE),
+    ],
+)
+def test_html_keeps_what_goes_with_the_article(page, want):
+    assert html.main_text(page) == want
+
+
+def test_html_article_of_links():
+    text = html.main_text("<body><div class=post>" + "".join(f"<p><a href={k}>A linked headline, number {k}</a> seen</p>" for k in range(9)) + "</div></body>")
+    assert text == " ".join(f"A linked headline, number {k} seen" for k in range(9))
+
+
 def plain_fingerprint(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
