@@ -40,9 +40,14 @@ def s04_csv_round_trip(spark, d):
 
 @query("SELECT s_suppkey, s_acctbal FROM {supplier}")
 def s05_run_summaries(spark, d):
-    at = folder(spark)
-    table(spark, d, "supplier").select("s_suppkey", "s_acctbal").write.json(at)
-    return spark.read.schema("s_suppkey long, s_acctbal double").json(at)
+    at, run = folder(spark), F.expr("s_suppkey div 50")
+    summary = F.to_json(F.collect_list(F.struct("s_suppkey", "s_acctbal")), {"pretty": "true"})
+    # one file of many lines per run, and a broken one
+    table(spark, d, "supplier").groupBy(run.alias("run")).agg(summary.alias("value")).write.partitionBy("run").text(at)
+    spark.createDataFrame([('[{"s_suppkey": 1, "s_acctbal":',)], "value string").coalesce(1).write.text(f"{at}/run=broken")
+    found = T.read_summaries(spark, f"{at}/run=*")
+    named = F.regexp_extract("path", "run=([^/]+)/", 1)
+    return found.filter(named == run.cast("string")).select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM {orders}")

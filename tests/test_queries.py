@@ -49,3 +49,16 @@ def test_matches_sql(spark, duck, sf, name):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
 def test_runs(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
+
+
+def test_run_summaries_are_read_from_files(spark, sf, monkeypatch):
+    from landloom.sources import tables
+
+    read, seen = tables.read_summaries, []
+    monkeypatch.setattr(tables, "read_summaries", lambda s, at: seen.append((at, read(s, at))) or seen[-1][1])
+    n = Q.QUERIES["s05_run_summaries"](spark, f"{sf}").count()
+    (at, found), = seen
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(at).select("path").collect()
+    assert any("run=broken" in r.path for r in files) and all(r.path.startswith("file:") for r in files)
+    good = [r.path for r in found.filter("s_acctbal is not null").select("path").collect()]
+    assert len(good) == n > 0 and not any("run=broken" in p for p in good)
