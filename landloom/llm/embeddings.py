@@ -3,17 +3,20 @@
 Unit vectors of cosine c lie at squared distance 2 - 2c.  After a rotation to
 principal axes they are cut into blocks, each with a share of that distance in
 proportion to its variance; two near vectors are within the share of one block
-at least.  Each block is range-joined: vectors are dealt to slabs of the block's
-first axis and, near a border, visit the slab behind it.
+at least.  Each block is range-joined: vectors are dealt to cells of two of the
+block's axes and visit the cells behind theirs that lie within the share.  Full
+cells are dealt again on the block's next two axes.  Inside a cell the rows are
+swept along slabs one reach wide, so that few pairs beyond the share are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +24,17 @@ from landloom.llm.common import written
 from landloom.llm.components import connected_components
 
 BLOCK_DIMS = 8
-#: Vectors of a slab that one task holds against each other; fuller slabs are dealt to pairs of chunks.
+#: Vectors of a cell that one task holds; fuller cells are dealt on more axes, and at the last ones to pairs of chunks.
 CHUNK_ROWS = 2_048
-#: Width of a slab in reaches of its block.
-SLAB_REACHES = 4.0
+#: Width of a cell in reaches of its block.
+CELL_REACHES = 4.0
+#: Axes of a block that cells are cut on at a time, and the offsets from a cell to the cells behind it.
+CELL_AXES = 2
+BEHIND = ((0, 1), (1, -1), (1, 0), (1, 1))
+#: Axes on which the rows of a cell are cut into slabs, before the one they are swept on.
+SLAB_AXES = 5
+#: Pairs that one vectorised step looks at.
+PAIRS_AT_ONCE = 1 << 18
 _SLACK = 1e-9
 
 
@@ -74,7 +84,7 @@ class Subspaces:
         order = np.argsort(-values, kind="stable")
         self.axes, variance = axes[:, order], np.maximum(values[order], 0) + 1e-6 * max(values.sum(), 1e-300)
         n = -(-dims // block_dims)
-        # the widest axes go to different blocks, so that each block has one to cut slabs on
+        # the widest axes go to different blocks, so that each block has some to cut cells on
         self.blocks = [list(range(b, dims, n)) for b in range(n)]
         share = np.array([variance[b].sum() for b in self.blocks])
         self.budget = (distance2 + _SLACK) * share / share.sum() + 1e-12
@@ -85,26 +95,116 @@ class Subspaces:
         return np.stack([(gap[:, b] ** 2).sum(axis=1) for b in self.blocks], axis=1)
 
 
-def dealt(classes: DataFrame, spaces: Subspaces, dims: int) -> DataFrame:
-    """Rows (node, grp, times, unit) for each block and slab that a vector is in or visits."""
+def dealt(rows: DataFrame, spaces: Subspaces, dims: int, level: int) -> DataFrame:
+    """Rows again for each cell of the ``level``-th axes of their blocks that they are in or visit.
+
+    At level 0 rows are (node, grp, times, unit) and go to all blocks; later
+    they have a block, and a path of cells that grows.  Bit ``level`` of
+    ``visits`` marks visitors: a pair counts where no bit is common, so that
+    each pair within reach meets in one cell of a block.
+    """
+
+    def cells(y: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        axes, width = spaces.blocks[block][level * CELL_AXES : (level + 1) * CELL_AXES], CELL_REACHES * spaces.reach[block]
+        x = np.zeros((len(y), CELL_AXES))
+        x[:, : len(axes)] = y[:, axes]
+        home = np.floor(x / width).astype(np.int64)
+        yield np.arange(len(y)), home, 0
+        below = x - home * width
+        for step in BEHIND if len(axes) == CELL_AXES else ((1, 0),) * len(axes):
+            gap = np.where(np.array(step) > 0, width - below, np.where(np.array(step) < 0, below, 0.0))
+            at = np.flatnonzero((gap**2).sum(axis=1) <= spaces.budget[block])
+            yield at, home[at] + step, 1 << level
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = rotated(padded(batch.column(batch.schema.get_field_index("unit")), dims), spaces.axes)
-            rows, cols = [], []
-            for b, (axes, reach) in enumerate(zip(spaces.blocks, spaces.reach, strict=True)):
-                x, width = y[:, axes[0]], SLAB_REACHES * reach
-                slab = np.floor(x / width).astype(np.int64)
-                for step, near in ((0, np.ones(len(x), bool)), (-1, x - slab * width <= reach), (1, (slab + 1) * width - x <= reach)):
-                    at = np.flatnonzero(near)
-                    rows.append(at)
-                    cols.append((np.full(len(at), b), slab[at] + step, np.full(len(at), step == 0)))
-            take = pa.array(np.concatenate(rows))
-            made = [pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns), *made], [*batch.schema.names, "block", "slab", "home"])
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    return classes.mapInArrow(run, f"{kept}, block long, slab long, home boolean")
+            named = dict(zip(batch.schema.names, batch.columns, strict=True))
+            y = rotated(padded(named["unit"], dims), spaces.axes)
+            of = named["block"].to_numpy() if level else None
+            found = []
+            for block in range(len(spaces.blocks)):
+                mine = np.flatnonzero(of == block) if level else np.arange(len(y))
+                for at, cell, bit in cells(y[mine], block):
+                    found.append((mine[at], np.full(len(at), block), cell[:, 0], cell[:, 1], np.full(len(at), bit)))
+            at, block, first, second, bit = (np.concatenate(c) for c in zip(*found, strict=True))
+            take = pa.array(at)
+            if level:
+                bit = bit | named["visits"].to_numpy()[at]
+                path = named["path"].take(take)
+            else:
+                path = pa.nulls(len(at), pa.string())
+            kept = [named[c].take(take) for c in ("node", "grp", "times", "unit")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(block), pa.array(bit), path, pa.array(first), pa.array(second)], [*"node grp times unit block visits path first second".split()])
+
+    out = rows.mapInArrow(run, "node long, grp string, times long, unit array<double>, block long, visits long, path string, first long, second long")
+    return out.select("node", "grp", "times", "unit", "block", "visits", F.concat_ws("/", "path", F.concat_ws(",", "first", "second")).alias("path"))
+
+
+def met(classes: DataFrame, spaces: Subspaces, dims: int, chunk_rows: int) -> DataFrame:
+    """Rows of ``dealt`` by the cell in which they are compared, with chunk, low and high.
+
+    Cells with more than ``chunk_rows`` rows go on to the next axes of their
+    block.  Those that are as full on the last axes are dealt to pairs of chunks.
+    """
+    keys, parts = ["grp", "block", "path"], []
+    levels = -(-max(map(len, spaces.blocks)) // CELL_AXES)
+    rows = dealt(classes, spaces, dims, 0)
+    for level in range(1, levels + 1):
+        full = written(rows.groupBy(*keys).count().filter(F.col("count") > chunk_rows), "full-cells")
+        if full.isEmpty():
+            break
+        parts.append(rows.join(full, keys, "left_anti"))
+        rows = rows.join(full.withColumn("chunks", F.ceil(F.col("count") / chunk_rows).cast("int")).drop("count"), keys)
+        if level < levels:
+            rows = written(dealt(rows.drop("chunks"), spaces, dims, level), "cells")
+    else:
+        chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+        rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        parts.append(rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).drop("chunks", "other"))
+        rows = None
+    whole = [p if "low" in p.columns else p.withColumns({c: F.lit(0) for c in ("chunk", "low", "high")}) for p in [*parts, *([] if rows is None else [rows])]]
+    out = whole[0]
+    for p in whole[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def close_pairs(x: np.ndarray, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows whose squared distance may be up to ``limit``, each pair once.
+
+    Rows are sorted by their slabs, one reach wide, on the first axes and by
+    their value on the next one; each row meets those of its own and of the
+    adjoining slabs whose value is within reach.
+    """
+    n, reach = len(x), np.sqrt(limit)
+    k = min(SLAB_AXES, x.shape[1] - 1)
+    slab = np.floor(x[:, :k] / reach).astype(np.int64)
+    slab -= slab.min(axis=0) - 1
+    radix = np.cumprod(np.concatenate([[1], slab.max(axis=0)[:-1] + 2])) if k else np.empty(0, np.int64)
+    cells, cell = np.unique(slab @ radix, return_inverse=True)
+    value = x[:, k] - x[:, k].min()
+    wide = value.max() + 4 * reach
+    order = np.argsort(cell * wide + value, kind="stable")
+    cell, value = cell[order], value[order]
+    key = cell * wide + value
+    reach *= 1 + 1e-6
+    for step in product((-1, 0, 1), repeat=k):
+        if step < (0,) * k:
+            continue
+        near = cells + np.array(step, np.int64) @ radix
+        at = np.minimum(np.searchsorted(cells, near), len(cells) - 1)
+        rows = np.flatnonzero((cells[at] == near)[cell])
+        to = at[cell[rows]] * wide + value[rows]
+        begin = np.searchsorted(key, to - reach) if any(step) else rows + 1
+        each = np.maximum(np.searchsorted(key, to + reach, side="right") - begin, 0)
+        ends = np.cumsum(each)
+        done = 0
+        while done < len(rows):
+            stop = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE, side="right")))
+            m = each[done:stop]
+            if total := int(m.sum()):
+                yield order[np.repeat(rows[done:stop], m)], order[np.arange(total) + np.repeat(begin[done:stop] - (np.cumsum(m) - m), m)]
+            done = stop
 
 
 def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk_rows: int) -> DataFrame:
@@ -113,48 +213,49 @@ def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk
     A row with v null says that u has links to n more vectors; the others are
     edges that span what is linked in the task.  A pair counts in the first
     block whose share it keeps, so in one task, however many blocks find it.
-    Slabs with more than ``chunk_rows`` vectors are dealt to pairs of chunks.
     """
-    rows = dealt(classes, spaces, dims)
-    keys = ["grp", "block", "slab"]
-    sizes = written(rows.groupBy(*keys).count().select(*keys, F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")), "slabs")
-    rows = rows.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")}).select("node", "times", "unit", "home", "chunk", *keys, "low", "high")
-    rows = rows.repartition(*keys, "low", "high")  # else the chunks of a slab would stay in one task
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, across = int(key[1]), key[3] != key[4]
-        pdf = pdf.sort_values("node")
-        x = padded(pa.array(pdf["unit"], pa.list_(pa.float64())), dims)
+    keys = ["block", "grp", "path", "low", "high"]
+    rows = met(classes, spaces, dims, chunk_rows).repartition(*keys)  # else the chunks of a cell would stay in one task
+
+    def named(u: np.ndarray | list, v: pa.Array | None, n: np.ndarray | list) -> pa.Table:
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.nulls(0, pa.int64()) if v is None else v, "n": pa.array(n, pa.int64())})
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block, across = key[0].as_py(), key[3] != key[4]
+        x = padded(table["unit"].combine_chunks(), dims)
         y = rotated(x, spaces.axes)
-        small = y[:, spaces.blocks[block]].astype(np.float32)
-        norm = (small.astype(float) ** 2).sum(axis=1).astype(np.float32)
-        home, chunk, times, node = pdf["home"].to_numpy(), pdf["chunk"].to_numpy(), pdf["times"].to_numpy(), pdf["node"].to_numpy()
-        limit = np.float32(spaces.budget[block] + 1e-5)
-        n, left, right = len(pdf), [], []
-        hosts = np.flatnonzero(home)
-        for at in range(0, len(hosts), 1024):
-            i = hosts[at : at + 1024]
-            first = i[0]  # rows are in order of node, and the lower node of a pair is the host or both are at home
-            d2 = norm[i][:, None] + norm[first:][None, :] - 2 * (small[i] @ small[first:].T)
-            a, b = np.nonzero(d2 <= limit)
-            a, b = i[a], b + first
-            keep = a < b
+        small, length = y[:, spaces.blocks[block]], np.sqrt(np.einsum("ij,ij->i", x, x))
+        chunk, times, node, visits = (table[c].to_numpy() for c in ("chunk", "times", "node", "visits"))
+        n, left, right = len(x), [], []
+
+        def keep(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
+            p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            near = np.einsum("ij,ij->i", x[p], x[q]) / (length[p] * length[q]) >= cosine
+            p, q = p[near], q[near]
+            if len(p):
+                over = spaces.squares(y[p] - y[q]) - spaces.budget
+                inside = over <= 0
+                inside[~inside.any(axis=1), over[~inside.any(axis=1)].argmin(axis=1)] = True
+                mine = inside.argmax(axis=1) == block
+                left.append(p[mine])
+                right.append(q[mine])
+
+        limit, waiting, held = spaces.budget[block] + 1e-9, [], 0
+        for p, q in close_pairs(small, limit):
+            good = (visits[p] & visits[q]) == 0
             if across:
-                keep &= chunk[a] != chunk[b]
-            a, b = a[keep], b[keep]
-            for k in range(0, len(a), 65536):
-                p, q = a[k : k + 65536], b[k : k + 65536]
-                near = np.einsum("ij,ij->i", x[p], x[q]) / np.sqrt(np.einsum("ij,ij->i", x[p], x[p]) * np.einsum("ij,ij->i", x[q], x[q])) >= cosine
-                p, q = p[near], q[near]
-                if len(p):
-                    inside = spaces.squares(y[p] - y[q]) <= spaces.budget
-                    inside[~inside.any(axis=1), np.argmin(spaces.squares(y[p] - y[q])[~inside.any(axis=1)] - spaces.budget, axis=1)] = True
-                    mine = inside.argmax(axis=1) == block
-                    left.append(p[mine])
-                    right.append(q[mine])
+                good &= chunk[p] != chunk[q]
+            good &= ((small[p] - small[q]) ** 2).sum(axis=1) <= limit
+            if good.any():
+                waiting.append((p[good], q[good]))
+                held += len(waiting[-1][0])
+            if held > 65536:
+                keep(waiting)
+                waiting, held = [], 0
+        if waiting:
+            keep(waiting)
         if not left or not sum(map(len, left)):
-            return pd.DataFrame({"u": [], "v": [], "n": []}).astype({"u": "int64", "v": "Int64", "n": "int64"})
+            return named([], None, [])
         p, q = np.concatenate(left), np.concatenate(right)
         count = np.bincount(p, times[q], n) + np.bincount(q, times[p], n)
         root = np.arange(n)
@@ -168,9 +269,27 @@ def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk
                 break
             root = now
         with_links, member = np.flatnonzero(count), np.flatnonzero(root != np.arange(n))
-        return pd.DataFrame({"u": node[np.concatenate([with_links, member])], "v": pd.array([pd.NA] * len(with_links) + node[root[member]].tolist(), "Int64"), "n": np.concatenate([count[with_links], np.zeros(len(member))]).astype(np.int64)})
+        none = np.concatenate([np.ones(len(with_links), bool), np.zeros(len(member), bool)])
+        return named(node[np.concatenate([with_links, member])], pa.array(node[root[np.concatenate([with_links, member])]], pa.int64(), mask=none), np.concatenate([count[with_links], np.zeros(len(member))]).astype(np.int64))
+
+    return rows.groupBy(*keys).applyInArrow(run, "u long, v long, n long")
+
 
-    return rows.groupBy(*keys, "low", "high").applyInPandas(run, "u long, v long, n long")
+def unit_vectors(vectors: pa.Array) -> pa.Array:
+    """Each vector divided by its length; null for null, empty and zero ones and those with nulls or non-finite numbers."""
+    n = len(vectors)
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    owner = np.repeat(np.arange(n), sizes)
+    good = (sizes > 0) & (np.bincount(owner, ~np.isfinite(flat), n) == 0)
+    good &= np.bincount(owner, flat != 0, n) > 0
+    flat, sizes = flat[good[owner]], np.where(good, sizes, 0)
+    if good.any():
+        starts = (np.cumsum(sizes) - sizes)[good]
+        flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), starts), sizes[good])  # so that no square is lost
+        flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, starts)), sizes[good])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(~good, False)), pa.array(flat))
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, chunk_rows: int = CHUNK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -183,16 +302,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, chunk_rows: int = CHU
     component_id is the least id that links reach; repeated rows stay and link
     with each other; an empty table gives no row; other columns are not read.
     """
-    value = F.col("_v")
-    sound = F.coalesce(F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists(value, lambda x: x != 0), F.lit(False)) & F.col("_label").isNotNull()
-    some = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_label")).withColumn("_sound", sound)
-    named = some.withColumns({"h1": F.xxhash64("_label", "_v"), "h2": F.xxhash64(F.lit("second"), "_v", "_label")})
-    classes = named.filter("_sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("_label").alias("_label"), F.first("_v").alias("_v"))
-    top = F.array_max(F.transform(value, F.abs))
-    scaled = F.transform(value, lambda x: x / F.col("_top"))
-    length = F.sqrt(F.aggregate(F.col("_s"), F.lit(0.0), lambda a, x: a + x * x))
-    classes = classes.withColumn("_top", top).withColumn("_s", scaled).withColumn("_len", length).withColumn("unit", F.transform("_s", lambda x: x / F.col("_len")))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "times", F.concat_ws(":", F.size("_v"), "_label").alias("grp"), "unit"), "vector-classes")
+    some = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.col(label_col).cast("string").alias("_label"))
+    hashed = some.withColumns({"h1": F.xxhash64("_label", "_v"), "h2": F.xxhash64(F.lit("second"), "_v", "_label")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], unit_vectors(batch.column(batch.num_columns - 1))], [*batch.schema.names[:-1], "unit"])
+
+    kind = some.schema["vec_id"].dataType.simpleString()
+    sound = hashed.filter("_label is not null").select("vec_id", "h1", "h2", "_label", "_v").mapInArrow(run, f"vec_id {kind}, h1 long, h2 long, _label string, unit array<double>").filter("unit is not null")
+    classes = sound.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("_label").alias("_label"), F.first("unit").alias("unit"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "times", F.concat_ws(":", F.size("unit"), "_label").alias("grp"), "unit"), "vector-classes")
     dims = classes.agg(F.max(F.size("unit"))).first()[0] or 1
 
     spaces = Subspaces(moments(classes, dims), 2 - 2 * cosine, BLOCK_DIMS)
@@ -203,9 +323,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, chunk_rows: int = CHU
     least = ends.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     ends = ends.join(least, F.col("root").bitwiseXOR(F.lit(1)) == F.col("r").bitwiseXOR(F.lit(1))).select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
     ends = written(ends, "vector-components")
-    linked = named.filter("_sound").select("vec_id", "h1", "h2").join(ends, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
-    alone = named.filter("not _sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = hashed.select("vec_id", "h1", "h2").join(ends, ["h1", "h2"], "left")  # vectors that may not link have no class
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def near_vectors_sql(cosine: float = 0.98) -> str:

@@ -370,6 +370,31 @@ def test_near_vectors(spark, chunk_rows):
     assert embeddings.near_vectors(empty(df)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 60), st.integers(1, 8), st.floats(0.001, 2))
+def test_close_pairs_meet_once(seed, n, dims, limit):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims)) * rng.choice([0.05, 0.5, 2])
+    x[rng.integers(n, size=n // 4)] = x[0]
+    pairs = [tuple(sorted(map(int, pair))) for p, q in embeddings.close_pairs(x, limit) for pair in zip(p, q, strict=True)]
+    near = {(a, b) for b in range(n) for a in range(b) if ((x[a] - x[b]) ** 2).sum() <= limit}
+    assert len(set(pairs)) == len(pairs) and near <= set(pairs) and all(a < b for a, b in pairs)
+
+
+def test_close_pairs_leave_most_out(spark):
+    """Of the pairs of equal labels, the eight blocks together compare less than a tenth."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    x = np.stack(rows.embedding.values).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spaces = embeddings.Subspaces(x.T @ x, 2 - 2 * 0.98, embeddings.BLOCK_DIMS)
+    y, pairs, compared = embeddings.rotated(x, spaces.axes), 0, 0
+    for label in set(rows.label):
+        mine = y[(rows.label == label).to_numpy()]
+        pairs += len(mine) * (len(mine) - 1) // 2
+        compared += sum(len(p) for block, budget in zip(spaces.blocks, spaces.budget, strict=True) for p, _ in embeddings.close_pairs(mine[:, block], budget))
+    assert compared < 0.1 * pairs
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, duck, sf, name):
     got, want = queries.queries()[name](spark, sf).toPandas(), duck.execute(queries.oracle_sql()[name]).df()
