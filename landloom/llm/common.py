@@ -73,6 +73,12 @@ def fresh_name(taken: list[str], wanted: str) -> str:
     return wanted
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct integers in order; by sorting, as numpy's own hashing takes far longer."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def text_chunks(text: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Slices of about ``limit`` bytes of a string column, with their first row.
 

@@ -325,7 +325,50 @@ def test_toxicity_on_held_out_labels(spark, duck):
     rank = h.score.rank()
     n1 = int(h.toxic.sum())
     auc = (rank[h.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(h) - n1))
-    assert auc > 0.97 and ((h.predicted == 1) & (h.toxic == 0)).sum() <= 5 and (got.predicted == (got.score >= 0.3)).all()
+    assert auc > 0.97 and h.predicted[h.toxic == 1].mean() >= 0.85 and ((h.predicted == 1) & (h.toxic == 0)).sum() <= 5 and (got.predicted == (got.score >= 0.3)).all()
+
+
+def plain_grams(text):
+    """Hashes of the 4-, 5- and 7-grams of a text, character by character."""
+    low = " " + re.sub("[\t-\r]", " ", text.lower())
+    out = set()
+    for i in range(len(low)):
+        for n in (4, 5, 7):
+            h = 0
+            for c in (low + " " * 7)[i : i + n]:
+                h = (h * 0x9E3779B1 + ord(c)) % 2**32
+            out.add((((h ^ h >> 15) * 0x85EBCA6B) % 2**32) >> 32 - toxicity.HASH_BITS)
+    return out
+
+
+def test_toxicity_against_plain_sums(spark):
+    """Log-count ratios, choice of n-grams, weights and scores, each recomputed from sets of n-grams."""
+    rng = np.random.default_rng(8)
+    words = ["river", "Field", "stone", "CLOUD", "idiot\n", "stupid", "wind"]
+    label = (np.arange(40) % 3 == 0).astype(int)
+    texts = [" ".join(rng.choice(words, 6, p=[0.1, 0.1, 0.1, 0.1, 0.25, 0.25, 0.1] if y else [0.2, 0.2, 0.2, 0.1, 0.05, 0.05, 0.2])) for y in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.train(docs.repartition(3), spark.createDataFrame([(k, int(y)) for k, y in enumerate(label)], "doc_id long, toxic int"))
+
+    grams, n, n1 = [plain_grams(t) for t in texts], len(texts), int(label.sum())
+    every, toxic = Counter(g for s in grams for g in s), Counter(g for s, y in zip(grams, label, strict=True) if y for g in s)
+    chi2 = {g: (toxic[g] - m * n1 / n) ** 2 / (m * n1 / n * (1 - n1 / n)) for g, m in every.items()}
+    chosen = sorted(g for g, m in every.items() if 3 <= m < n and chi2[g] >= toxicity.LEAST_CHI2)
+    assert model.hashes.tolist() == chosen and len(chosen) > 20
+    ratio = np.array([np.log((toxic[g] + 1) / (n1 + 2) / ((every[g] - toxic[g] + 1) / (n - n1 + 2))) for g in chosen])
+    x = np.array([[g in s for g in chosen] for s in grams]) * ratio
+    share, w, b = np.where(label == 1, 0.5 / n1, 0.5 / (n - n1)), np.zeros(len(chosen)), 0.0
+    for _ in range(60):  # Newton's method
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        full = np.hstack([x, np.ones((n, 1))])
+        slope = full.T @ ((p - label) * share) + toxicity.PENALTY * np.append(w, 0)
+        bend = full.T @ (full * (p * (1 - p) * share)[:, None]) + np.diag(np.append(np.full(len(w), toxicity.PENALTY), 1e-12))
+        step = np.linalg.solve(bend, slope)
+        w, b = w - step[:-1], b - step[-1]
+    assert np.abs(model.weights - w * ratio).max() < 0.01 and abs(model.bias - b) < 0.01
+    fresh = [*texts, "", "a stupid river and an idiot", "wind " * 400_000 + "stupid"]
+    plain = [b + sum((w * ratio)[chosen.index(g)] for g in plain_grams(t[:200] + t[-200:]) if g in chosen) for t in fresh]
+    assert np.abs(model.scorer()(pa.array(fresh)) - 1 / (1 + np.exp(-np.array(plain)))).max() < 0.01
 
 
 def test_toxicity_odd_rows(spark):
