@@ -8,17 +8,17 @@ determinant, found by concentration steps.  Vectors far from it are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landloom.llm.common import fresh_name, text_chunks, with_columns_of, word_codes, written
+from landloom.llm.common import text_chunks, with_columns_of, word_codes, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -129,16 +129,16 @@ def base_failed(n_words, n_repeat_words):
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
 
-def measured(docs: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+def measured(docs: DataFrame, text: Callable[[pa.RecordBatch], pa.Array], names: list[str]) -> DataFrame:
     """``docs`` with its counts, base verdict and vector behind all its columns.
 
-    ``names`` are those of the columns in ``COUNTS``, base_failed and ``X``.
+    ``text`` finds the texts in a batch of ``docs``; ``names`` are those of the
+    columns in ``COUNTS``, base_failed and ``X``.
     """
-    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = statistics(batch.column(at))
+            c = statistics(text(batch))
             made = [*(c[k] for k in COUNTS), base_failed(c["n_words"], c["n_repeat_words"]), *vector(c).T]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(a)) for a in made)], [*batch.schema.names, *names])
 
@@ -154,23 +154,42 @@ def chi2_quantile(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + z * (2 / (9 * k)) ** 0.5) ** 3
 
 
-def mcd(x: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+def medians(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Median of each column of rows that stand for ``weight`` rows each."""
+    order, n = np.argsort(x, axis=0, kind="stable"), int(weight.sum())
+    upto = np.cumsum(weight[order], axis=0)
+    both = [[np.searchsorted(upto[:, k], at, side="right") for k in range(x.shape[1])] for at in ((n - 1) // 2, n // 2)]
+    held = np.take_along_axis(x, order, axis=0)
+    return (held[both[0], np.arange(x.shape[1])] + held[both[1], np.arange(x.shape[1])]) / 2
+
+
+def mcd(x: np.ndarray, weight: np.ndarray | None = None, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Location and regularised scatter of the half of ``x`` with the least determinant.
 
     Starts from the rows nearest to the medians, by median deviations and by
-    plain distance, and concentrates until the half stays the same.
+    plain distance, and concentrates until the half stays the same.  A row may
+    stand for ``weight`` equal ones.
     """
-    n, best = len(x), None
+    weight = np.ones(len(x), np.int64) if weight is None else weight
+    n, best = int(weight.sum()), None
     h = (n + P + 1) // 2 if n > P else n
-    gap = x - np.median(x, axis=0)
-    mad = np.maximum(1.4826 * np.median(np.abs(gap), axis=0), np.sqrt(np.diag(FLOOR)))
+
+    def nearest(d: np.ndarray) -> np.ndarray:
+        """How many of each row are among the ``h`` nearest."""
+        order = np.argsort(d, kind="stable")
+        upto = np.minimum(np.cumsum(weight[order]), h)
+        out = np.empty(len(x), np.int64)
+        out[order] = np.diff(upto, prepend=0)
+        return out
+
+    gap = x - medians(x, weight)
+    mad = np.maximum(1.4826 * medians(np.abs(gap), weight), np.sqrt(np.diag(FLOOR)))
     for start in (((gap / mad) ** 2).sum(axis=1), (gap**2).sum(axis=1)):
-        half = np.sort(np.argsort(start, kind="stable")[:h])
+        half = nearest(start)
         for _ in range(steps):
-            m = x[half].mean(axis=0)
-            s = (x[half] - m).T @ (x[half] - m) / h + FLOOR
-            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-            now = np.sort(np.argsort(d2, kind="stable")[:h])
+            m = half @ x / h
+            s = ((x - m) * half[:, None]).T @ (x - m) / h + FLOOR
+            now = nearest(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m))
             if (now == half).all():
                 break
             half = now
@@ -217,17 +236,17 @@ def estimates(rows: DataFrame, groups: DataFrame, steps: int = STEPS) -> DataFra
 
     ``groups`` has the number of buckets of each group; estimates are repeated
     for each bucket and meet the rows by it, so no join gathers a large group.
-    Buckets of about ``BUCKET_ROWS`` rows are estimated on their own, and their
-    means start the group.  Each step over all rows then takes the half nearest
+    Buckets of about ``BUCKET_ROWS`` rows, equal ones counted, are estimated on
+    their own, and their means start the group.  Each step over all rows then takes the half nearest
     to the estimate, by a quantile of the distances, and sums it up: map-side
     sums and sketches, so a group of any size is no task's.  ``scale`` makes
     the median distance that of a chi-square variable, or 1 if it is less.
     """
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m, s = mcd(pdf.sort_values(X)[X].to_numpy())
-        s = s - FLOOR + np.outer(m, m)
-        n = len(pdf)
+        pdf = pdf.sort_values(X)
+        m, s = mcd(pdf[X].to_numpy(), pdf["times"].to_numpy())
+        s, n = s - FLOOR + np.outer(m, m), int(pdf["times"].sum())
         return pd.DataFrame([[key[0], n, *(n * m), *(n * s[i, j] for i, j in CELLS)]])
 
     buckets = groups.select("grp", "buckets").distinct()
@@ -237,7 +256,7 @@ def estimates(rows: DataFrame, groups: DataFrame, steps: int = STEPS) -> DataFra
         return rows.join(spread, ["grp", "bucket"])
 
     names = ["n", *(f"s{k}" for k in range(P)), *(f"s{i}_{j}" for i, j in CELLS)]
-    starts = rows.groupBy("grp", "bucket").applyInPandas(first, "grp string, " + ", ".join(f"{c} double" for c in names))
+    starts = rows.groupBy("grp", "bucket", *X).agg(F.count("*").alias("times")).groupBy("grp", "bucket").applyInPandas(first, "grp string, " + ", ".join(f"{c} double" for c in names))
     now = written(_inverted(starts.groupBy("grp").agg(*(F.sum(c).alias(c) for c in names))), "mcd")
     for _ in range(steps):
         half = met(now).groupBy("grp").agg(F.percentile_approx(distance2(), 0.5, 10_000).alias("half"))
@@ -264,39 +283,48 @@ def grouped(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     return written(n.select("gkey", "grp").join(total, "grp"), "groups")
 
 
-def judged(rows: DataFrame, tail: float, names: list[str], seed_cols: list[str], lang: str, source: str) -> DataFrame:
-    """Adds kept to rows that ``measured`` made; gkey, lkey and d2 come with it."""
+def judged(rows: DataFrame, tail: float, names: list[str], seed: list[Column], lang: Column, source: Column) -> DataFrame:
+    """Adds kept, d2 and grp (which estimate judged) to rows that ``measured`` made; other columns come with it.
+
+    All columns of ``rows`` must have names of this module.
+    """
     failed, x = F.col(names[len(COUNTS)]), names[len(COUNTS) + 1 :]
-    keyed = rows.withColumns({"gkey": F.to_json(F.struct(F.col(lang).alias("l"), F.col(source).alias("s"))), "lkey": F.to_json(F.struct(F.col(lang).alias("l")))})
-    fit = keyed.filter(~failed).select("gkey", "lkey", F.xxhash64(*seed_cols).alias("h"), *(F.col(a).alias(b) for a, b in zip(x, X, strict=True)))
+    keyed = rows.withColumns({"gkey": F.to_json(F.struct(lang.alias("l"), source.alias("s"))), "lkey": F.to_json(F.struct(lang.alias("l")))})
+    fit = keyed.filter(~failed).select("gkey", "lkey", F.xxhash64(*seed).alias("h"), *(F.col(a).alias(b) for a, b in zip(x, X, strict=True)))
     groups = grouped(fit)
     dealt = written(fit.join(groups, "gkey").select("grp", F.pmod("h", "buckets").cast("int").alias("bucket"), *X), "vectors")
-    of = written(groups.select("gkey", "grp").join(estimates(dealt, groups), "grp").drop("grp"), "estimates")
+    of = written(groups.select("gkey", "grp").join(estimates(dealt, groups), "grp"), "estimates")
     seen = keyed.join(of, "gkey", "left")
     near = distance2(x) / F.col("scale") <= F.lit(chi2_quantile(1 - tail, P))
     return seen.withColumn("d2", distance2(x) / F.col("scale")).withColumn("kept", ~failed & F.coalesce(near, F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, tail: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Counts and verdict of every whole text: doc_id, the counts, base_failed, kept, distance2.
+    """Counts and verdict of every whole text: doc_id, the counts, base_failed, kept, distance2, judged_by.
 
     A text is kept if it passes the base rules and its vector's squared distance
-    is one that a share ``tail`` of normal vectors exceeds.  Null and empty texts
-    have no words and fail; null languages and sources are values of their own;
-    repeated rows stay; an empty table gives no row; other columns are not read.
+    is one that a share ``tail`` of normal vectors exceeds.  ``judged_by`` names
+    the estimate: that of the source, or the pool that ``grouped`` puts it in.
+    Null and empty texts have no words and fail; null languages and sources are
+    values of their own; repeated rows stay; an empty table gives no row; other
+    columns are not read.
     """
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
     names = [*COUNTS, "base_failed", *X]
-    rows = written(measured(some, "_text", names).drop("_text"), "quality")
-    out = judged(rows, tail, names, ["doc_id", *COUNTS], "_lang", "_source")
-    return out.select("doc_id", *COUNTS, "base_failed", "kept", F.col("d2").alias("distance2"))
+    rows = written(measured(some, lambda batch: batch.column(1), names).drop("_text"), "quality")
+    out = judged(rows, tail, names, [F.col(c) for c in ("doc_id", *COUNTS)], F.col("_lang"), F.col("_source"))
+    return out.select("doc_id", *COUNTS, "base_failed", "kept", F.col("d2").alias("distance2"), F.col("grp").alias("judged_by"))
 
 
 def good_rows(docs: DataFrame, tail: float = 1e-9, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names.
 
-    Texts are written once beside their counts; only vectors are shuffled.
+    Texts are written once beside their counts, in a column of their own that
+    holds the whole row; only vectors are shuffled.  Null and empty texts go;
+    repeated rows are judged alike; an empty table gives no row.
     """
-    names = [fresh_name(docs.columns, f"_q_{c}") for c in [*COUNTS, "base_failed", *X]]
-    rows = written(measured(docs, text_col, names), "quality-rows", "zstd")
-    return judged(rows, tail, names, [id_col, *names[: len(COUNTS)]], lang_col, source_col).filter("kept").select(*docs.columns)
+    at, names = docs.columns.index(text_col), [*COUNTS, "base_failed", *X]
+    rows = written(measured(docs.select(F.struct("*").alias("_row")), lambda batch: batch.column(0).field(at), names), "quality-rows", "zstd")
+    of = {c: F.col("_row").getField(c) for c in (id_col, lang_col, source_col)}
+    out = judged(rows, tail, names, [of[id_col], *map(F.col, COUNTS)], of[lang_col], of[source_col])
+    return out.filter("kept").select("_row.*")

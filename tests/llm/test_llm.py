@@ -300,6 +300,83 @@ def test_quality_counts_and_verdicts(spark, sf):
     assert quality.good_rows(df).columns == df.columns
 
 
+CLASHES = "gkey lkey d2 kept m0 v0_0 scale bucket grp h x0 half times n_words base_failed _row _text _source _key _bucket _size score predicted fp node source_size target rank".split()
+
+
+def clashing(docs):
+    """``docs`` with columns that are named as the operators' own, each with values that tell the row."""
+    return docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in CLASHES})
+
+
+def test_stages_leave_clashing_columns_alone(spark, sf):
+    import corpus_pipeline
+
+    docs = clashing(spark.read.parquet(f"{sf}/documents.parquet").unionByName(odd_docs(spark), allowMissingColumns=True)).cache()
+    whole = Counter(map(tuple, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        rows = Counter(map(tuple, out.collect()))
+        assert out.columns == docs.columns and len(rows) > 100 and set(rows) <= set(whole), name
+        assert name == "mixing" or all(n <= whole[r] for r, n in rows.items()), name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_stages_on_empty_tables_and_null_texts(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    nothing = docs.limit(20).withColumns({"text": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(docs), sf).count() == 0, name
+        out = stage(spark, nothing, sf).count()
+        assert out == (0 if name in ("quality rules", "mixing") else 1 if name == "simhash near-dedup" else 20), name
+
+
+def plain_mcd(x, tries=40):
+    """Least determinant over concentration from random starts, and the distances by it."""
+    rng, best, h = np.random.default_rng(2), None, (len(x) + quality.P + 1) // 2
+    for _ in range(tries):
+        half = rng.choice(len(x), quality.P + 1, replace=False)
+        for _ in range(50):
+            m, s = x[half].mean(axis=0), np.cov(x[half].T, bias=True) + quality.FLOOR
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            half = np.argsort(d2, kind="stable")[:h]
+        if best is None or np.linalg.slogdet(s)[1] < best[0]:
+            best = (np.linalg.slogdet(s)[1], d2 / max(np.median(d2) / quality.chi2_quantile(0.5, quality.P), 1))
+    return best[1]
+
+
+def test_verdicts_against_plain_mcd(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = quality.quality_rules(docs).toPandas()
+    texts = docs.select("doc_id", "text").toPandas().merge(got, on="doc_id")
+    tail, agree, n = quality.chi2_quantile(1 - 1e-9, quality.P), 0, 0
+    for group in sorted(set(texts.judged_by.dropna()))[:4]:
+        rows = texts[(texts.judged_by == group) & ~texts.base_failed]
+        far = plain_mcd(quality.vector(quality.statistics(pa.array(rows.text)))) > tail
+        agree += int((far == ~rows.kept).sum())
+        n += len(rows)
+    assert n > 500 and agree >= 0.99 * n
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas().merge(got[~got.base_failed], on="doc_id")
+    poor = labels[labels.quality == 0]
+    assert 1 - poor.kept.mean() > 0.95 and labels[labels.quality == 1].kept.mean() > 0.99
+
+
+def test_weighted_rows_count_as_repeated_ones():
+    rng = np.random.default_rng(4)
+    x, times = rng.normal(size=(80, quality.P)), rng.integers(1, 6, 80)
+    one, other = quality.mcd(x, times), quality.mcd(np.repeat(x, times, axis=0))
+    assert np.allclose(quality.medians(x, times), np.median(np.repeat(x, times, axis=0), axis=0))
+    assert np.allclose(one[0], other[0]) and np.allclose(one[1], other[1])
+
+
+def test_small_groups_are_pooled(spark):
+    rows = spark.createDataFrame([(k, f"{k} " + "plain words of a text that tells nothing new at all".replace("a", "ab" * (k % 5)), "en", s) for s, n in (("big", quality.LEAST_ROWS), ("less", quality.LEAST_ROWS - 1), ("few", 3)) for k in range(n)], "doc_id long, text string, lang string, source string")
+    by = {r.judged_by for r in quality.quality_rules(rows).select("judged_by").distinct().collect()}
+    assert by == {'source {"l":"en","s":"big"}', 'lang {"l":"en"}'}
+
+
 def test_mcd_withstands_a_third_of_outliers(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, quality.P)) * 0.5 + np.arange(quality.P)
