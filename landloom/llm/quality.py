@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landloom.llm.common import text_chunks, with_columns_of, word_codes, written
+from landloom.llm.common import distinct, text_chunks, with_columns_of, word_codes, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -63,7 +63,7 @@ def repeated_words(codes: np.ndarray, starts: np.ndarray, window: int = WINDOW)
     for k in range(window):  # equal hashes are held against the words themselves
         same &= codes[a + k] == codes[b + k]
     found = np.zeros(n + 1, np.int64)
-    hit = np.unique(np.concatenate([a[same], b[same]]))
+    hit = distinct(np.concatenate([a[same], b[same]]))
     np.add.at(found, hit, 1)
     np.add.at(found, hit + window, -1)
     return _per_text(np.flatnonzero(np.cumsum(found[:n]) > 0), starts)
@@ -90,7 +90,7 @@ def statistics(text: pa.Array) -> dict[str, np.ndarray]:
             "n_words": np.diff(starts),
             "word_chars": np.diff(np.concatenate([[0], np.cumsum(chars[codes])])[starts]),
             "n_symbols": _per_text(np.flatnonzero(_SYMBOL[data]), offsets),
-            "n_dup_lines": np.bincount(owner, minlength=n) - np.bincount(np.unique(keys) // (len(flat.dictionary) + 1), minlength=n),
+            "n_dup_lines": np.bincount(owner, minlength=n) - np.bincount(distinct(keys) // (len(flat.dictionary) + 1), minlength=n),
             "n_repeat_words": repeated_words(codes, starts),
             "n_upper": _per_text(np.flatnonzero(_UPPER[data]), offsets),
             "n_marks": _per_text(np.flatnonzero(_OTHER[data]), offsets),
