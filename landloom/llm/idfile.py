@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from landloom.llm.tokens import encoded, encoder
 MAGIC = b"IDBITS01"
 #: A multiple of 8, so that every full block ends at a byte.
 BLOCK_IDS = 1 << 16
-#: A file is closed after the document that reaches this many ids.
-SHARD_IDS = 16 << 20
+#: A file is closed after the document that reaches this many ids, or this many documents.
+SHARD_IDS, SHARD_DOCS = 16 << 20, 1 << 20
+#: Documents of a batch of digests.
+BATCH_DOCS = 1 << 16
 #: Stands for a null document id in the index.
 NULL_ID = -(2**63)
 
@@ -76,10 +80,12 @@ class IdFileWriter:
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
         self.blocks: list[int] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs = array("q")
+        self.n_docs = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((NULL_ID if doc_id is None else doc_id, self.n_ids, len(ids)))
+        self.docs.extend((NULL_ID if doc_id is None else doc_id, self.n_ids, len(ids)))
+        self.n_docs += 1
         self.n_ids += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
@@ -97,7 +103,7 @@ class IdFileWriter:
 
     def close(self) -> None:
         self._flush(self.n_waiting)
-        index = struct.pack("<4q", self.bits, self.n_ids, len(self.docs), len(self.blocks)) + np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes()
+        index = struct.pack("<4q", self.bits, self.n_ids, self.n_docs, len(self.blocks)) + np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes()
         self.out.write(index + struct.pack("<q", len(index)))
         self.out.close()
         self.fs.move(self.temp, self.path)
@@ -132,10 +138,10 @@ class IdFile:
 
     def documents(self, step_ids: int = 1 << 20) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, first position and ids of each document, in the file's order."""
-        row, n = 0, len(self.docs)
+        row, n, ends = 0, len(self.docs), self.docs[:, 1] + self.docs[:, 2]
         while row < n:
             first = int(self.docs[row, 1])
-            stop = max(row + 1, int(np.searchsorted(self.docs[:, 1] + self.docs[:, 2], first + step_ids, side="right")))
+            stop = max(row + 1, int(np.searchsorted(ends, first + step_ids, side="right")))
             ids = self.read(first, int(self.docs[stop - 1, 1:].sum()) - first)
             for doc, at, count in self.docs[row:stop].tolist():
                 yield (None if doc == NULL_ID else doc), at, ids[at - first : at - first + count]
@@ -145,13 +151,15 @@ class IdFile:
         self.file.close()
 
 
-def write_id_files(docs: DataFrame, url: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_id_files(docs: DataFrame, url: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Encode whole texts into files below ``url``, in ascending order of id.
 
     Returns the manifest: part, shard, url, n_docs, n_ids.  Files are in order
     of (part, shard).  Null texts are empty, so each document has its end id at
     least; null ids come first; equal ids are in order of their texts; an empty
-    table gives no file.  Documents are dealt by ranges of id, so a task holds
+    table gives no file; ids are longs or what casts to them.  A file ends at
+    ``shard_ids`` ids or ``shard_docs`` documents, so its index is bounded, and
+    very long texts make it no longer than one of them.  Documents are dealt by ranges of id, so a task holds
     one range and in memory one batch; a lost task is run again and writes the
     same files.
     """
@@ -164,7 +172,7 @@ def write_id_files(docs: DataFrame, url: str, tokenizer_path: str, end_id: int,
 
         def done() -> None:
             out.close()
-            rows.append((part, len(rows), name, len(out.docs), out.n_ids))
+            rows.append((part, len(rows), name, out.n_docs, out.n_ids))
 
         for batch in batches:
             names = batch.column(0).to_pylist()
@@ -173,7 +181,7 @@ def write_id_files(docs: DataFrame, url: str, tokenizer_path: str, end_id: int,
                     name = f"{url}/ids-{part:06d}-{len(rows):04d}.bin"
                     out = IdFileWriter(name, bits_for(enc.vocab), f"{task.taskAttemptId()}.tmp")
                 out.add(names[row], ids)
-                if out.n_ids >= shard_ids:
+                if out.n_ids >= shard_ids or out.n_docs >= shard_docs:
                     done()
                     out = None
         if out is not None:
@@ -197,14 +205,19 @@ def read_id_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for url, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 file = IdFile(url)
-                rows = [(doc, base + at, len(ids), zlib.crc32(np.ascontiguousarray(ids).view(np.uint8))) for doc, at, ids in file.documents()]
+                digests = ((doc, base + at, len(ids), zlib.crc32(np.ascontiguousarray(ids).view(np.uint8))) for doc, at, ids in file.documents())
+                while rows := list(islice(digests, BATCH_DOCS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 file.close()
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [()] * 4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def id_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int = 2, **columns) -> DataFrame:
-    """Write ``docs`` to a new folder in the shared folder and read the files back."""
+    """Write ``docs`` to a new folder in the shared folder and read the files back.
+
+    One row per document, repeated and null ones included (see
+    ``write_id_files``); an empty table gives no row.
+    """
     url = new_dir(docs.sparkSession, "token-ids")
     return read_id_files(write_id_files(docs, url, tokenizer_path, end_id, **columns))

@@ -112,6 +112,11 @@ def test_id_files(spark, tmp_path, monkeypatch):
     whole = file.read(0, file.n_ids)
     assert file.bits == 16 and (file.read(70, 300) == whole[70:370]).all() and (file.read(file.n_ids - 3, 3) == whole[-3:]).all()
     assert idfile.id_file_digest(empty(df), PATH).count() == 0
+    many = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    parts = idfile.write_id_files(many, f"file://{tmp_path}/many", PATH, 2, shard_docs=50_000)
+    assert parts.agg(F.max("n_docs")).first()[0] <= 50_000
+    back = idfile.read_id_files(parts)
+    assert back.agg(F.count("*"), F.sum("start"), F.max("n_tokens")).first() == (300_000, 300_000 * 299_999 // 2, 1)
     with pytest.raises(ValueError, match="does not fit"):
         idfile.pack(np.array([8], "<u4"), 3)
 
@@ -145,6 +150,7 @@ def check_packing(docs, got, max_len):
 
 def test_packing(spark, sf, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 2)  # many buckets for a common length
+    monkeypatch.setattr(packing, "SUM_BUCKETS", 3)
     df = odd_docs(spark, True)
     check_packing(df.collect(), packing.packed(df, PATH, max_len=64).collect(), 64)
     assert packing.packed(empty(df), PATH).count() == 0
@@ -537,6 +543,24 @@ def test_mix(spark, sf, monkeypatch):
         assert copies.get(r.doc_id, 0) == r.taken / r.size
 
 
+@pytest.mark.parametrize("sort_rows", [4, 32])
+def test_mix_cuts_small_parts(spark, monkeypatch, sort_rows):
+    """However many rows a source has, the part that is sorted and each window of sums stay small."""
+    monkeypatch.setattr(mixing, "SORT_ROWS", sort_rows)
+    monkeypatch.setattr(mixing, "PARTS", 4.0)
+    seen, ends = [], mixing.where_it_ends
+
+    def watched(inside, scale):
+        of = inside.groupBy("_source", mixing.bucket(F.col("_key"), F.lit(scale)).alias("b")).count()
+        seen.append(of.groupBy("_source").count().agg(F.max("count")).first()[0])
+        return ends(inside, scale)
+
+    monkeypatch.setattr(mixing, "where_it_ends", watched)
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("two words "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    out = mixing.mix(docs, [3], share=0.5).agg(F.sum("taken"), F.max("target")).first()
+    assert abs(out[0] - out[1]) <= 3 and max(seen[1:]) <= 4 and seen[0] < 250 and len(seen) >= 3
+
+
 def test_mix_odd_rows(spark):
     df = odd_docs(spark, True)
     out = mixing.mix(df, [3, 1, 2]).toPandas()
@@ -553,8 +577,50 @@ def test_merkle_audit(spark, tmp_path):
     b = spark.createDataFrame([(k, r + "!" if k in (70, -3) else r) for k, r in rows if k != 700] + [(5000, "new")], "record_id long, record string")
     got = {r.record_id: r.state for r in warc.audit(a, b).collect()}
     assert got == {70: "changed", -3: "changed", 700: "missing", 5000: "extra"}
+
+
+def test_merkle_audit_of_far_ids(spark):
+    """Ids beyond 2**53, the least and the greatest long, a null beside -1, a null and a very long record."""
+    ids = [2**60, 2**60 + 127, 2**60 + 128, 2**60 + 256, -(2**63), 2**63 - 1, -1, None, 0, 5]
+    rows = [(k, f"record {k}") for k in ids] + [(9, None), (10, "long " * 400_000)]
+    a = spark.createDataFrame(rows, "record_id long, record string")
+    assert warc.audit(a, a.repartition(3)).count() == 0
+    gone = {2**60 + 128: None, None: "other", 10: "long " * 400_000 + "x", -(2**63): None}
+    b = spark.createDataFrame([(k, gone.get(k, r)) for k, r in rows if not (k in gone and gone[k] is None)], "record_id long, record string")
+    got = {r.record_id: (r.state, r.segment, r.offset, r.bytes) for r in warc.audit(a, b).collect()}
+    assert got == {2**60 + 128: ("missing", 2**52, 2 * len("record ") + 2 * 19, 26), None: ("changed", None, 0, 11), 10: ("changed", 0, 16, 2_000_000), -(2**63): ("missing", -(2**55), 0, 27)}
+    before = {r.node: r.hash for r in warc.tree(warc.leaves(a), 1).filter("level = 1").collect()}
+    after = {r.node: r.hash for r in warc.tree(warc.leaves(b), 1).filter("level = 1").collect()}
+    assert {k for k in before if before[k] != after.get(k)} == {2**56 + 8, None, 0, -(2**59)}
+
+
+def test_node_hash_covers_offset_ranges(spark):
+    leaf = spark.createDataFrame([(1, 10, "a"), (2, 20, "b")], "record_id long, bytes long, hash string")
+    other = leaf.withColumn("bytes", F.col("bytes") + F.when(F.col("record_id") == 1, 5).otherwise(-5))
+    one, two = (warc.tree(x, 1).filter("level = 1").first() for x in (leaf, other))
+    assert one.bytes == two.bytes == 30 and one.hash != two.hash
+
+
+def test_read_warc(spark, sf, tmp_path):
     import gzip
 
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    records = warc.records(pages)
+    rows = [r.record.encode() for r in records.orderBy("record_id").collect()]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "all.warc").write_bytes(b"".join(rows[:100]))
+    (tmp_path / "w" / "rest.warc.gz").write_bytes(b"".join(map(gzip.compress, rows[100:])))
+    read = warc.read_warc(spark, str(tmp_path / "w"))
+    again = read.select(F.col("uri").alias("url"), F.decode("body", "UTF-8").alias("html")).join(pages.select("page_id", "url"), "url")
+    assert read.count() == len(rows) and warc.audit(records, warc.records(again)).count() == 0
+    for name, start in (("all.warc", 0), ("rest.warc.gz", 100)):
+        data = (tmp_path / "w" / name).read_bytes()
+        got = sorted(r.record_offset for r in read.filter(F.col("file").endswith(name)).collect())
+        sizes = [len(x if start == 0 else gzip.compress(x)) for x in (rows[:100] if start == 0 else rows[100:])]
+        assert got == np.cumsum([0, *sizes])[:-1].tolist() and len(data) == sum(sizes)
+    cut = b"noise WARC/ " + rows[0] + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort"
+    assert [b for *_, b in warc.warc_records(pa.BufferReader(cut))][1] == b"short" and not list(warc.warc_records(pa.BufferReader(b"")))
+
     body = b"hello\r\n"
     data = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://a\r\nContent-Length: 7\r\n\r\n" + body + b"\r\n\r\n"
     (tmp_path / "a.warc").write_bytes(data * 2)
