@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +23,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that are never part of an article.
 DROPPED = frozenset("nav footer aside dialog menu button select option fieldset head object canvas audio video map".split())
 #: Words in class, id or role that mark an element as no part of an article, unless it holds most of the page's text.
-MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal footer masthead topbar comment comments disqus reply replies respond share sharing related recommended newsletter subscribe subscription signup login pagination pager complementary contentinfo".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal footer masthead topbar comment comments disqus reply replies respond share sharing related recommended newsletter subscribe subscription signup login pagination pager complementary contentinfo thread discussion".split())
 #: Words that do so unless a word of ``GOOD`` stands beside them.
 WEAK_MARKS = frozenset("alert banner notice overlay search side skip social sponsor toolbar widget".split())
 GOOD = frozenset("article body content entry main post story text".split())
 #: Marks of what may hold most of a page's text and still be no article.
-TALK = frozenset("comment comments consent cookie cookies disqus gdpr replies reply respond".split())
+TALK = frozenset("comment comments consent cookie cookies disqus discussion gdpr replies reply respond thread".split())
+#: A heading that begins a box of readers' comments.
+_TALK_HEADING = re.compile(r"\W*\d*\s*(?:(?:reader|user)s?\W*\s)?(?:comments?|replies|responses|discussion|(?:leave|post|add|write) an? (?:reply|comment))\W*\d*\W*", re.I)
 #: Words that turn a mark around, as in "no-sidebar" or "has-comments".
 TURNS = frozenset("has no with without".split())
 #: An end or start of the second kind of element closes an open one of the first.
@@ -42,36 +46,26 @@ RUNNING, MUCH = 80, 200
 
 
 class Element:
-    """An element with the lengths of its text and of the text in its links."""
+    """An element: what its tag and names say, and sums over the text blocks in it."""
 
-    __slots__ = ("chars", "dropped", "good", "links", "mark", "near", "parent", "prose", "running", "score", "tag", "title")
+    __slots__ = ("articles", "at", "block", "box", "chars", "child", "dropped", "fence", "first", "good", "half", "in_article", "kept", "last", "last_block", "links", "mark", "parent", "prose", "running", "score", "stays", "tag", "title")
 
-    def __init__(self, tag: str, parent: Element | None, mark: str = "", good: bool = False):
-        self.tag, self.parent, self.mark, self.good = tag, parent, mark, good
+    def __init__(self, tag: str, parent: Element | None, depth: int = 0, at: int = 0, mark: str = "", good: bool = False):
+        self.tag, self.parent, self.mark, self.good, self.at = tag, parent, mark, good, at
         self.dropped = mark == "dropped" or parent is not None and parent.dropped
-        #: The innermost marked element around this one, or itself.
-        self.near: Element | None = self if mark else parent and parent.near
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        #: Depths of the innermost elements around here that are no inline ones, and that no end tag of a paragraph goes beyond.
+        self.block: Element = self if parent is None or tag not in INLINE else parent.block
+        self.fence: int = depth if tag in FENCES or parent is None else parent.fence
+        self.last, self.first, self.last_block = at, -1, -1
         self.score, self.chars, self.links = 0.0, 0, 0
         self.prose, self.running, self.title = 0, 0, False
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
 
-    def ancestors(self) -> Iterator[Element]:
-        at = self.parent
-        while at is not None:
-            yield at
-            at = at.parent
 
-    def marks(self) -> Iterator[Element]:
-        """Marked elements around this one, itself included."""
-        at = self.near
-        while at is not None:
-            yield at
-            at = at.parent and at.parent.near
-
-    def inside(self, other: Element) -> bool:
-        return self is other or any(a is other for a in self.ancestors())
+Block = tuple[Element, str, int, Element]
 
 
 def mark_of(tag: str, rest: str, in_article: bool) -> tuple[str, bool]:
@@ -94,29 +88,46 @@ def mark_of(tag: str, rest: str, in_article: bool) -> tuple[str, bool]:
     return "", good
 
 
-def blocks_of(page: str) -> list[tuple[Element, str, int, Element]]:
-    """Text blocks of a page in order: element, text, characters inside links and innermost element."""
+def parsed(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements and text blocks of a page in order: element, text, characters inside links and innermost element.
+
+    One pass: each step looks at the innermost open element of a tag only, and
+    what has no end is looked for once.
+    """
     root = Element("html", None)
-    stack, blocks, text, links, in_link, at = [root], [], [], 0, 0, 0
+    elements, stack, blocks, text, links, in_link, at = [root], [root], [], [], 0, 0, 0
+    opened: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
+    endless: set[str] = set()
+    end = page.rfind(">") + 1  # no tag begins behind it
 
     def close_block() -> None:
         nonlocal links
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
-            if words and not stack[-1].dropped:
-                owner = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-                blocks.append((owner, words, min(links, len(words)), stack[-1]))
+            inner = stack[-1]
+            if words and not inner.dropped:
+                owner, box = inner.block, inner.block.parent
+                if owner.tag in HEADINGS and box is not None and box.first < 0 and box.tag in ("div", "section") and not box.mark and _TALK_HEADING.fullmatch(words):
+                    box.mark = "talk"
+                e = inner
+                while e is not None and e.first < 0:
+                    e.first = len(blocks)
+                    e = e.parent
+                blocks.append((owner, words, min(links, len(words)), inner))
             text.clear()
         links = 0
 
     def pop_to(k: int) -> None:
         nonlocal in_link
-        in_link -= sum(e.tag == "a" for e in stack[k:])
+        for e in stack[k:]:
+            opened[e.tag].pop()
+            in_link -= e.tag == "a"
         del stack[k:]
 
     while at < len(page):
-        m = _TOKEN.search(page, at)
-        bare = page[at : m.start() if m else len(page)]
+        m = _TOKEN.search(page, at, end) if at < end else None
+        stop = m.start() if m else page.find("<!--", at)
+        bare = page[at : stop if stop >= 0 else len(page)]
         if bare:
             text.append(bare)
             if in_link:
@@ -125,80 +136,110 @@ def blocks_of(page: str) -> list[tuple[Element, str, int, Element]]:
             break
         at = m.end()
         if m["tag"] is None:
+            if page.startswith("<!--", stop) and not page.endswith("-->", stop, at):
+                break
             continue
         tag, rest = m["tag"].lower(), m["rest"] or ""
         if m["end"]:
             if tag not in INLINE:
                 close_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    pop_to(k)
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE or tag == "p" and stack[k].tag in FENCES:
-                    break
+            k = opened[tag][-1] if opened.get(tag) else 0
+            inner = stack[-1]
+            if k > (opened[inner.block.tag][-1] if tag in INLINE and inner.block is not root else inner.fence if tag == "p" else 0):
+                pop_to(k)
             continue
         if tag in RAW and not rest.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if tag in ("script", "style") else at
+            close = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at, end)
+            if close is None:
+                endless.add(tag)
+            at = close.end() if close else len(page) if tag in ("script", "style") else at
             continue
         if tag not in INLINE and tag != "wbr":
             close_block()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" and tag not in VOID or tag in CLOSES and stack[k].tag in CLOSES[tag]:
-                    pop_to(k)
-                    break
-                if stack[k].tag in FENCES:
-                    break
+            ended = [*(() if tag in VOID else ("p",)), *CLOSES.get(tag, ())]
+            k = max((opened[t][-1] for t in ended if opened.get(t)), default=0)
+            if k > stack[-1].fence:
+                pop_to(k)
         if tag in VOID or rest.endswith("/") and tag in INLINE:
             continue
         parent = stack[-1]
-        in_article = any(e.tag in ("article", "main") for e in stack)
-        stack.append(Element(tag, parent, *mark_of(tag, rest, in_article)))
+        opened[tag].append(len(stack))
+        e = Element(tag, parent, len(stack), len(elements), *mark_of(tag, rest, parent.in_article))
+        stack.append(e)
+        elements.append(e)
         in_link += tag == "a"
     close_block()
-    return blocks
-
-
-def released(blocks: list[tuple[Element, str, int, Element]]) -> set[int]:
-    """Ids of the marked elements that stay because they hold the page's article.
+    for e in reversed(elements):
+        e.first = -1
+        if e.parent is not None:
+            e.parent.last = max(e.parent.last, e.last)
+    return elements, blocks
+
+
+def summed(elements: list[Element], blocks: list[Block]) -> None:
+    """Sums of the blocks in each element: from the innermost out, an element adds what it has to its parent."""
+    for e in elements:
+        e.score, e.chars, e.links, e.prose, e.running, e.title, e.first, e.last_block = 0.0, 0, 0, 0, 0, False, -1, -1
+    for at, (owner, words, linked, _) in enumerate(blocks):
+        prose = len(words) - linked if linked * 2 < len(words) else 0
+        owner.chars += len(words)
+        owner.links += linked
+        owner.prose += prose
+        owner.running += prose if prose >= RUNNING else 0
+        owner.title |= owner.tag == "h1"
+        owner.first, owner.last_block = owner.first if owner.first >= 0 else at, at
+        holder = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td") else owner.parent or owner
+        holder.score += 1.0 + sum(map(words.count, ",،、，")) + min(len(words) / 100, MAX_POINTS)
+    for e in reversed(elements):
+        p = e.parent
+        if p is not None and e.first >= 0:
+            p.chars += e.chars
+            p.links += e.links
+            p.prose += e.prose
+            p.running += e.running
+            p.title |= e.title
+            p.score += e.score / 2
+            p.first, p.last_block = min(p.first, e.first) if p.first >= 0 else e.first, max(p.last_block, e.last_block)
+
+
+def released(elements: list[Element]) -> set[int]:
+    """Places of the marked elements that stay because they hold the page's article.
 
     Such an element holds over half of the page's text outside links, and is
     named as an article, or holds a main heading or an element that is one with
     as much text; or it holds three quarters of the text in running paragraphs.
     Without a good name of its own it goes if an article stands beside it.
     """
-    total, seen = 0, {}
-    for owner, words, linked, _ in blocks:
-        prose = len(words) - linked if linked * 2 < len(words) else 0
-        total += prose
-        for e in (owner, *owner.ancestors()):
-            e.prose += prose
-            e.running += prose if prose >= RUNNING else 0
-            e.title |= owner.tag == "h1"
-            seen[id(e)] = e
-    marked = {id(m): m for *_, inner in blocks for m in inner.marks()}
-    named = [e for e in seen.values() if e.good and not e.mark and e.prose]
+    total = elements[0].prose
+    named = [e for e in elements if e.good and not e.mark and e.prose]
+    # elements with over half of the text lie in each other, so the innermost one says whether any is in another
+    deepest = max((e.at for e in named if e.prose * 2 > total), default=-1)
+    articles = [e.at for e in named if e.tag in ("article", "main")]
+    of = set(articles)
+    for e in elements:
+        e.articles = (e.parent.articles if e.parent is not None else 0) + (e.at in of)
     out = set()
-    for k, m in marked.items():
-        if m.prose * 2 <= total:
+    for m in elements:
+        if not m.mark or m.first < 0 or m.prose * 2 <= total:
             continue
-        holds = m.title or any(e.prose * 2 > total and e.inside(m) for e in named)
-        rival = any(e.tag in ("article", "main") and not e.inside(m) and not m.inside(e) for e in named)
+        holds = m.title or deepest >= m.at
+        inside = bisect_right(articles, m.last) - bisect_left(articles, m.at)
+        rival = len(articles) > inside + m.articles - (m.at in of)
         if m.good and (m.mark != "talk" or not rival) or not rival and (holds or m.mark != "talk" and m.prose * 4 > total * 3 and m.running >= MUCH):
-            out.add(k)
+            out.add(m.at)
     return out
 
 
-def beside(best: Element, kept: set[int], blocks: list[tuple[Element, str, int]]) -> set[int]:
-    """Places of the blocks that go with the kept children of one parent.
+def beside(blocks: list[Block], top: Element) -> set[int]:
+    """Places of the blocks that go with the kept children of ``top``.
 
     These are what stands between kept children, headings before them with
     what lies between, and lists and the like behind them.
     """
     units: list[tuple[Element | None, list[int]]] = []  # children of the parent in order; its own text has no element
-    for at, (owner, _, _) in enumerate(blocks):
-        child = next((e for e in (owner, *owner.ancestors()) if e.parent is best.parent), None)
-        if child is None and owner is not best.parent:
+    for at, (owner, *_) in enumerate(blocks):
+        child = owner.child
+        if child is None and owner is not top:
             continue
         if units and child is not None and units[-1][0] is child:
             units[-1][1].append(at)
@@ -211,7 +252,7 @@ def beside(best: Element, kept: set[int], blocks: list[tuple[Element, str, int]]
     def heading(unit: tuple[Element | None, list[int]]) -> bool:
         return all(blocks[k][0].tag in HEADINGS for k in unit[1])
 
-    held = [k for k, (child, _) in enumerate(units) if child is not None and id(child) in kept]
+    held = [k for k, (child, _) in enumerate(units) if child is not None and child.kept is child]
     first, last = held[0], held[-1]
     chosen = {k for k in range(first, last) if share(units[k]) <= 0.6}
     start = k = first
@@ -244,70 +285,58 @@ def main_text(page: str | None) -> str:
     left out, unless running text goes before them, and after them or a heading
     leads them in.
     """
-    every = blocks_of(page or "")
-    stay = released(every) if any(inner.near for *_, inner in every) else set()
-    blocks = [(owner, words, linked) for owner, words, linked, inner in every if all(id(m) in stay for m in inner.marks())]
-    containers: dict[int, Element] = {}
-    for owner, words, linked in blocks:
-        points = 1.0 + sum(map(words.count, ",،、，")) + min(len(words) / 100, MAX_POINTS)
-        for e in (owner, *owner.ancestors()):
-            e.chars += len(words)
-            e.links += linked
-        holder = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td") else owner.parent or owner
-        for e in (holder, *holder.ancestors()):
-            e.score += points
-            containers[id(e)] = e
-            points /= 2
-    if not containers:
+    elements, every = parsed(page or "")
+    summed(elements, every)
+    stay = released(elements)
+    for e in elements:
+        p = e.parent
+        e.stays = (p is None or p.stays) and (not e.mark or e.at in stay)
+        e.half = p is not None and p.half or bool(e.mark) and e.mark != "form" and not e.good
+    blocks = [b for b in every if b[3].stays]
+    if not blocks:
         bare = re.sub(r"(?i)</?form\b[^>]*>", "", page or "")
         return main_text(bare) if bare != (page or "") else ""  # some pages are one form
+    if len(blocks) < len(every):
+        summed(elements, blocks)
+
+    def worth(e: Element) -> float:
+        return e.score * (1 - e.density()) * (2 if e.tag in ("article", "main") else 1) * (0.5 if e.half else 1)
+
+    best = max((e for e in elements if e.score), key=worth)
+    top = best.parent
+    for e in elements:
+        p = e.parent
+        if e is best or p is not None and p is top and e.first >= 0 and (worth(e) >= worth(best) / 5 or e.tag == "p" and e.chars > 80 and e.density() < 0.25):
+            e.kept = e
+        else:
+            e.kept = p and p.kept
+        e.child = e if p is not None and p is top else p and p.child
+        linked = e.tag in BOXES and e.density() > 0.6
+        e.box = None if e.kept is e or e is top else p and p.box or (e if linked else None)
+    more = beside(blocks, top) if top is not None else set()
 
-    def weight(e: Element) -> float:
-        return (2 if e.tag in ("article", "main") else 1) * (0.5 if any(m.mark != "form" and not m.good for m in e.marks()) else 1)
-
-    worth = {k: e.score * (1 - e.density()) * weight(e) for k, e in containers.items()}
-    best = containers[max(worth, key=worth.__getitem__)]
-    kept = {id(best)}
-    for owner, _, _ in blocks:
-        line = [owner, *owner.ancestors()]
-        sibling = next((e for e in line if e.parent is best.parent), None)
-        if best.parent is None or sibling is None or id(sibling) in kept:
-            continue
-        if worth.get(id(sibling), 0) >= worth[id(best)] / 5 or sibling.tag == "p" and sibling.chars > 80 and sibling.density() < 0.25:
-            kept.add(id(sibling))
-    more = beside(best, kept, blocks) if best.parent is not None else set()
-    in_kept = [next((e for e in (owner, *owner.ancestors()) if id(e) in kept), None) for owner, _, _ in blocks]
-
-    spans: dict[int, list[int]] = {}
     running = [0]  # running blocks before each block
-    for at, (owner, words, linked) in enumerate(blocks):
+    for owner, words, linked, _ in blocks:
         running.append(running[-1] + (owner.tag not in HEADINGS and linked * 2 < len(words) and len(words) - linked >= RUNNING / 2))
-        for e in (owner, *owner.ancestors()):
-            spans.setdefault(id(e), [at, at])[1] = at
 
     def in_text(box: Element) -> bool:
-        first, last = spans[id(box)]
-        begin, end = spans[id(box.parent)]
-        if running[first] == running[begin]:
+        if running[box.first] == running[box.parent.first]:
             return False
-        lead = next((at for at in (first, first - 1) if blocks[at][0].tag in HEADINGS), None)
+        lead = next((at for at in (box.first, box.first - 1) if blocks[at][0].tag in HEADINGS), None)
         if lead is not None:
             return not {w.lower() for w in _WORDS.findall(blocks[lead][1])} & MARKS
-        return running[end + 1] > running[last + 1]
+        return running[box.parent.last_block + 1] > running[box.last_block + 1]
 
     known: dict[int, bool] = {}
 
-    def menu(owner: Element, top: Element | None) -> bool:
-        line = [owner, *owner.ancestors()]
-        below = line[: next((k for k, e in enumerate(line) if e is top or top is None and e is best.parent), len(line))]
-        box = next((e for e in reversed(below) if e.tag in BOXES and e.density() > 0.6), None)
+    def menu(box: Element | None) -> bool:
         if box is None:
             return False
-        if id(box) not in known:
-            known[id(box)] = not in_text(box)
-        return known[id(box)]
+        if box.at not in known:
+            known[box.at] = not in_text(box)
+        return known[box.at]
 
-    return " ".join(words for at, (owner, words, _) in enumerate(blocks) if (in_kept[at] is not None or at in more) and not menu(owner, in_kept[at]))
+    return " ".join(words for at, (owner, words, *_) in enumerate(blocks) if (owner.kept is not None or at in more) and not menu(owner.box))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -217,6 +217,49 @@ def test_html_article_of_links():
     assert text == " ".join(f"A linked headline, number {k} seen" for k in range(9))
 
 
+LAYOUTS = [
+    "<body><nav>{home}</nav><div id=wrapper><div class=entry-content>{text}</div></div></body>",
+    "<body><table><tr><td>{home}</td><td>{text}</td></tr></table></body>",
+    "<body><div class='content sidebar-right'>{text}<div class=foo>{home}</div></div></body>",
+    "<body><div class='post comments-open'>{text}</div><section class='c-thread'><p>I think, it is, so, good.</p></section></body>",
+    "<body><div class='story share-enabled'>{text}</div></body>",
+    "<body><div class=post>{text}<section><h3>3 Comments</h3><article><p>Nice, thanks, a lot, indeed.</p></article></section></div></body>",
+    "<body><header class=masthead><h1>Site</h1></header><main>{text}</main><footer>Rights</footer></body>",
+    "<body><div><div><div><div>{text}</div></div></div></div><aside><p>Aside, with, commas, here.</p></aside></body>",
+    "<body><section>{text}</section><section class=newsletter><p>Sign up, now, for, more news.</p></section></body>",
+    "<body>{text}<div class=cookie-banner><p>We use cookies, as all do, ok.</p></div></body>",
+    "<body><center><div class=page>{text}</div></center><div class=disqus><p>First, second, third, fourth.</p></div></body>",
+    "<html><head><title>T</title></head><body><div role=navigation>{home}</div><div role=main>{text}</div></body></html>",
+]
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_html_layouts_without_article_tags(layout):
+    assert html.main_text(layout.format(home=HOME, text=PARAGRAPHS)) == ARTICLE
+
+
+HOSTILE = ["<div>x", "<a ", "<a '>", "<textarea>x", "<center>x", "<b>x<br>", "<ul><li>x", "<form>x", "<div class=comments><p>a, b</p>", "<article><p>a, b</p>", "<b><div><i></b>", "<!x", "</x>"]
+
+
+@pytest.mark.parametrize("piece", HOSTILE)
+def test_html_takes_time_in_proportion(piece):
+    """A megabyte of nested, unclosed or unmatched tags."""
+    import time
+
+    began = time.process_time()
+    html.main_text("<div>" * 1000 + piece * (1_000_000 // len(piece)) + ">")
+    assert time.process_time() - began < 10
+
+
+def test_html_odd_rows(spark):
+    long = "".join(f"<p>Paragraph {k}, of a long page, with text.</p>" for k in range(30_000))
+    rows = [(1, "u", None), (None, None, ""), (3, "v", "<p>same</p>"), (3, "v", "<p>same</p>"), (4, "w", f"<body><div>{long}</div></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(-1), "_html": F.lit("clash")})
+    got = sorted(((r.page_id or 0, r.url, r.n_chars, len(r.text)) for r in html.main_texts(pages).collect()), key=str)
+    n = sum(len(f"Paragraph {k}, of a long page, with text. ") for k in range(30_000)) - 1
+    assert got == sorted([(0, None, 0, 0), (1, "u", 0, 0), (3, "v", 4, 4), (3, "v", 4, 4), (4, "w", n, n)], key=str)
+
+
 def plain_fingerprint(text):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
