@@ -14,6 +14,10 @@ from landloom.llm.common import n_words, written
 
 #: Rows of one source that one task sorts.
 SORT_ROWS = 1_000
+#: Buckets for each unit of a key's logarithm, and into how many parts a bucket is cut at a time.  Powers of 2, so that parts lie within their bucket exactly.
+BUCKETS, PARTS = 16.0, 256.0
+#: Finer parts than this cannot be told from each other.
+FINEST = 2.0**44
 
 
 def quality_weight(text, size) -> F.Column:
@@ -70,20 +74,26 @@ def plan(rows: DataFrame, weights: list[int], share: float, cap: float) -> DataF
     the document behind the cut whose size fits what is left of it best, if
     taking it comes nearer to the budget than leaving it.
 
-    Sizes are summed in buckets of the key's logarithm, in which no bucket can
-    hold more than about ``SORT_ROWS`` rows whatever the weights; only the
-    bucket in which the budget ends is sorted.
+    Sizes are summed in buckets of the key's logarithm.  The bucket in which
+    the budget ends is cut into parts, and the part in which it ends again,
+    until no such part holds more than ``SORT_ROWS`` rows; only these are sorted.
     """
     each = written(targets(rows, weights, share, cap), "mix-targets")
     each = each.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    each = each.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("_scale", F.greatest(F.lit(1.0), F.col("n_rows") / SORT_ROWS))
+    each = each.withColumn("_rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     same = F.col("a._source").eqNullSafe(F.col("b._source"))
     grouped = rows.groupBy("_source", "_key").agg(F.sum("_size").alias("_size"))
-    groups = written(grouped.alias("a").join(each.alias("b"), same).select("a.*", "b._rest", bucket(F.col("_key"), F.col("_scale")).alias("_bucket")), "mix-groups")
-
-    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = groups.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum"), F.min("_rest").alias("_rest")).withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    cut = sums.filter("_before + _sum > _rest").groupBy("_source").agg(F.min(F.struct("_bucket", "_before")).alias("c")).select("_source", F.col("c._bucket").alias("cut_bucket"), F.col("c._before").alias("_before"))
+    groups = written(grouped.alias("a").join(each.alias("b"), same).select("a.*", "b._rest"), "mix-groups")
+
+    scale, inside = BUCKETS, groups.withColumn("_base", F.lit(0).cast("long"))
+    while True:
+        cut = written(where_it_ends(inside, scale), "mix-cut")
+        if (cut.agg(F.max("_rows")).first()[0] or 0) <= SORT_ROWS or scale >= FINEST:
+            break
+        inside = groups.alias("a").join(cut.alias("b"), same & (bucket(F.col("a._key"), F.lit(scale)) == F.col("b.cut_bucket"))).select("a.*", F.col("b._before").alias("_base"))
+        scale *= PARTS
+    cut = cut.select("_source", "cut_bucket", "_before")
+    groups = groups.withColumn("_bucket", bucket(F.col("_key"), F.lit(scale)))
     inside = groups.alias("a").join(cut.alias("b"), same & (F.col("a._bucket") == F.col("b.cut_bucket"))).select("a.*", "b._before")
     upto = Window.partitionBy("_source").orderBy("_key").rowsBetween(Window.unboundedPreceding, 0)
     ends = inside.withColumn("_upto", F.sum("_size").over(upto) + F.col("_before")).groupBy("_source").agg(
@@ -94,13 +104,26 @@ def plan(rows: DataFrame, weights: list[int], share: float, cap: float) -> DataF
     gap = F.col("_rest") - F.col("_taken")
     fits = F.when(~below_cut() & (F.col("_size") > 0) & (F.col("_size") < 2 * gap), F.struct(F.abs(F.col("_size") - gap).alias("off"), F.col("_key").alias("key")))
     closing = groups.alias("a").join(cut.alias("b"), same).select("a.*", "b.cut_bucket", "b.cut_key", "b._taken").groupBy("_source").agg(F.min(fits)["key"].alias("closing_key"))
-    out = each.alias("a").join(cut.alias("b"), same, "left").select("a.*", "b.cut_bucket", "b.cut_key")
+    out = each.withColumn("_scale", F.lit(scale)).alias("a").join(cut.alias("b"), same, "left").select("a.*", "b.cut_bucket", "b.cut_key")
     out = out.alias("a").join(closing.alias("b"), same, "left").select("a.*", "b.closing_key")
     return written(out.select("_source", "source_size", "target", "epochs", "_scale", "cut_bucket", "cut_key", "closing_key"), "mix-plan")
 
 
+def where_it_ends(inside: DataFrame, scale: float) -> DataFrame:
+    """Per source the bucket in which its budget ends: cut_bucket, _before (words before it) and _rows.
+
+    ``inside`` holds the rows of one bucket of each source, or of all, with the
+    words before them in _base; so few rows of sums meet in a window.
+    """
+    sums = inside.groupBy("_source", bucket(F.col("_key"), F.lit(scale)).alias("_bucket")).agg(F.sum("_size").alias("_sum"), F.count("*").alias("_rows"), F.min("_rest").alias("_rest"), F.min("_base").alias("_base"))
+    before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0)) + F.col("_base"))
+    over = sums.filter("_before + _sum > _rest").groupBy("_source").agg(F.min(F.struct("_bucket", "_before", "_rows")).alias("c"))
+    return over.select("_source", F.col("c._bucket").alias("cut_bucket"), F.col("c._before").alias("_before"), F.col("c._rows").alias("_rows"))
+
+
 def bucket(key, scale) -> F.Column:
-    """Bucket of a key: its logarithm has a density below 0.37 for any weight."""
+    """Bucket of a key: its logarithm, some 45 wide for any weight, times ``scale``."""
     return F.floor((F.log(key) + 40.0) * scale)
 
 
