@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from landloom.llm.common import written
 from landloom.llm.tokens import crc32, encoded, encoder
 
-#: Pieces of one length that one task ranks.
-RANK_ROWS = 1_000
+#: Pieces of one length that one task ranks, and buckets of them that are summed up together.
+RANK_ROWS, SUM_BUCKETS = 1_000, 1_000
 
 
 def pack_histogram(counts: dict[int, int], max_len: int) -> list[tuple[int, list[int]]]:
@@ -98,12 +98,18 @@ def ranked(rows: DataFrame, by: str, order: list[str], counts: DataFrame) -> Dat
 
     ``counts`` has ``by`` and ``count``.  Rows of a common value are dealt to
     as many buckets as their number asks for and ranked inside these; a bucket's
-    first rank is a running sum over buckets, so no task holds a hot value.
+    first rank is a running sum over buckets, taken in parts and over the parts,
+    so no task holds a hot value, nor all its buckets.
     """
     buckets = counts.select(by, F.ceil(F.col("count") / RANK_ROWS).cast("int").alias("_n"))
     dealt = written(rows.join(F.broadcast(buckets), by).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_n"))).drop("_n"), "ranked")
-    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = dealt.groupBy(by, "_bucket").count().select(by, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    counts = dealt.groupBy(by, "_bucket").count().withColumn("_part", F.floor(F.col("_bucket") / SUM_BUCKETS))
+
+    def before(*keys: str, along: str) -> F.Column:
+        return F.coalesce(F.sum("count").over(Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = counts.groupBy(by, "_part").agg(F.sum("count").alias("count")).select(by, "_part", before(by, along="_part").alias("_base"))
+    first = counts.withColumn("_first", before(by, "_part", along="_bucket")).join(parts, [by, "_part"]).select(by, "_bucket", (F.col("_first") + F.col("_base")).alias("_first"))
     inside = Window.partitionBy(by, "_bucket").orderBy(*order)
     return dealt.withColumn("rank", F.row_number().over(inside) - 1).join(first, [by, "_bucket"]).withColumn("rank", F.col("rank") + F.col("_first")).drop("_bucket", "_first")
 
