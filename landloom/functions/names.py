@@ -161,3 +161,8 @@ def softmax(values) -> Column:
 def argmax(values) -> Column:
     """Place, from 1, of the first largest element."""
     return F.array_position(values, F.array_max(values)).cast("int")
+
+
+def joined_list(columns: list[str], separator: str) -> Column:
+    """values of columns as text, joined."""
+    return F.array_join(F.array(*(F.col(c).cast("string") for c in columns)), separator)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -77,11 +79,17 @@ def error_bars(table: DataFrame) -> DataFrame:
     return table.withColumns({"err_low": o - lo, "err_high": hi - o, "half_width": (hi - lo) / 2, "width": hi - lo, "text": F.format_string("%.2f [%.2f, %.2f]", o, lo, hi)})
 
 
+def _stream(seed: int, key: tuple) -> np.random.Generator:
+    """Random numbers of a group's own: the seed with a checksum of its key."""
+    return np.random.default_rng([seed, zlib.crc32(repr(tuple(map(str, key))).encode())])
+
+
 def multinomial_matrices(matrix: DataFrame, keys: list[str], replicates: int, seed: int, batch: int = 250) -> DataFrame:
-    """Replicates of whole matrices by multinomial draws over their cells.
+    """Replicates of whole matrices by multinomial draws over the cells of each row.
 
-    Each task draws a batch of replicates of one matrix, 100 cells at most, with
-    a seed of its own.
+    The number of samples of a true class stays; they are drawn anew over the
+    predicted classes by the shares that the row has.  Each task draws a batch
+    of replicates of one matrix, 100 cells at most, from a stream of its own.
     """
     parts = -(-replicates // batch)
     spread = matrix.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -89,27 +97,26 @@ def multinomial_matrices(matrix: DataFrame, keys: list[str], replicates: int, se
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y_true", "y_pred"])
-        part, p = int(key[-1]), pdf["n"].to_numpy(float)
+        part, rng = int(key[-1]), _stream(seed, key)
         size = min(batch, replicates - part * batch)
-        got = np.random.default_rng([seed, part]).multinomial(int(p.sum()), p / p.sum(), size)
+        rows = [p["n"].to_numpy(float) for _, p in pdf.groupby("y_true", sort=True)]
+        got = np.hstack([rng.multinomial(int(p.sum()), p / max(p.sum(), 1), size) for p in rows])
         out = pd.DataFrame({c: np.tile(pdf[c].to_numpy(), size) for c in (*keys, "y_true", "y_pred")})
-        return out.assign(replicate=np.repeat(np.arange(size) + part * batch, len(p)), n=got.ravel())
+        return out.assign(replicate=np.repeat(np.arange(size) + part * batch, len(pdf)), n=got.ravel())
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "y_true", "y_pred")) + ", replicate long, n long"
     return spread.groupBy(*keys, "part").applyInPandas(run, schema)
 
 
 def multinomial_areas(areas: DataFrame, keys: list[str], replicates: int, seed: int, pixel_km2: float) -> DataFrame:
-    """Mean and 95 percent interval of each class's area per zone and year."""
+    """Mean and 95 percent interval of each class's area per zone and year, each drawn from a stream of its own."""
     kinds = {f.name: f.dataType.simpleString() for f in areas.schema}
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class_id")
         p = pdf["n"].to_numpy(float)
-        got = np.random.default_rng([seed, len(p)]).multinomial(int(p.sum()), p / p.sum(), replicates) * pixel_km2
+        got = _stream(seed, key).multinomial(int(p.sum()), p / max(p.sum(), 1), replicates) * pixel_km2
         return pdf[[*keys, "class_id"]].assign(mean=got.mean(axis=0), lower=np.percentile(got, 2.5, axis=0), upper=np.percentile(got, 97.5, axis=0))
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "class_id")) + ", mean double, lower double, upper double"
     return areas.groupBy(*keys).applyInPandas(run, schema)
-
-

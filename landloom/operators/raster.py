@@ -196,3 +196,13 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(F.explode("cells").alias("x")).select("x.px_row", "x.px_col", F.col("x.v").alias("value"))
 
 
+
+
+def one_nodata(value: Column, values: list[int]) -> Column:
+    """Null for all of several nodata values."""
+    return F.when(~value.isin(values), value)
+
+
+def float_band(vector: str, k: int) -> Column:
+    """Band ``k``, from 0, of a vector as a 32-bit float."""
+    return F.get(F.col(vector), F.lit(k)).cast("float")

@@ -125,6 +125,41 @@ def best_epoch(history: DataFrame, delta: float) -> DataFrame:
     return history.groupBy("run_name").agg(rows.alias("_h")).select("run_name", F.aggregate("_h", start, step).alias("b")).select("run_name", "b.epoch", "b.f1", "b.loss")
 
 
-def history_of(history: DataFrame, name: str) -> DataFrame:
-    """History rows of a run, found by the end of its folder's name."""
-    return history.filter(F.col("run_dir").endswith(name))
+def history_of(history: DataFrame, name: str, own: DataFrame | None = None) -> DataFrame:
+    """History rows of a run: its own table, or if that is absent or empty those of the master table.
+
+    In the master table a run is found by the end of its folder's name.
+    """
+    rows = history.filter(F.col("run_dir").endswith(name))
+    if own is None:
+        return rows
+    there = own.limit(1).select(F.lit(True).alias("_own"))  # one row at most
+    return own.unionByName(rows.join(F.broadcast(there), F.col("_own"), "left_anti"), allowMissingColumns=True)
+
+
+def class_union(tables: list[DataFrame], columns: list[str]) -> DataFrame:
+    """Classes that occur in any of the columns of the tables."""
+    parts = [t.select(F.col(c).alias("class_id")) for t in tables for c in columns if c in t.columns]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def block_inventory(predictions: DataFrame) -> DataFrame:
+    """Samples and blocks of each run's test split."""
+    return predictions.filter("split = 'test'").groupBy("run_name").agg(F.count("*").alias("n"), F.count_distinct("block_id").alias("n_blocks"))
+
+
+def percent_within(rows: DataFrame, group: str, digits: int = 2) -> DataFrame:
+    """Number of rows of each group and its share of all; null groups count as empty text."""
+    n = rows.groupBy(F.coalesce(group, F.lit("")).alias(group)).agg(F.count("*").alias("n"))
+    return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), digits))
+
+
+def zone_ids(zones: DataFrame, name: str) -> DataFrame:
+    """Ids from 1 of zone names, trimmed and in lower case, in alphabetical order."""
+    z = zones.select(F.lower(F.trim(name)).alias("zone")).distinct()
+    return z.withColumn("zone_id", F.dense_rank().over(Window.orderBy("zone")))
+
+
+def only_runs(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of the wanted runs."""
+    return rows.join(wanted.select("run_name"), "run_name", "left_semi")

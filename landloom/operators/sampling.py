@@ -103,15 +103,32 @@ def array_summary(rows: DataFrame, features: str) -> DataFrame:
     return v.agg(F.count("*").alias("n"), F.min(good).alias("min"), F.max(good).alias("max"), F.avg(good).alias("mean"), F.stddev_pop(good).alias("std"), (F.count(good) / F.count("*")).alias("finite_share"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], per_task: int = 100_000) -> DataFrame:
+    """Adds ``_place``, from 0, among the rows that share ``by``, of which there are few values.
+
+    Rows of a value are dealt to buckets of about ``per_task`` and numbered
+    there; a bucket's first number is a running sum over buckets.
+    """
+    n = rows.groupBy(by).agg(F.ceil(F.count("*") / per_task).alias("_buckets"))
+    dealt = rows.join(n, by).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets")))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy(by, "_bucket").agg(F.count("*").alias("_n")).select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inner = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
+    return dealt.withColumn("_inner", inner).join(first, [by, "_bucket"]).withColumn("_place", F.col("_inner") + F.col("_first")).drop("_buckets", "_bucket", "_first", "_inner")
+
+
 def balanced_draw(rows: DataFrame, seed: int, keys: list[str], factor: int = 1) -> DataFrame:
-    """Rows drawn with replacement so that classes weigh the same.
+    """As many rows as there are, times ``factor``, drawn with replacement; classes weigh the same.
 
-    Each row is repeated a number of times whose mean is the size of the largest
-    class over that of its own, rounded up or down by a hash.
+    Each draw takes a class, then one of its rows, by hashes of its number, so
+    reruns agree; ``copy`` tells the draws of a row apart.  ``keys`` tell the
+    rows of a class apart.
     """
-    n = rows.groupBy("class_id").agg(F.count("*").alias("_n"))
-    top = n.agg((F.max("_n") * factor).alias("_top"))
-    mean = F.col("_top") / F.col("_n")
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) / 1e6
-    times = F.floor(mean) + F.when(u < mean - F.floor(mean), 1).otherwise(0)
-    return rows.join(F.broadcast(n.join(top, how="cross")), "class_id").withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_n", "_top")
+    every = Window.partitionBy()
+    classes = rows.groupBy("class_id").agg(F.count("*").alias("_n"))
+    classes = classes.withColumns({"_k": F.row_number().over(Window.orderBy("class_id")) - 1, "_classes": F.count("*").over(every), "_total": F.sum("_n").over(every)})
+    total = classes.agg(F.max("_total")).first()[0] or 0
+    draws = rows.sparkSession.range(total * factor).withColumnRenamed("id", "copy")
+    drawn = draws.join(F.broadcast(classes), F.pmod(F.xxhash64(F.lit(seed), "copy"), F.col("_classes")) == F.col("_k"))  # one row per class
+    drawn = drawn.select("copy", "class_id", F.pmod(F.xxhash64(F.lit(seed), F.lit("row"), "copy"), F.col("_n")).alias("_place"))
+    return numbered(rows, "class_id", keys).join(drawn, ["class_id", "_place"]).drop("_place").select(*rows.columns, "copy")

@@ -66,16 +66,21 @@ def inside(x: Column, y: Column, rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda a, r: a + crossings(r)) % 2 == 1
 
 
-def pixels_in(pixels: DataFrame, features: DataFrame, cell: float) -> DataFrame:
+def pixels_in(pixels: DataFrame, features: DataFrame, cell: float, how: str = "inner") -> DataFrame:
     """Pairs of a pixel (x, y) and a feature that holds its centre.
 
     Bounds of features are cut into square cells; pixels join by the cell they
-    are in, so the plan is a hash join whose rest is the exact test.
+    are in, so the plan is a hash join whose rest is the exact test.  With
+    ``how`` "left_semi" (A06) each pixel of the region comes once, without a feature.
     """
     b = features.withColumns(bounds())
     cells = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("minx") / cell), F.floor(F.col("maxx") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell)))).drop("minx", "miny", "maxx", "maxy")
     keyed = pixels.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    return keyed.join(cells, ["_cx", "_cy"]).filter(inside(F.col("x"), F.col("y"), F.col("rings"))).drop("_cx", "_cy", "rings")
+    if how == "left_semi":
+        cells = cells.select(F.col("_cx").alias("_fx"), F.col("_cy").alias("_fy"), "rings")
+        meets = (F.col("_cx") == F.col("_fx")) & (F.col("_cy") == F.col("_fy")) & inside(F.col("x"), F.col("y"), F.col("rings"))
+        return keyed.join(cells, meets, "left_semi").drop("_cx", "_cy")
+    return keyed.join(cells, ["_cx", "_cy"], how).filter(inside(F.col("x"), F.col("y"), F.col("rings"))).drop("_cx", "_cy", "rings")
 
 
 def zone_of_pixels(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: float) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landloom.operators import accuracy as A
 from landloom.operators import bootstrap as B
+from landloom.operators import runs as R
 from landloom.queries import query
 from landloom.sources.derived import table
 
@@ -144,7 +143,7 @@ def a15_uncertainty_per_run(spark, d):
 
 @query("SELECT run_name, count(*) AS n, count(DISTINCT block_id) AS n_blocks FROM {predictions} WHERE split = 'test' GROUP BY 1")
 def a48_block_inventory(spark, d):
-    return table(spark, d, "predictions").filter("split = 'test'").groupBy("run_name").agg(F.count("*").alias("n"), F.count_distinct("block_id").alias("n_blocks"))
+    return R.block_inventory(table(spark, d, "predictions"))
 
 
 @query("SELECT run_name, p.sample_id, y_true, y_pred, CAST(p.sample_id % 50 AS INT) AS block_id, count(*) AS n FROM {predictions} p GROUP BY ALL")
@@ -298,5 +297,4 @@ def b12_multinomial_areas(spark, d):
 
 @query("SELECT DISTINCT class_id FROM (SELECT y_true AS class_id FROM {confusion} UNION SELECT y_pred FROM {confusion})")
 def u03_class_union(spark, d):
-    c = table(spark, d, "confusion")
-    return reduce(DataFrame.union, [c.select(F.col("y_true").alias("class_id")), c.select("y_pred")]).distinct()
+    return R.class_union([table(spark, d, "confusion")], ["y_true", "y_pred"])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landloom.functions import names
 from landloom.functions.names import CLASS_NAMES
 from landloom.operators import change as C
+from landloom.operators import vector as V
 from landloom.queries import query
 from landloom.sources.derived import table
 
@@ -50,7 +52,7 @@ def p22_pairwise_uncertainty(spark, d):
 
 @query("SELECT px_row, px_col, part, c1 * 100 + c2 AS code, c1 AS from_class, c2 AS to_class FROM {class_pair}")
 def p23_transition_code(spark, d):
-    coded = pairs(spark, d).select("px_row", "px_col", "part", (F.col("c1") * 100 + F.col("c2")).alias("code"))
+    coded = pairs(spark, d).select("px_row", "px_col", "part", names.transition_code("c1", "c2").alias("code"))
     return coded.withColumns({"from_class": F.expr("cast(code div 100 as int)"), "to_class": F.col("code") % 100})
 
 
@@ -134,7 +136,12 @@ REGION = "px_row % 100 BETWEEN 20 AND 59"
 
 @query(f"""SELECT c1, c2, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM {{class_pair}} WHERE {REGION} AND {VALID} GROUP BY c1, c2""")
 def a06_region_transitions(spark, d):
-    inside = pairs(spark, d).filter(REGION).withColumn("zone", F.lit("region"))
+    p = pairs(spark, d).withColumns({"x": F.col("px_col").cast("double"), "y": F.col("px_row").cast("double")})
+    # the region is one of parts: a band across every hundred rows of the map
+    bands = p.select(F.expr("px_row div 100").alias("feature_id")).distinct()
+    edge = {"x0": F.lit(0.5), "y0": F.col("feature_id") * 100 + 19.5, "x1": F.lit(7.5), "y1": F.col("feature_id") * 100 + 59.5}
+    region = bands.withColumns(edge).select("feature_id", V.rectangle("x0", "y0", "x1", "y1").alias("rings"))
+    inside = V.pixels_in(p, region, 100.0, "left_semi").drop("x", "y").withColumn("zone", F.lit("region"))
     return C.transition_shares(inside).filter("scope = 'region' and n > 0").select("c1", "c2", "n", F.round("pct_scope", 6).alias("pct"))
 
 

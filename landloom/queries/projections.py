@@ -225,8 +225,8 @@ def f09_zone_name(spark, d):
 
 @query("SELECT sample_id, array_to_string([sample_id, area, class_id], '|') AS piped, array_to_string([sample_id, area, class_id], '-') AS dashed FROM {ae_pixels}")
 def f10_joined_lists(spark, d):
-    v = F.array(*(F.col(c).cast("string") for c in ("sample_id", "area", "class_id")))
-    return table(spark, d, "ae_pixels").select("sample_id", F.array_join(v, "|").alias("piped"), F.array_join(v, "-").alias("dashed"))
+    c = ["sample_id", "area", "class_id"]
+    return table(spark, d, "ae_pixels").select("sample_id", N.joined_list(c, "|").alias("piped"), N.joined_list(c, "-").alias("dashed"))
 
 
 @query("SELECT CASE WHEN pos <= 64 THEN 'embedding' ELSE 'index' END AS grp, count(*) AS n FROM {ae_pixels}, range(1, 75) t(pos) GROUP BY 1")

@@ -39,12 +39,12 @@ def g32_filled_seams(spark, d):
 @query("SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_suppkey % 50 IN (7, 8) OR l_suppkey % 50 = 0 THEN NULL ELSE CAST(l_suppkey % 50 AS INT) END AS value FROM {lineitem}")
 def g33_one_nodata(spark, d):
     v = (F.col("l_suppkey") % 50).cast("int")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.when(~v.isin(0, 7, 8), v).alias("value"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", R.one_nodata(v, [0, 7, 8]).alias("value"))
 
 
 @query("SELECT sample_id, ae[1] AS b1 FROM {ae_pixels}")
 def g34_float_bands(spark, d):
-    return table(spark, d, "ae_pixels").select("sample_id", F.col("ae")[0].cast("double").cast("float").alias("b1"))
+    return table(spark, d, "ae_pixels").select("sample_id", R.float_band("ae", 0).alias("b1"))
 
 
 

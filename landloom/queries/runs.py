@@ -59,10 +59,7 @@ def w02_rank_families(spark, d):
 
 @query(f"SELECT maj, n, round(n * 100.0 / sum(n) OVER (), 2) AS pct FROM (SELECT coalesce(maj, '') AS maj, count(*) AS n FROM {{landuse}} GROUP BY 1)")
 def w03_percent_within(spark, d):
-    from pyspark.sql import Window
-
-    n = table(spark, d, "landuse").groupBy(F.coalesce("maj", F.lit("")).alias("maj")).agg(F.count("*").alias("n"))
-    return n.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2))
+    return R.percent_within(table(spark, d, "landuse"), "maj")
 
 
 @query(f"SELECT family, round(avg(test_f1) FILTER (feature_set = 'ae64_plus10indices') - avg(test_f1) FILTER (feature_set = 'ae64'), 6) AS delta FROM {KNOWN} GROUP BY 1")
@@ -72,10 +69,7 @@ def w09_feature_set_gain(spark, d):
 
 @query("SELECT CAST(row_number() OVER (ORDER BY lower(trim(n_name))) AS INT) AS zone_id, lower(trim(n_name)) AS zone FROM {nation}")
 def w11_zone_ids(spark, d):
-    from pyspark.sql import Window
-
-    z = table(spark, d, "nation").select(F.lower(F.trim("n_name")).alias("zone")).distinct()
-    return z.withColumn("zone_id", F.dense_rank().over(Window.orderBy("zone")))
+    return R.zone_ids(table(spark, d, "nation"), "n_name")
 
 
 @query(f"SELECT run_name, row_number() OVER (ORDER BY {BEST}) AS place FROM {KNOWN}")
@@ -137,7 +131,7 @@ def s13_capped_rows(spark, d):
 @query("SELECT run_name, count(*) AS n FROM {predictions} WHERE run_name IN (SELECT run_name FROM {runs} WHERE depth = 1) GROUP BY 1")
 def j12_runs_subset(spark, d):
     wanted = table(spark, d, "runs").filter("depth = 1").select("run_name")
-    return table(spark, d, "predictions").join(wanted, "run_name", "left_semi").groupBy("run_name").agg(F.count("*").alias("n"))
+    return R.only_runs(table(spark, d, "predictions"), wanted).groupBy("run_name").agg(F.count("*").alias("n"))
 
 
 _H = "(SELECT s_nationkey AS run_name, s_suppkey AS epoch, round((s_suppkey * 37 % 101) / 101.0, 3)::DOUBLE AS f1, round((s_suppkey * 53 % 97) / 97.0, 3)::DOUBLE AS loss FROM {supplier})"

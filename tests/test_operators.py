@@ -172,3 +172,59 @@ def test_nearest_scene_and_same_day(spark):
 def test_analysis_has_all_reports(spark, sf):
     for name, df in change_analysis.reports(table(spark, sf, "class_pair")).items():
         assert df.count() > 0, name
+
+
+def test_multinomial_draws_keep_row_totals(spark):
+    rows = [(run, t, p, 5 * t + p) for run in ("a", "b") for t in range(1, 11) for p in range(1, 11)]
+    matrix = spark.createDataFrame(rows, "run_name string, y_true int, y_pred int, n long")
+    got = B.multinomial_matrices(matrix, ["run_name"], 60, 42, batch=25).cache()
+    assert got.count() == 2 * 60 * 100
+    totals = got.groupBy("run_name", "replicate", "y_true").agg(F.sum("n").alias("n")).collect()
+    want = {t: sum(5 * t + p for p in range(1, 11)) for t in range(1, 11)}
+    assert len(totals) == 1200 and all(r.n == want[r.y_true] for r in totals)
+    cells = got.groupBy("y_true", "y_pred", "replicate").agg(F.count_distinct("n").alias("k")).agg(F.avg("k")).first()[0]
+    assert cells > 1.5  # the runs have streams of their own
+    assert got.select("replicate").distinct().count() == 60
+
+
+def test_multinomial_areas_of_zones_differ(spark):
+    areas = spark.createDataFrame([(z, c, 100) for z in "xyz" for c in range(1, 6)], "zone string, class_id int, n long")
+    got = B.multinomial_areas(areas, ["zone"], 200, 42, 1.0).collect()
+    assert len({tuple(r.mean for r in got if r.zone == z) for z in "xyz"}) == 3 and all(75 < r.lower < r.mean < r.upper < 125 for r in got)
+
+
+def test_balanced_draw_has_as_many_rows(spark):
+    rows = spark.createDataFrame([(k, 1 if k < 900 else 2 if k < 990 else 3) for k in range(1000)], "sample_id long, class_id int")
+    got = S.balanced_draw(rows, 42, ["sample_id"]).cache()
+    per = {r.class_id: r["count"] for r in got.groupBy("class_id").count().collect()}
+    assert got.count() == 1000 and all(abs(n - 1000 / 3) < 60 for n in per.values())
+    assert got.filter("class_id = 3").select("sample_id").distinct().count() == 10  # each often, with replacement
+    assert got.join(rows, ["sample_id", "class_id"]).count() == 1000
+    assert S.balanced_draw(rows.filter("false"), 1, ["sample_id"]).count() == 0
+    n = S.numbered(rows, "class_id", ["sample_id"], per_task=7).groupBy("class_id").agg(F.count_distinct("_place").alias("k"), F.max("_place").alias("top"), F.count("*").alias("n")).collect()
+    assert all(r.k == r.n == r.top + 1 for r in n)
+
+
+def test_history_falls_back_on_the_master_table(spark):
+    master = spark.createDataFrame([("/r/run_1", 1), ("/r/run_2", 2), ("/r/run_2", 3)], "run_dir string, epoch int")
+    own = spark.createDataFrame([(9,)], "epoch int")
+    assert [r.epoch for r in RU.history_of(master, "run_2", own).collect()] == [9]
+    assert sorted(r.epoch for r in RU.history_of(master, "run_2", own.filter("false")).collect()) == [2, 3]
+    assert RU.history_of(master, "run_2").count() == 2 and RU.history_of(master, "none", own.filter("false")).count() == 0
+
+
+def test_pixels_of_a_region_come_once(spark):
+    p = spark.createDataFrame([(k, float(k), 0.5) for k in range(10)], "k int, x double, y double")
+    f = spark.createDataFrame([(1, 0.5, 0.0, 4.5, 1.0), (2, 2.5, 0.0, 6.5, 1.0)], "feature_id int, a double, b double, c double, d double")
+    f = f.select("feature_id", V.rectangle("a", "b", "c", "d").alias("rings"))
+    assert sorted(r.k for r in V.pixels_in(p, f, 2.0, "left_semi").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_entry_works_without_the_optional_part():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['tokenizers'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) >= 222 and int(out[1]) >= 200
