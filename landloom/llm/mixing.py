@@ -158,6 +158,8 @@ def mixed(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float =
 
     The texts are not shuffled: each row is held against its source's plan.
     Columns of ``docs`` may have any names but those that begin with ``_mix``.
+    Rows without words, null texts among them, are never taken; repeated rows
+    come equally often; an empty table gives no row.
     """
     rows = written(keyed(docs, seed, id_col, text_col, source_col, []), "mix-rows")
     each = plan(rows, weights, share, cap)

@@ -228,6 +228,9 @@ def one_of_each(docs: DataFrame, distance: int = 2, id_col: str = "doc_id", text
     """The rows of ``docs`` that stay: that with the least id of each component.
 
     If rows repeat that id, the one with the least hash of its text stays.
+    Null and empty texts are one group, texts of any length are hashed whole,
+    null ids come last, all columns stay as they are and an empty table gives
+    no row.
     """
     fp, key, h = (fresh_name(docs.columns, c) for c in ("fp", "key", "hash"))
     keyed = docs.withColumns({key: F.coalesce(F.col(id_col).cast("string"), F.lit("")), h: F.xxhash64(text_col)})

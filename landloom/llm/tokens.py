@@ -1,9 +1,10 @@
 """Token ids of whole texts by a public tokenizer file, inside Arrow functions.
 
-Texts are cut at ASCII white space, where the tokenizer never joins anything:
+Texts are cut at ASCII white space where the tokenizer never joins anything:
 it drops white space, its merges stay inside a word and its special strings
 hold none.  The ids of a text are then those of its words in order, so each
-distinct word of a batch is encoded once and the rest is array work.
+distinct word of a batch is encoded once and the rest is array work.  Any other
+tokenizer file gets whole texts, a batch at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,10 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids of words, as the tokenizers library gives them for a tokenizer file.
 
-    ``plain`` words go to the library's model part by part, which spares its
-    normaliser and splitter; it is on only if the file's settings are those
-    that ``_PARTS`` stands for.  Any other word goes to the library whole.
+    It is ``plain`` only if the file's settings are those that ``_PARTS`` stands
+    for.  Then words of common letters go to the library's model part by part,
+    which spares its normaliser and splitter, and any other word whole.  For
+    other settings whole texts go to the library, as white space may matter.
     """
 
     def __init__(self, path: str):
@@ -78,7 +81,7 @@ class WordEncoder:
 
     def word(self, w: str) -> bytes:
         """Ids of one word as unsigned 32-bit integers."""
-        if self.plain and _PLAIN.fullmatch(w) and not ("<|" in w and any(s in w for s in self.special)):
+        if _PLAIN.fullmatch(w) and not ("<|" in w and any(s in w for s in self.special)):
             return b"".join(map(self.part, _PARTS.findall(w.lower())))
         return array("I", self.tok.encode(w, add_special_tokens=False).ids).tobytes()
 
@@ -91,7 +94,7 @@ class WordEncoder:
         for kept, most in ((self.words, CACHED_WORDS), (self.parts, CACHED_PARTS)):
             if len(kept) > most:
                 kept.clear()
-        split = pc.extract_regex(words, _SIMPLE if self.plain else "^(?P<stem>)(?P<mark>)$")
+        split = pc.extract_regex(words, _SIMPLE)
         stems = pc.utf8_lower(pc.struct_field(split, "stem"))
         stems = pc.if_else(pc.is_valid(split), stems, pa.scalar(None, stems.type)).dictionary_encode()
         src = pc.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -121,12 +124,17 @@ class WordEncoder:
 
     def lengths(self, text: pa.Array) -> np.ndarray:
         """Number of ids of each text."""
+        if not self.plain:
+            return np.diff(self.ids(text)[1])
         codes, starts, words = word_codes(text)
         each = self.coded(words)[2]
         return np.diff(np.concatenate([[0], np.cumsum(each[codes])])[starts])
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids before each text."""
+        if not self.plain:
+            found = [e.ids for e in self.tok.encode_batch(text.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.cumsum([0, *map(len, found)])
         codes, starts, words = word_codes(text)
         flat, first, each = self.coded(words)
         n = each[codes]
@@ -146,7 +154,7 @@ def text_lengths(enc: WordEncoder, text: pa.Array) -> np.ndarray:
     """Ids per text of a column, in byte-balanced steps; long texts piece by piece."""
     out = np.zeros(len(text), np.int64)
     for row, part in text_chunks(text):
-        if len(part) == 1 and pc.utf8_length(part)[0].as_py() > LONG_CHARS:
+        if enc.plain and len(part) == 1 and pc.utf8_length(part)[0].as_py() > LONG_CHARS:
             out[row] = sum(int(enc.lengths(pa.array([p], pa.large_string()))[0]) for p in split_long(part[0].as_py(), LONG_CHARS))
         else:
             out[row : row + len(part)] = enc.lengths(part)
@@ -156,7 +164,7 @@ def text_lengths(enc: WordEncoder, text: pa.Array) -> np.ndarray:
 def encoded(enc: WordEncoder, text: pa.Array, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids of each text of a column, with ``end_id`` behind them."""
     for row, part in text_chunks(text):
-        if len(part) == 1 and pc.utf8_length(part)[0].as_py() > LONG_CHARS:
+        if enc.plain and len(part) == 1 and pc.utf8_length(part)[0].as_py() > LONG_CHARS:
             pieces = [enc.ids(pa.array([p], pa.large_string()))[0] for p in split_long(part[0].as_py(), LONG_CHARS)]
             yield row, np.concatenate([*pieces, [end_id]]).astype("<u4")
             continue

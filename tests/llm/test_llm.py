@@ -56,6 +56,14 @@ def test_ids_are_those_of_the_library(texts):
     assert tokens.text_lengths(enc, pa.array(texts, pa.string())).tolist() == list(map(len, want))
 
 
+def test_ids_of_a_tokenizer_that_keeps_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, texts = tokens.encoder(path), ["", "two  words\n\n and\tmore ", " lead", "It's É 12 345", *(t for t in ODD if t)]
+    want = [list(e.ids) for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert not enc.plain and [list(map(int, ids[:-1])) for _, ids in tokens.encoded(enc, pa.array(texts), 0)] == want
+    assert tokens.text_lengths(enc, pa.array(texts)).tolist() == list(map(len, want))
+
+
 def test_long_texts_are_split_at_white_space():
     text = " ".join(f"word{i % 97}, it's" for i in range(5000))
     parts = list(split_long(text, 1000))
