@@ -14,27 +14,27 @@ from landloom.llm.queries import MIX_WEIGHTS, TOKENIZER
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic."""
+    """Documents that the classifier does not call toxic; null texts are judged as empty ones, an empty table gives no row."""
     return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outlier of their language and source."""
+    """Documents that pass the base rules and are no outlier of their language and source; null and empty texts go."""
     return quality.good_rows(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints."""
+    """One document of each group of linked fingerprints; null and empty texts are one group."""
     return simhash.one_of_each(docs, distance=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; what it takes never is left out."""
+    """Documents as often as the mix takes them, repeated rows equally often; what it takes never, null texts too, is left out."""
     return mixing.mixed(docs, MIX_WEIGHTS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens; a null or empty text is its end id."""
     return packing.packed(docs, TOKENIZER, end_id=1, max_len=2048)
 
 
