@@ -2,22 +2,75 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["px_row", "px_col"]
+#: Side of the tiles in which neighbourhoods are worked on.
+TILE = 256
+
+
+def haloed(pixels: DataFrame, reach: int, size: int = TILE) -> DataFrame:
+    """Pixels with the square tile (_tr, _tc) they lie in, and copies for other tiles at most ``reach`` away.
+
+    Only pixels near a tile's border are copied.  A pixel without a place is left out.
+    """
+
+    def tiles(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
+
+    return pixels.withColumn("_tr", F.explode(tiles("px_row"))).withColumn("_tc", F.explode(tiles("px_col")))
+
 
+class Places:
+    """Dense array of the rows of one tile by place, -1 where there is none."""
 
-def neighbours(pixels: DataFrame, reach: int, value: str, centre: bool = False) -> DataFrame:
-    """Pairs of a pixel's place and the value of a pixel at most ``reach`` away.
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, reach: int):
+        self.top, self.left = int(rows.min()) - reach, int(cols.min()) - reach
+        self.at = np.full((int(rows.max()) - self.top + reach + 1, int(cols.max()) - self.left + reach + 1), -1, np.int64)
+        self.at[rows - self.top, cols - self.left] = np.arange(len(rows))
 
-    Each pixel is sent to its (2 reach + 1)^2 neighbours, so pairs meet by an
-    equality of places; d2 is the squared distance.
+    def rows(self, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """Rows that lie at places, which may be far outside."""
+        r, c = rows - self.top, cols - self.left
+        held = (r >= 0) & (c >= 0) & (r < self.at.shape[0]) & (c < self.at.shape[1])
+        return np.where(held, self.at[np.where(held, r, 0), np.where(held, c, 0)], -1)
+
+
+def _numbers(t: pa.Table, name: str) -> np.ndarray:
+    return t.column(name).to_numpy()
+
+
+def _own(t: pa.Table, key: tuple, size: int) -> np.ndarray:
+    """Rows of a haloed tile that lie in it."""
+    return np.flatnonzero((_numbers(t, "px_row") // size == key[0].as_py()) & (_numbers(t, "px_col") // size == key[1].as_py()))
+
+
+def with_neighbours(pixels: DataFrame, value: str, steps: dict[str, tuple[int, int]], size: int = TILE) -> DataFrame:
+    """Pixels with one column for each of ``steps`` (rows, columns): the value so far away, null where there is none.
+
+    Pixels are dealt by tile, with a halo as wide as the longest step, so one
+    row per pixel is shuffled and not one per pair.  A place has one pixel.
     """
-    span = range(-reach, reach + 1)
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in span for c in span if centre or r or c))
-    out = pixels.select(*KEY, F.col(value).alias("near"), F.explode(steps).alias("s"))
-    return out.select((F.col("px_row") + F.col("s.r")).alias("px_row"), (F.col("px_col") + F.col("s.c")).alias("px_col"), "near", (F.col("s.r") * F.col("s.r") + F.col("s.c") * F.col("s.c")).alias("d2"), F.col("s.r").alias("dr"), F.col("s.c").alias("dc"))
+    reach = max(abs(k) for s in steps.values() for k in s)
+    names, kind = pixels.columns, pixels.schema[value].dataType
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        own, r, c = _own(t, key, size), _numbers(t, "px_row"), _numbers(t, "px_col")
+        places, out = Places(r, c, reach), t.select(names).take(pa.array(own))
+        for name, (dr, dc) in steps.items():
+            near = places.rows(r[own] + dr, c[own] + dc)
+            out = out.append_column(name, t.column(value).take(pa.array(near, mask=near < 0)))
+        return out
+
+    schema = T.StructType([*pixels.schema.fields, *(T.StructField(n, kind, True) for n in steps)])
+    return haloed(pixels, reach, size).groupBy("_tr", "_tc").applyInArrow(run, schema)
 
 
 def mosaic(tiles: DataFrame, rule: str) -> DataFrame:
@@ -33,26 +86,42 @@ def mosaic(tiles: DataFrame, rule: str) -> DataFrame:
     return tiles.groupBy(*KEY).agg(value.alias("value"))
 
 
-def filled_seams(pixels: DataFrame, value: str = "value") -> DataFrame:
+def filled_seams(pixels: DataFrame, value: str = "value", size: int = TILE) -> DataFrame:
     """Pixels without a value take that of the nearest valid one of their eight neighbours; ties by place."""
-    near = neighbours(pixels.filter(F.col(value).isNotNull()), 1, value)
-    holes = pixels.filter(F.col(value).isNull()).select(*KEY)
-    fill = holes.join(near, KEY).groupBy(*KEY).agg(F.min_by("near", F.struct("d2", "dr", "dc")).alias("_fill"))
-    return pixels.join(fill, KEY, "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
-
+    near = sorted(((r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c), key=lambda s: (s[0] ** 2 + s[1] ** 2, -s[0], -s[1]))
+    steps = {f"_near{k}": s for k, s in enumerate(near)}
+    return with_neighbours(pixels, value, steps, size).withColumn(value, F.coalesce(value, *steps)).drop(*steps)
 
-def interior(pixels: DataFrame, reach: int, value: str = "class_id") -> DataFrame:
-    """Pixels whose whole neighbourhood has their class."""
-    own = pixels.select(*KEY, F.col(value).alias("_own"))
-    same = neighbours(pixels, reach, value, centre=True).join(own, KEY).filter("near = _own").groupBy(*KEY).agg(F.count("*").alias("_n"))
-    return pixels.join(same.filter(F.col("_n") == (2 * reach + 1) ** 2), KEY, "left_semi")
 
+def interior(pixels: DataFrame, reach: int, value: str = "class_id", size: int = TILE) -> DataFrame:
+    """Pixels whose whole neighbourhood has their class; a pixel without a class has no such neighbourhood.
 
-def hillshade(dem: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    Inside a tile a square is uniform if its middle column is, and the rows
+    through it are: 4 times ``reach`` shifts of the array instead of a square's number.
+    """
+    names = pixels.columns
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        r, c = _numbers(t, "px_row"), _numbers(t, "px_col")
+        places = Places(r, c, reach)
+        codes = pc.fill_null(t.column(value).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        grid = np.where(places.at >= 0, codes[places.at], -1)
+        ok = grid >= 0
+        for axis in (1, 0):
+            same = ok.copy()
+            for k in range(1, reach + 1):
+                for step in (k, -k):
+                    same &= (np.roll(grid, step, axis) == grid) & np.roll(ok, step, axis)
+            ok = same
+        own = _own(t, key, size)
+        return t.select(names).take(pa.array(own[ok[r[own] - places.top, c[own] - places.left]]))
+
+    return haloed(pixels, reach, size).groupBy("_tr", "_tc").applyInArrow(run, pixels.schema)
+
+
+def hillshade(dem: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, size: int = TILE) -> DataFrame:
     """Shade 0..1 of an elevation raster; differences are central, one-sided at edges."""
-    rook = neighbours(dem.filter("z is not null"), 1, "z").filter("d2 = 1")
-    side = [F.max(F.when((F.col("dr") == r) & (F.col("dc") == c), F.col("near"))).alias(n) for n, r, c in (("up", 1, 0), ("down", -1, 0), ("left", 0, 1), ("right", 0, -1))]
-    n = dem.filter("z is not null").join(rook.groupBy(*KEY).agg(*side), KEY, "left")
+    n = with_neighbours(dem.select(*KEY, "z").filter("z is not null"), "z", {"up": (-1, 0), "down": (1, 0), "left": (0, -1), "right": (0, 1)}, size)
 
     def slope(before: str, after: str) -> Column:
         a, b = F.coalesce(F.col(before), F.col("z")), F.coalesce(F.col(after), F.col("z"))
@@ -67,29 +136,72 @@ def hillshade(dem: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) ->
     return n.select(*KEY, F.least(F.greatest((shade + 1) / 2, F.lit(0.0)), F.lit(1.0)).alias("shade"))
 
 
-def warped(source: DataFrame, target: DataFrame, method: str, value: str = "value") -> DataFrame:
-    """Values of target cells by ``nearest``, ``bilinear`` or ``average``.
+def _cubic(d: np.ndarray) -> np.ndarray:
+    """Cubic convolution with a slope of -1/2 at distance 1."""
+    return np.where(d < 1, (1.5 * d - 2.5) * d * d + 1, np.where(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2, 0.0))
+
+
+def _cubic_spline(d: np.ndarray) -> np.ndarray:
+    """Uniform cubic B-spline."""
+    return np.where(d < 1, 2 / 3 - d * d * (1 - d / 2), np.where(d < 2, (2 - d) ** 3 / 6, 0.0))
+
+
+#: Half width of a kernel in pixels, and its weight at a distance.
+KERNELS = {
+    "bilinear": (1, lambda d: np.maximum(1 - d, 0.0)),
+    "cubic": (2, _cubic),
+    "cubicspline": (2, _cubic_spline),
+    "lanczos": (3, lambda d: np.where(d < 3, np.sinc(d) * np.sinc(d / 3), 0.0)),
+}
+
+
+def _resampled(source: DataFrame, target: DataFrame, method: str, value: str, widen: float, size: int) -> DataFrame:
+    """Weighted values of target cells; cells and the source pixels around them meet by tile of the source."""
+    half, kernel = KERNELS[method]
+    reach = math.ceil(half * widen)
+
+    def run(key: tuple, cells: pa.Table, src: pa.Table) -> pa.Table:
+        total, weight = np.zeros(len(cells)), np.zeros(len(cells))
+        if len(cells) and len(src):
+            places = Places(_numbers(src, "px_row"), _numbers(src, "px_col"), reach)
+            v, held = _numbers(cells, "v") - 0.5, _numbers(src, "_v")
+            u = _numbers(cells, "u") - 0.5
+            for a in range(1 - reach, reach + 1):
+                for b in range(1 - reach, reach + 1):
+                    r, c = np.floor(v).astype(np.int64) + a, np.floor(u).astype(np.int64) + b
+                    at = places.rows(r, c)
+                    w = np.where(at >= 0, kernel(np.abs(v - r) / widen) * kernel(np.abs(u - c) / widen), 0.0)
+                    total, weight = total + w * held[at], weight + w
+        empty = np.abs(weight) < 1e-6
+        got = pa.array(total / np.where(empty, 1.0, weight), pa.float64(), mask=empty)
+        return cells.select(KEY).append_column(value, got)
+
+    cells = target.select(*KEY, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
+    cells = cells.withColumns({"_tr": F.floor(F.floor(F.col("v") - 0.5) / size), "_tc": F.floor(F.floor(F.col("u") - 0.5) / size)})
+    src = haloed(source.select(*KEY, F.col(value).cast("double").alias("_v")).filter("_v is not null"), reach, size)
+    schema = T.StructType([*(target.schema[k] for k in KEY), T.StructField(value, T.DoubleType(), True)])
+    return cells.groupBy("_tr", "_tc").cogroup(src.groupBy("_tr", "_tc")).applyInArrow(run, schema)
+
+
+def warped(source: DataFrame, target: DataFrame, method: str, value: str = "value", widen: float = 1.0, size: int = TILE) -> DataFrame:
+    """Values of target cells by ``nearest``, ``bilinear``, ``cubic``, ``cubicspline``, ``lanczos`` or ``average``.
 
     ``target`` has px_row, px_col and the place u (column) and v (row) of the
     cell's centre in pixels of the source; for ``average`` source pixels carry
     the cell they fall in as t_row and t_col.  Weights of valid neighbours are
-    scaled to a sum of 1; cells without one are null.
+    scaled to a sum of 1; cells without one are null.  ``widen`` stretches the
+    kernel where a target cell is that many source pixels wide.
     """
     if method == "average":
         inside = source.groupBy(F.col("t_row").alias("px_row"), F.col("t_col").alias("px_col")).agg(F.avg(value).alias(value))
         return target.select(*KEY).join(inside, KEY, "left")
-    src = source.select(F.col("px_row").alias("_r"), F.col("px_col").alias("_c"), F.col(value).alias("_v")).filter("_v is not null")
     if method == "nearest":
+        src = source.select(F.col("px_row").alias("_r"), F.col("px_col").alias("_c"), F.col(value).alias("_v")).filter("_v is not null")
         at = target.select(*KEY, F.floor("v").alias("_r"), F.floor("u").alias("_c"))
         return at.join(src, ["_r", "_c"], "left").select(*KEY, F.col("_v").alias(value))
-    if method != "bilinear":
+    if method not in KERNELS:
         raise ValueError(f"unknown method: {method}")
-    r0, c0 = F.floor(F.col("v") - 0.5), F.floor(F.col("u") - 0.5)
-    fr, fc = F.col("v") - 0.5 - r0, F.col("u") - 0.5 - c0
-    corners = F.array(*(F.struct((r0 + a).alias("_r"), (c0 + b).alias("_c"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("_w")) for a in (0, 1) for b in (0, 1)))
-    at = target.select(*KEY, F.explode(corners).alias("x")).select(*KEY, "x.*").filter("_w > 0")
-    got = at.join(src, ["_r", "_c"]).groupBy(*KEY).agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias(value))
-    return target.select(*KEY).join(got, KEY, "left")
+    return _resampled(source, target, method, value, max(widen, 1.0), size)
 
 
 def downsampled(pixels: DataFrame, height: int, width: int, most: int) -> DataFrame:
@@ -196,8 +308,6 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
     return tiles.select(F.explode("cells").alias("x")).select("x.px_row", "x.px_col", F.col("x.v").alias("value"))
 
 
-
-
 def one_nodata(value: Column, values: list[int]) -> Column:
     """Null for all of several nodata values."""
     return F.when(~value.isin(values), value)

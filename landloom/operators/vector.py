@@ -55,32 +55,50 @@ def dissolved_edges(features: DataFrame) -> DataFrame:
     return edges(features).groupBy("p", "q").agg(F.count("*").alias("n")).filter("n = 1").select(F.col("p.x").alias("x0"), F.col("p.y").alias("y0"), F.col("q.x").alias("x1"), F.col("q.y").alias("y1"))
 
 
-def inside(x: Column, y: Column, rings: Column) -> Column:
-    """Whether a point lies in a polygon: an odd number of sides to its right."""
+def crossed(x: Column, y: Column, sides: Column) -> Column:
+    """Number of ``sides`` (p, q) that a ray from a point towards greater x crosses."""
+    return F.size(F.filter(sides, lambda s: ((s["p"]["y"] > y) != (s["q"]["y"] > y)) & (x < meeting(y, s))))
 
-    def crossings(ring: Column) -> Column:
-        nxt = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
-        hits = F.zip_with(ring, nxt, lambda p, q: F.when((p["y"] > y) != (q["y"] > y), F.when(x < p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"]), 1).otherwise(0)).otherwise(0))
-        return F.aggregate(hits, F.lit(0), lambda a, v: a + v)
 
-    return F.aggregate(rings, F.lit(0), lambda a, r: a + crossings(r)) % 2 == 1
+def meeting(y: Column, s: Column) -> Column:
+    """Where a side meets a height that it crosses."""
+    p, q = s["p"], s["q"]
+    return p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
+
+
+def banded(features: DataFrame, step: float) -> DataFrame:
+    """Features cut into rows of cells: one row per ``_cy`` with the sides that reach or touch it as ``_near``.
+
+    So what follows carries a row's sides and never a whole polygon.  ``_cx0`` to
+    ``_cx1`` are the columns of the bounds, ``_maxx`` and ``_maxy`` the last
+    column and row that reach into them.
+    """
+
+    def sides(r: Column) -> Column:
+        nxt = F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1))
+        return F.zip_with(r, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q"), (F.ceil(F.least(p["y"], q["y"]) / step) - 1).alias("lo"), F.floor(F.greatest(p["y"], q["y"]) / step).alias("hi"), F.floor(F.greatest(p["x"], q["x"]) / step).alias("right")))
+
+    box = bounds()
+    cells = {"_cx0": F.floor(box["minx"] / step), "_cx1": F.floor(box["maxx"] / step), "_maxx": F.ceil(box["maxx"] / step) - 1, "_maxy": F.ceil(box["maxy"] / step) - 1}
+    b = features.withColumns(cells | {"_sides": F.flatten(F.transform("rings", sides))})
+    rows = F.transform(F.sequence(F.floor(box["miny"] / step), F.floor(box["maxy"] / step)), lambda cy: F.struct(cy.alias("_cy"), F.filter("_sides", lambda s: (s["lo"] <= cy) & (s["hi"] >= cy)).alias("_near")))
+    return b.withColumn("_row", F.explode(rows)).select(*features.drop("rings").columns, *cells, "_row.*")
 
 
 def pixels_in(pixels: DataFrame, features: DataFrame, cell: float, how: str = "inner") -> DataFrame:
     """Pairs of a pixel (x, y) and a feature that holds its centre.
 
-    Bounds of features are cut into square cells; pixels join by the cell they
-    are in, so the plan is a hash join whose rest is the exact test.  With
+    Bounds of features are cut into square cells that carry only the sides of
+    their row at or right of them; pixels join by the cell they are in, so the
+    plan is a hash join whose rest is the exact test on those few sides.  With
     ``how`` "left_semi" (A06) each pixel of the region comes once, without a feature.
     """
-    b = features.withColumns(bounds())
-    cells = b.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("minx") / cell), F.floor(F.col("maxx") / cell)))).withColumn("_cy", F.explode(F.sequence(F.floor(F.col("miny") / cell), F.floor(F.col("maxy") / cell)))).drop("minx", "miny", "maxx", "maxy")
+    rows = banded(features, cell)
+    cells = F.transform(F.sequence("_cx0", "_cx1"), lambda cx: F.struct(cx.alias("_fx"), F.filter("_near", lambda s: (s["right"] >= cx) & (s["p"]["y"] != s["q"]["y"])).alias("_right")))
+    cells = rows.withColumn("_cell", F.explode(cells)).select(*features.drop("rings").columns, F.col("_cy").alias("_fy"), "_cell.*").filter(F.size("_right") > 0)
     keyed = pixels.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    if how == "left_semi":
-        cells = cells.select(F.col("_cx").alias("_fx"), F.col("_cy").alias("_fy"), "rings")
-        meets = (F.col("_cx") == F.col("_fx")) & (F.col("_cy") == F.col("_fy")) & inside(F.col("x"), F.col("y"), F.col("rings"))
-        return keyed.join(cells, meets, "left_semi").drop("_cx", "_cy")
-    return keyed.join(cells, ["_cx", "_cy"], how).filter(inside(F.col("x"), F.col("y"), F.col("rings"))).drop("_cx", "_cy", "rings")
+    meets = (F.col("_cx") == F.col("_fx")) & (F.col("_cy") == F.col("_fy")) & (crossed(F.col("x"), F.col("y"), F.col("_right")) % 2 == 1)
+    return keyed.join(cells, meets, how).drop("_cx", "_cy", "_fx", "_fy", "_right")
 
 
 def zone_of_pixels(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: float) -> DataFrame:
@@ -88,48 +106,59 @@ def zone_of_pixels(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: f
     return pixels_in(pixels, zones, cell).groupBy(*keys).agg(F.max("feature_id").alias("feature_id"))
 
 
+def filled(step: float) -> Column:
+    """Columns of the cells of a banded row whose centres lie between every other crossing of the row's middle."""
+    y = (F.col("_cy") + 0.5) * step
+    xs = F.array_sort(F.transform(F.filter("_near", lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y)), lambda s: meeting(y, s)))
+    pairs = F.filter(F.transform(xs, lambda x, k: F.struct(x.alias("a"), F.get(xs, k + 1).alias("b"), (k % 2).alias("odd"))), lambda s: s["odd"] == 0)
+
+    def cells(s: Column) -> Column:
+        span = F.sequence(F.ceil(s["a"] / step - 0.5) - 1, F.ceil(s["b"] / step - 0.5))
+        return F.filter(span, lambda cx: ((cx + 0.5) * step >= s["a"]) & ((cx + 0.5) * step < s["b"]))
+
+    return F.flatten(F.transform(pairs, cells))
+
+
 def burned(features: DataFrame, step: float) -> DataFrame:
     """Cells of a grid snapped to ``step`` whose centres a labelled feature holds; the later feature wins.
 
-    A class that is none of the ten raises.
+    Each row of cells is filled between the sides that cross its middle, so no
+    cell outside a feature is made.  A class that is none of the ten raises.
     """
     ok = F.when(F.col("class_id").between(1, 10), F.col("class_id")).otherwise(F.raise_error(F.lit("class is none of the ten")).cast("int"))
-    cells = candidate_cells(features, step).filter(inside((F.col("cx") + 0.5) * step, (F.col("cy") + 0.5) * step, F.col("rings")))
+    cells = banded(features, step).select("feature_id", "class_id", F.col("_cy").alias("cy"), F.explode(filled(step)).alias("cx"))
     return cells.groupBy("cx", "cy").agg(F.max_by(ok, "feature_id").alias("class_id"))
 
 
-def candidate_cells(features: DataFrame, step: float) -> DataFrame:
-    """Cells of the snapped bounds of each feature."""
-    b = features.withColumns(bounds())
-    xs = F.sequence(F.floor(F.col("minx") / step), F.ceil(F.col("maxx") / step) - 1)
-    ys = F.sequence(F.floor(F.col("miny") / step), F.ceil(F.col("maxy") / step) - 1)
-    return b.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys)).drop("minx", "miny", "maxx", "maxy")
-
-
 def touched(features: DataFrame, step: float) -> DataFrame:
-    """Cells that a feature touches: those with their centre in it, or a side through them."""
+    """Cells that a feature touches: those with their centre in it, or a side through them.
 
-    def meets(p: Column, q: Column, x0: Column, y0: Column) -> Column:
-        # part of the side within the cell's range of x, then of y
-        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    Each row of cells is filled as in G24 and each of its sides adds the cells
+    along it, so the work is that of the cells found and not of the bounds.
+    """
 
-        def span(a: Column, d: Column, lo: Column) -> tuple[Column, Column]:
-            t0, t1 = F.try_divide(lo - a, d), F.try_divide(lo + step - a, d)
-            flat = F.when((a >= lo) & (a <= lo + step), 0.0)
-            return F.coalesce(F.least(t0, t1), flat, F.lit(2.0)), F.coalesce(F.greatest(t0, t1), F.when((a >= lo) & (a <= lo + step), 1.0), F.lit(-1.0))
+    def part(a: Column, d: Column, lo: Column) -> tuple[Column, Column]:
+        # first and last share of a side between lo and lo + step
+        t0, t1 = F.try_divide(lo - a, d), F.try_divide(lo + step - a, d)
+        within = (a >= lo) & (a <= lo + step)
+        return F.coalesce(F.least(t0, t1), F.when(within, 0.0), F.lit(2.0)), F.coalesce(F.greatest(t0, t1), F.when(within, 1.0), F.lit(-1.0))
 
-        (a0, a1), (b0, b1) = span(p["x"], dx, x0), span(p["y"], dy, y0)
-        return F.greatest(a0, b0, F.lit(0.0)) <= F.least(a1, b1, F.lit(1.0))
+    def along(s: Column) -> Column:
+        p, dx, dy = s["p"], s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
+        b0, b1 = part(p["y"], dy, F.col("_cy") * step)
+        first, last = F.greatest(b0, F.lit(0.0)), F.least(b1, F.lit(1.0))
+        x0, x1 = p["x"] + dx * first, p["x"] + dx * last
+        span = F.sequence(F.ceil(F.least(x0, x1) / step) - 2, F.floor(F.greatest(x0, x1) / step) + 1)
 
-    cells = candidate_cells(features, step)
-    x0, y0 = F.col("cx") * step, F.col("cy") * step
+        def met(cx: Column) -> Column:
+            a0, a1 = part(p["x"], dx, cx * step)
+            return F.greatest(a0, first) <= F.least(a1, last)
 
-    def on_ring(r: Column) -> Column:
-        nxt = F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1))
-        return F.exists(F.zip_with(r, nxt, lambda p, q: meets(p, q, x0, y0)), lambda b: b)
+        return F.when(first <= last, F.filter(span, met)).otherwise(F.array().cast("array<bigint>"))
 
-    hit = inside(x0 + step / 2, y0 + step / 2, F.col("rings")) | F.exists("rings", on_ring)
-    return cells.filter(hit).select("feature_id", "cx", "cy")
+    cells = F.array_distinct(F.concat(filled(step), F.flatten(F.transform("_near", along))))
+    found = banded(features, step).select("feature_id", F.explode(cells).alias("cx"), F.col("_cy").alias("cy"), "_cx0", "_maxx", "_maxy")
+    return found.filter(F.col("cx").between(F.col("_cx0"), F.col("_maxx")) & (F.col("cy") <= F.col("_maxy"))).select("feature_id", "cx", "cy")
 
 
 def sound_features(features: DataFrame) -> DataFrame:

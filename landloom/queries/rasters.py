@@ -47,8 +47,6 @@ def g34_float_bands(spark, d):
     return table(spark, d, "ae_pixels").select("sample_id", R.float_band("ae", 0).alias("b1"))
 
 
-
-
 def coarse(spark, d):
     return table(spark, d, "ae_pixels").select("px_row", "px_col", F.when((F.expr("px_row div 5") + F.expr("px_col div 5")) % 2 == 0, 1).otherwise(2).alias("class_id"))
 
@@ -92,6 +90,29 @@ def g15_g41_warp_bilinear(spark, d):
     return rounded(R.warped(table(spark, d, "dem"), fine(spark, d), "bilinear", "z"), "z")
 
 
+def kernel_sql(weight: str, half: int) -> str:
+    """Warp of {dem} onto the finer grid; ``weight`` is the kernel at a distance d in pixels."""
+    w = [f"({weight.replace('%d', f'abs({p} - 0.5 - {k})')})" for p, k in (("v", "r"), ("u", "c"))]
+    taps = f"SELECT px_row, px_col, u, v, floor(v - 0.5) + a AS r, floor(u - 0.5) + b AS c FROM {TARGET}, range({1 - half}, {half + 1}) x(a), range({1 - half}, {half + 1}) y(b)"
+    return f"""SELECT px_row, px_col, round(CASE WHEN abs(k) >= 1e-6 THEN zk / k END, 6) AS z FROM (SELECT t.px_row, t.px_col, sum(z * w) AS zk, sum(w) FILTER (z IS NOT NULL) AS k
+ FROM (SELECT *, {w[0]} * {w[1]} AS w FROM ({taps})) t LEFT JOIN {{dem}} s ON s.px_row = t.r AND s.px_col = t.c GROUP BY 1, 2)"""
+
+
+@query(kernel_sql("CASE WHEN %d < 1 THEN 1.5 * %d ** 3 - 2.5 * %d ** 2 + 1 WHEN %d < 2 THEN -0.5 * %d ** 3 + 2.5 * %d ** 2 - 4 * %d + 2 ELSE 0 END", 2))
+def g15_warp_cubic(spark, d):
+    return rounded(R.warped(table(spark, d, "dem"), fine(spark, d), "cubic", "z"), "z")
+
+
+@query(kernel_sql("CASE WHEN %d < 1 THEN 2 / 3 - %d ** 2 + %d ** 3 / 2 WHEN %d < 2 THEN (2 - %d) ** 3 / 6 ELSE 0 END", 2))
+def g16_warp_cubic_spline(spark, d):
+    return rounded(R.warped(table(spark, d, "dem"), fine(spark, d), "cubicspline", "z"), "z")
+
+
+@query(kernel_sql("CASE WHEN %d = 0 THEN 1 WHEN %d < 3 THEN sin(pi() * %d) / (pi() * %d) * sin(pi() * %d / 3) / (pi() * %d / 3) ELSE 0 END", 3))
+def g16_warp_lanczos(spark, d):
+    return rounded(R.warped(table(spark, d, "dem"), fine(spark, d), "lanczos", "z"), "z")
+
+
 @query("SELECT px_row // 3 AS px_row, px_col // 3 AS px_col, round(avg(z), 6) AS z FROM {dem} GROUP BY 1, 2")
 def g16_warp_average(spark, d):
     s = table(spark, d, "dem").withColumns({"t_row": F.expr("px_row div 3"), "t_col": F.expr("px_col div 3")})
@@ -209,5 +230,3 @@ def j01_s02_aligned_stack(spark, d):
 @query("SELECT px_row, px_col, z AS value FROM {dem}")
 def s01_s08_tiles_round_trip(spark, d):
     return R.from_tiles(R.as_tiles(table(spark, d, "dem"), "z", 8))
-
-
