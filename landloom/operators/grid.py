@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.operators.vector import shares_surface
+
 from landloom.functions.names import block_name
 
 KM_PER_DEGREE = 111.32
@@ -97,8 +99,9 @@ def corner_bounds(corners: str) -> dict[str, Column]:
 def overlapping_tiles(areas: DataFrame, width_km: float, height_km: float, overlap_km: float) -> DataFrame:
     """Tiles of a size in km, each overlapping the next, over the bounds of each area.
 
-    Steps are in degrees at the middle latitude; tiles that only touch the
-    area's edge are left out.
+    Steps are in degrees at the middle latitude; tiles end at the bounds, and
+    those that only touch the area's edge are left out.  If areas have ``rings``,
+    tiles that share no surface with that polygon are left out too.
     """
     mid = (F.col("miny") + F.col("maxy")) / 2
     w, h = degrees(width_km, mid)["deg_lon"], degrees(height_km, mid)["deg_lat"]
@@ -107,8 +110,9 @@ def overlapping_tiles(areas: DataFrame, width_km: float, height_km: float, overl
     out = out.withColumn("tile_row", F.explode(F.sequence(F.lit(0), F.ceil((F.col("maxy") - F.col("miny")) / F.col("_sy")).cast("int") - 1)))
     out = out.withColumn("tile_col", F.explode(F.sequence(F.lit(0), F.ceil((F.col("maxx") - F.col("minx")) / F.col("_sx")).cast("int") - 1)))
     x, y = F.col("minx") + F.col("tile_col") * F.col("_sx"), F.col("miny") + F.col("tile_row") * F.col("_sy")
-    out = out.withColumns({"tile_x0": x, "tile_y0": y, "tile_x1": x + F.col("_w"), "tile_y1": y + F.col("_h")})
-    return out.filter((F.col("tile_x0") < F.col("maxx")) & (F.col("tile_y0") < F.col("maxy"))).drop("_w", "_h", "_sx", "_sy")
+    out = out.withColumns({"tile_x0": x, "tile_y0": y, "tile_x1": F.least(x + F.col("_w"), "maxx"), "tile_y1": F.least(y + F.col("_h"), "maxy")})
+    out = out.filter((F.col("tile_x0") < F.col("maxx")) & (F.col("tile_y0") < F.col("maxy"))).drop("_w", "_h", "_sx", "_sy")
+    return out.filter(shares_surface("rings", "tile_x0", "tile_y0", "tile_x1", "tile_y1")) if "rings" in areas.columns else out
 
 
 def degree_tiles(areas: DataFrame, step: float) -> DataFrame:

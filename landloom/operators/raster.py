@@ -218,6 +218,15 @@ def clipped(pixels: DataFrame, features: DataFrame, cell: float) -> DataFrame:
     return pixels.join(held, KEY, "left_semi")
 
 
+def clipped_and_warped(pixels: DataFrame, features: DataFrame, cell: float, target: DataFrame, method: str, value: str = "value") -> DataFrame:
+    """Pixels (x, y) inside a feature, resampled onto cells of another grid or reference system.
+
+    ``target`` has the place u, v of each cell's centre in pixels of the source,
+    which G14 gives for a cell in metres; what is cut off counts as missing.
+    """
+    return warped(clipped(pixels, features, cell), target, method, value)
+
+
 def valid_extent(pixels: DataFrame, value: str) -> DataFrame:
     """First and last row and column that hold a value, of all pixels if none does."""
     ok = F.col(value).isNotNull()

@@ -66,6 +66,33 @@ def meeting(y: Column, s: Column) -> Column:
     return p["x"] + F.try_divide((y - p["y"]) * (q["x"] - p["x"]), q["y"] - p["y"])
 
 
+def sides(rings: str = "rings") -> Column:
+    """Sides of all rings of a polygon as an array of (p, q)."""
+
+    def of(r: Column) -> Column:
+        nxt = F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1))
+        return F.zip_with(r, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    return F.flatten(F.transform(rings, of))
+
+
+def shares_surface(rings: str, x0: str, y0: str, x1: str, y1: str) -> Column:
+    """Whether a polygon and a rectangle overlap in more than an edge: a side runs through the rectangle, or its centre is inside."""
+
+    def part(a: Column, d: Column, lo: Column, hi: Column) -> tuple[Column, Column]:
+        t0, t1 = F.try_divide(lo - a, d), F.try_divide(hi - a, d)
+        within = (a > lo) & (a < hi)
+        return F.coalesce(F.least(t0, t1), F.when(within, 0.0), F.lit(2.0)), F.coalesce(F.greatest(t0, t1), F.when(within, 1.0), F.lit(-1.0))
+
+    def through(s: Column) -> Column:
+        a = part(s["p"]["x"], s["q"]["x"] - s["p"]["x"], F.col(x0), F.col(x1))
+        b = part(s["p"]["y"], s["q"]["y"] - s["p"]["y"], F.col(y0), F.col(y1))
+        return F.greatest(a[0], b[0], F.lit(0.0)) < F.least(a[1], b[1], F.lit(1.0))
+
+    centre = crossed((F.col(x0) + F.col(x1)) / 2, (F.col(y0) + F.col(y1)) / 2, sides(rings))
+    return F.exists(sides(rings), through) | (centre % 2 == 1)
+
+
 def banded(features: DataFrame, step: float) -> DataFrame:
     """Features cut into rows of cells: one row per ``_cy`` with the sides that reach or touch it as ``_near``.
 
@@ -74,13 +101,14 @@ def banded(features: DataFrame, step: float) -> DataFrame:
     column and row that reach into them.
     """
 
-    def sides(r: Column) -> Column:
-        nxt = F.concat(F.slice(r, F.lit(2), F.size(r)), F.slice(r, 1, 1))
-        return F.zip_with(r, nxt, lambda p, q: F.struct(p.alias("p"), q.alias("q"), (F.ceil(F.least(p["y"], q["y"]) / step) - 1).alias("lo"), F.floor(F.greatest(p["y"], q["y"]) / step).alias("hi"), F.floor(F.greatest(p["x"], q["x"]) / step).alias("right")))
+    def reaching(s: Column) -> Column:
+        p, q = s["p"], s["q"]
+        lo, hi = F.ceil(F.least(p["y"], q["y"]) / step) - 1, F.floor(F.greatest(p["y"], q["y"]) / step)
+        return F.struct(p.alias("p"), q.alias("q"), lo.alias("lo"), hi.alias("hi"), F.floor(F.greatest(p["x"], q["x"]) / step).alias("right"))
 
     box = bounds()
     cells = {"_cx0": F.floor(box["minx"] / step), "_cx1": F.floor(box["maxx"] / step), "_maxx": F.ceil(box["maxx"] / step) - 1, "_maxy": F.ceil(box["maxy"] / step) - 1}
-    b = features.withColumns(cells | {"_sides": F.flatten(F.transform("rings", sides))})
+    b = features.withColumns(cells | {"_sides": F.transform(sides(), reaching)})
     rows = F.transform(F.sequence(F.floor(box["miny"] / step), F.floor(box["maxy"] / step)), lambda cy: F.struct(cy.alias("_cy"), F.filter("_sides", lambda s: (s["lo"] <= cy) & (s["hi"] >= cy)).alias("_near")))
     return b.withColumn("_row", F.explode(rows)).select(*features.drop("rings").columns, *cells, "_row.*")
 

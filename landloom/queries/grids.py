@@ -78,6 +78,19 @@ def g09_overlapping_tiles(spark, d):
     return t.select("c_custkey", "tile_row", "tile_col", F.round("tile_x0", 9).alias("tile_x0"), F.round("tile_y0", 9).alias("tile_y0"))
 
 
+@query(f"""SELECT c_custkey, tile_row, tile_col, round(x1, 9) AS tile_x1, round(y1, 9) AS tile_y1 FROM (SELECT *, least(x0 + 50.0::DOUBLE / (111.32::DOUBLE * cos(radians(my))), maxx) AS x1, least(y0 + 50.0::DOUBLE / 111.32::DOUBLE, maxy) AS y1
+ FROM (SELECT *, CAST(r.r AS INT) AS tile_row, CAST(k.k AS INT) AS tile_col, minx + k.k * sx AS x0, miny + r.r * sy AS y0 FROM (SELECT *, (minx + maxx) / 2 AS mx, (miny + maxy) / 2 AS my,
+ 45.0::DOUBLE / (111.32::DOUBLE * cos(radians((miny + maxy) / 2))) AS sx, 45.0::DOUBLE / 111.32::DOUBLE AS sy FROM ({AREAS})) a, range(0, 20) r(r), range(0, 20) k(k)
+ WHERE minx + k.k * sx < maxx AND miny + r.r * sy < maxy)) WHERE abs(greatest(least(mx, x1), x0) - mx) / (maxx - mx) + abs(greatest(least(my, y1), y0) - my) / (maxy - my) < 1""")
+def g09_tiles_of_shapes(spark, d):
+    """Tiles that overlap a rhombus between the middles of each area's bounds."""
+    mx, my = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    ends = ((mx, F.col("miny")), (F.col("maxx"), my), (mx, F.col("maxy")), (F.col("minx"), my))
+    rhombus = F.array(F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ends)))
+    t = G.overlapping_tiles(areas(spark, d).withColumn("rings", rhombus), 50.0, 50.0, 5.0)
+    return t.select("c_custkey", "tile_row", "tile_col", F.round("tile_x1", 9).alias("tile_x1"), F.round("tile_y1", 9).alias("tile_y1"))
+
+
 @query(f"""SELECT c_custkey, CAST(r.r AS INT) AS tile_row, CAST(k.k AS INT) AS tile_col, least(minx + (k.k + 1) * 0.375::DOUBLE, maxx)::DOUBLE AS tile_x1, least(miny + (r.r + 1) * 0.375::DOUBLE, maxy)::DOUBLE AS tile_y1
  FROM ({AREAS}) a, range(0, 20) r(r), range(0, 20) k(k) WHERE r.r < ceil((maxy - miny) / 0.375::DOUBLE) AND k.k < ceil((maxx - minx) / 0.375::DOUBLE)""")
 def g10_degree_tiles(spark, d):

@@ -94,6 +94,14 @@ def s11_file_roles(spark, d):
     return T.file_roles(spark, {"in": "classes", "out": "report"}, files).select("role", "present")
 
 
+@query("SELECT run_name AS role, seed IN (SELECT seed FROM {runs} WHERE val_loss < 0.4) AS present FROM {runs}")
+def s11_roles_of_runs(spark, d):
+    at, runs = folder(spark), table(spark, d, "runs")
+    runs.filter("val_loss < 0.4").select("run_name", "seed").write.partitionBy("seed").parquet(at)
+    found = T.inventory(spark, at).groupBy(F.col("parent").alias("name")).agg(F.min("path").alias("path"), F.sum("size").alias("size"))
+    return T.file_roles(spark, runs.select(F.col("run_name").alias("role"), F.concat(F.lit("seed="), "seed").alias("name")), found).select("role", "present")
+
+
 @query("SELECT px_row, px_col, z FROM {dem}")
 def r01_only_new_files(spark, d):
     at = folder(spark)
@@ -144,6 +152,23 @@ def m03_linear_classifier(spark, d):
     return _evaluated(M.fit_and_predict(M.prepared(samples(spark, d), "ae").cache(), "linear", 64), [])
 
 
+def _best_of_grid(spark, d, kind, settings, seeds):
+    """Runs of a grid in order of their validation results, with those on test rows."""
+    runs = _evaluated(M.grid(M.prepared(samples(spark, d), "ae").cache(), kind, 64, settings, seeds), ["run_name"])
+    val = runs.filter("split = 'val'").select("run_name", F.col("macro_f1").alias("val_f1"), (1 - F.col("accuracy")).alias("val_loss"))
+    return val.join(runs.filter("split = 'test'").select("run_name", F.col("macro_f1").alias("test_f1")), "run_name", "left").orderBy(*R.best_order())
+
+
+@query()
+def m03_perceptron(spark, d):
+    return _best_of_grid(spark, d, "perceptron", {"hidden": [[16], [32]]}, [42])
+
+
+@query()
+def m04_boosted(spark, d):
+    return _best_of_grid(spark, d, "boosted", {"maxIter": [1, 3]}, [42])
+
+
 @query()
 def m04_a47_forest_importance(spark, d):
     data = M.prepared(samples(spark, d), "ae").cache()

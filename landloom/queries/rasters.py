@@ -149,6 +149,20 @@ def g27_clipped_and_warped(spark, d):
     return rounded(R.warped(s, target, "average", "z"), "z")
 
 
+def metric_cells(pixels, step: float = 1000.0):
+    """Cells of a UTM grid that hold a pixel's centre, with their own centres as places of a grid of 0.01 degrees."""
+    m = V.to_utm(90.0 + F.col("x") * 0.01, 24.0 - F.col("y") * 0.01)
+    cells = pixels.select(F.floor(m["northing"] / step).alias("px_row"), F.floor(m["easting"] / step).alias("px_col")).distinct()
+    back = V.from_utm((F.col("px_col") + 0.5) * step, (F.col("px_row") + 0.5) * step)
+    return cells.withColumns({"u": (back["lon"] - 90.0) / 0.01, "v": (24.0 - back["lat"]) / 0.01})
+
+
+@query()
+def g27_clipped_to_utm(spark, d):
+    p = placed(spark, d)
+    return rounded(R.clipped_and_warped(p, region(spark, d), 4.0, metric_cells(p), "bilinear", "z"), "z")
+
+
 @query("SELECT min(px_row) AS row0, max(px_row) AS row1, min(px_col) AS col0, max(px_col) AS col1 FROM {dem} WHERE z IS NOT NULL")
 def g39_valid_extent(spark, d):
     return R.valid_extent(table(spark, d, "dem"), "z")

@@ -65,9 +65,9 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1).alias("type"), "path", name.alias("name"), F.element_at(parts, -2).alias("parent"), F.col("length").alias("size"))
 
 
-def file_roles(spark: SparkSession, roles: dict[str, str], files: DataFrame) -> DataFrame:
-    """Inputs and outputs of a run by role, and whether each file is there."""
-    r = spark.createDataFrame(sorted(roles.items()), "role string, name string")
+def file_roles(spark: SparkSession, roles: dict[str, str] | DataFrame, files: DataFrame) -> DataFrame:
+    """Inputs and outputs of runs by role (a dictionary, or a table of role and name), and whether each file is there."""
+    r = roles if isinstance(roles, DataFrame) else spark.createDataFrame(sorted(roles.items()), "role string, name string")
     return r.join(files.select("name", "path", "size"), "name", "left").withColumn("present", F.col("path").isNotNull())
 
 

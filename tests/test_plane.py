@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landloom.operators import pixels as P
 from landloom.operators import raster as R
 from landloom.operators import sampling as S
 from landloom.operators import vector as V
@@ -150,3 +151,27 @@ def test_capped_groups(spark, cap):
         groups[r.g].append((r.h, r.id))
     got = S.capped(rows, ["g"], [F.xxhash64("id"), F.col("id")], cap, 16)
     assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == sorted(i for v in groups.values() for _, i in sorted(v)[:cap])
+
+
+def test_clip_and_warp_to_metres(spark):
+    from landloom.queries.rasters import metric_cells
+
+    plane = spark.range(900).select(F.expr("id div 30").alias("px_row"), (F.col("id") % 30).alias("px_col"))
+    plane = plane.withColumns({"x": F.col("px_col") + 0.5, "y": F.col("px_row") + 0.5}).withColumn("z", F.col("x") + 2 * F.col("y"))
+    region = spark.createDataFrame([([[(5.0, 5.0), (20.0, 5.0), (20.0, 20.0), (5.0, 20.0)]],)], "rings array<array<struct<x double, y double>>>")
+    cells = metric_cells(plane)
+    got = R.clipped_and_warped(plane, region, 4.0, cells, "bilinear", "z").join(cells, ["px_row", "px_col"]).collect()
+    inner = [r for r in got if 5.5 <= r.u <= 19.5 and 5.5 <= r.v <= 19.5]
+    assert len(inner) > 100 and all(r.z == pytest.approx(r.u + 2 * r.v, abs=1e-6) for r in inner)
+    assert len(got) == cells.count() and all(r.z is None for r in got if not (4.5 < r.u < 20.5 and 4.5 < r.v < 20.5))
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 100_000])
+def test_percentiles_are_exact(spark, accuracy):
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=1003), rng.integers(0, 9, 400), [7.0], [1.0, 2.0], np.repeat([0.0, 5.0], [990, 10])):
+        rows = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "b double").repartition(5)
+        for low, high in ((0.02, 0.98), (0.0, 1.0), (0.49, 0.51)):
+            got = P.percentiles(rows, "b", low, high, accuracy).first()
+            assert got["_q"] == pytest.approx(list(np.quantile(np.asarray(x, float), [low, high])), abs=1e-9)
+            assert (got["_lo"], got["_hi"]) == (min(x), max(x))
