@@ -38,10 +38,10 @@ def replicate_matrices(blocks: DataFrame, positions: DataFrame, drawn: DataFrame
     return placed.join(weights(drawn), "position").groupBy(*keys, "replicate", "y_true", "y_pred").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
 
 
-def metric_distribution(replicates: DataFrame, keys: list[str]) -> DataFrame:
-    """Accuracy, macro and weighted F1 of each replicate in percent, one row per metric."""
+def metric_distribution(replicates: DataFrame, keys: list[str], metrics: tuple[str, ...] = ("accuracy", "macro_f1", "weighted_f1")) -> DataFrame:
+    """Metrics of each replicate in percent, one row per metric: by default accuracy, macro and weighted F1."""
     m = run_metrics(replicates, [*keys, "replicate"], missing=None)
-    values = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(c) * 100).alias("value")) for c in ("accuracy", "macro_f1", "weighted_f1")))
+    values = F.array(*(F.struct(F.lit(c).alias("metric"), (F.col(c) * 100).alias("value")) for c in metrics))
     return m.select(*keys, "replicate", F.explode(values).alias("x")).select(*keys, "replicate", "x.*")
 
 

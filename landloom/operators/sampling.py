@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landloom.operators.pixels import finite
+from landloom.operators.raster import interior
 
 #: Salts that a class is ranked in first.
 SALTS = 64
@@ -37,6 +38,11 @@ def capped_by_area(rows: DataFrame, area_cap: int, train: int, val: int, order:
     return parts[0].unionByName(parts[1])
 
 
+def eroded_training(rows: DataFrame, reach: int) -> DataFrame:
+    """Training rows only where the whole neighbourhood has their class (G36); other splits stay as they are."""
+    return interior(rows, reach).filter("split = 'train'").unionByName(rows.filter("split is null or split <> 'train'"))
+
+
 def shuffled(rows: DataFrame, seed: int, columns: list[str]) -> DataFrame:
     """Rows in an order that a seed decides."""
     return rows.orderBy(F.xxhash64(F.lit(seed), *columns), *columns)

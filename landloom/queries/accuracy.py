@@ -269,6 +269,16 @@ def b09_consolidated_results(spark, d):
     return rounded(B.interval(per, ["metric"]), "mean", "lower", "upper")
 
 
+_MACRO = "(SELECT replicate, unnest(['macro_recall', 'macro_precision']) AS metric, unnest([macro_recall * 100, macro_precision * 100]) AS value FROM " + per_run(REPS, "run_name, feature_set, model_family, replicate", "null") + ")"
+
+
+@query(f"SELECT metric, {ROUND5} FROM (SELECT metric, replicate, avg(value) AS value FROM {_MACRO} GROUP BY ALL) GROUP BY metric")
+def b09_macro_recall_precision(spark, d):
+    each = B.metric_distribution(replicates(spark, d), KEYS, ("macro_recall", "macro_precision"))
+    per = each.groupBy("metric", "replicate").agg(F.avg("value").alias("value"))
+    return rounded(B.interval(per, ["metric"]), "mean", "lower", "upper")
+
+
 @query(f"SELECT run_name, round(accuracy - lower, 5) AS err_low, round(upper - accuracy, 5) AS err_high, round(upper - lower, 5) AS width FROM (SELECT run_name, quantile_cont(value, 0.025) AS lower, quantile_cont(value, 0.975) AS upper FROM {DIST} WHERE metric = 'accuracy' GROUP BY 1) JOIN (SELECT run_name, accuracy * 100 AS accuracy FROM {per_run(M, 'run_name', 'zero')}) USING (run_name)")
 def p37_error_bars(spark, d):
     i = B.interval(distribution(spark, d).filter("metric = 'accuracy'"), RUN)

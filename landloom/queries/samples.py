@@ -32,6 +32,19 @@ def w13_area_budgets(spark, d):
     return S.capped_by_area(samples(spark, d), 10, 12, 4, [F.col("sample_id")]).select("sample_id", "class_id", "split")
 
 
+_BLOCKS = "CASE WHEN (px_row // 5 + px_col // 5) % 2 = 0 THEN 1 ELSE 2 END"
+_PLACED = f"(SELECT *, {_BLOCKS} AS kind FROM {SPLIT})"
+
+
+@query(f"""SELECT sample_id, kind AS class_id, split FROM (SELECT *, row_number() OVER (PARTITION BY kind, split ORDER BY sample_id) AS q FROM (
+ SELECT *, row_number() OVER (PARTITION BY kind, area ORDER BY sample_id) AS r FROM {_PLACED} a WHERE split <> 'train' OR
+ 9 = (SELECT count(*) FROM {_PLACED} b WHERE abs(a.px_row - b.px_row) <= 1 AND abs(a.px_col - b.px_col) <= 1 AND a.kind = b.kind)) WHERE r <= 10) WHERE (split = 'train' AND q <= 12) OR (split = 'val' AND q <= 4)""")
+def w13_eroded_budgets(spark, d):
+    blocks = F.when((F.expr("px_row div 5") + F.expr("px_col div 5")) % 2 == 0, 1).otherwise(2)
+    s = samples(spark, d).select("sample_id", "px_row", "px_col", "area", "split", blocks.alias("class_id"))
+    return S.capped_by_area(S.eroded_training(s, 1), 10, 12, 4, [F.col("sample_id")]).select("sample_id", "class_id", "split")
+
+
 @query()
 def t07_shuffled(spark, d):
     return S.shuffled(table(spark, d, "ae_pixels").select("sample_id", "class_id"), 42, ["sample_id"])
