@@ -214,8 +214,7 @@ def clipped(pixels: DataFrame, features: DataFrame, cell: float) -> DataFrame:
     """Pixels (x, y) inside a feature; the others are left out."""
     from landloom.operators.vector import pixels_in
 
-    held = pixels_in(pixels.select(*KEY, "x", "y"), features.select("rings"), cell).select(*KEY).distinct()
-    return pixels.join(held, KEY, "left_semi")
+    return pixels_in(pixels, features.select("rings"), cell, "left_semi")
 
 
 def clipped_and_warped(pixels: DataFrame, features: DataFrame, cell: float, target: DataFrame, method: str, value: str = "value") -> DataFrame:

@@ -10,6 +10,8 @@ from landloom.operators.raster import interior
 
 #: Salts that a class is ranked in first.
 SALTS = 64
+#: Rows of a group that a second rank may see without a bound.
+SECOND_RANK_ROWS = 100_000
 
 
 def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int, salts: int = SALTS) -> DataFrame:
@@ -19,13 +21,16 @@ def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int, salts:
     Every salt with ``cap / salts`` rows has as many up to its own row of that
     rank, so the greatest of those rows has ``cap`` rows up to it: what comes
     behind it is left out, and little more than ``cap`` rows are ranked again.
-    Groups with a smaller salt have no such bound and fewer rows.  The order is
-    the same in both ranks, so the result is that of one rank.
+    Groups with a smaller salt have no such bound and fewer rows, and where
+    ``salts`` times ``cap`` is at most SECOND_RANK_ROWS none is needed.  The order
+    is the same in both ranks, so the result is that of one rank.
     """
     keyed = rows.withColumns({f"_o{k}": o for k, o in enumerate(order)})
     names = [f"_o{k}" for k in range(len(order))]
     keyed = keyed.withColumns({"_salt": F.pmod(F.xxhash64(*names), F.lit(salts)), "_group": F.struct(*by), "_at": F.struct(*names)})
     first = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*names))).filter(F.col("_r") <= cap)
+    if cap * salts <= SECOND_RANK_ROWS:
+        return first.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*names))).filter(F.col("_r") <= cap).select(*rows.columns)
     ends = first.filter(F.col("_r") == -(-cap // salts)).groupBy(F.col("_group").alias("_g")).agg(F.max("_at").alias("_end"), F.count("*").alias("_n")).filter(F.col("_n") == salts)
     near = first.join(ends, F.col("_group") == F.col("_g"), "left").filter(F.col("_end").isNull() | (F.col("_at") <= F.col("_end")))
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*names))).filter(F.col("_r") <= cap).select(*rows.columns)

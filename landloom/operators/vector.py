@@ -138,13 +138,16 @@ def filled(step: float) -> Column:
     """Columns of the cells of a banded row whose centres lie between every other crossing of the row's middle."""
     y = (F.col("_cy") + 0.5) * step
     xs = F.array_sort(F.transform(F.filter("_near", lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y)), lambda s: meeting(y, s)))
-    pairs = F.filter(F.transform(xs, lambda x, k: F.struct(x.alias("a"), F.get(xs, k + 1).alias("b"), (k % 2).alias("odd"))), lambda s: s["odd"] == 0)
+
+    def between(x: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(x)), lambda k: (k % 2 == 0) & (k < F.size(x)))
+        return F.transform(starts, lambda k: F.struct(F.get(x, k).alias("a"), F.get(x, k + 1).alias("b")))
 
     def cells(s: Column) -> Column:
         span = F.sequence(F.ceil(s["a"] / step - 0.5) - 1, F.ceil(s["b"] / step - 0.5))
         return F.filter(span, lambda cx: ((cx + 0.5) * step >= s["a"]) & ((cx + 0.5) * step < s["b"]))
 
-    return F.flatten(F.transform(pairs, cells))
+    return F.flatten(F.transform(F.flatten(F.transform(F.array(xs), between)), cells))
 
 
 def burned(features: DataFrame, step: float) -> DataFrame:
@@ -171,20 +174,27 @@ def touched(features: DataFrame, step: float) -> DataFrame:
         within = (a >= lo) & (a <= lo + step)
         return F.coalesce(F.least(t0, t1), F.when(within, 0.0), F.lit(2.0)), F.coalesce(F.greatest(t0, t1), F.when(within, 1.0), F.lit(-1.0))
 
-    def along(s: Column) -> Column:
-        p, dx, dy = s["p"], s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
-        b0, b1 = part(p["y"], dy, F.col("_cy") * step)
-        first, last = F.greatest(b0, F.lit(0.0)), F.least(b1, F.lit(1.0))
-        x0, x1 = p["x"] + dx * first, p["x"] + dx * last
-        span = F.sequence(F.ceil(F.least(x0, x1) / step) - 2, F.floor(F.greatest(x0, x1) / step) + 1)
+    def within(s: Column) -> Column:
+        # the shares of the side that lie in the row
+        b0, b1 = part(s["p"]["y"], s["q"]["y"] - s["p"]["y"], F.col("_cy") * step)
+        return F.struct(s["p"]["x"].alias("x"), (s["q"]["x"] - s["p"]["x"]).alias("dx"), F.greatest(b0, F.lit(0.0)).alias("first"), F.least(b1, F.lit(1.0)).alias("last"))
+
+    def spanned(s: Column) -> Column:
+        x0, x1 = s["x"] + s["dx"] * s["first"], s["x"] + s["dx"] * s["last"]
+        return F.struct(s.alias("s"), F.sequence(F.ceil(F.least(x0, x1) / step) - 2, F.floor(F.greatest(x0, x1) / step) + 1).alias("span"))
+
+    def met(t: Column) -> Column:
+        s = t["s"]
 
-        def met(cx: Column) -> Column:
-            a0, a1 = part(p["x"], dx, cx * step)
-            return F.greatest(a0, first) <= F.least(a1, last)
+        def meets(cx: Column) -> Column:
+            a0, a1 = part(s["x"], s["dx"], cx * step)
+            return F.greatest(a0, s["first"]) <= F.least(a1, s["last"])
 
-        return F.when(first <= last, F.filter(span, met)).otherwise(F.array().cast("array<bigint>"))
+        return F.filter(t["span"], meets)
 
-    cells = F.array_distinct(F.concat(filled(step), F.flatten(F.transform("_near", along))))
+    in_row = F.filter(F.transform("_near", within), lambda s: s["first"] <= s["last"])
+    along = F.flatten(F.transform(F.transform(in_row, spanned), met))
+    cells = F.array_distinct(F.concat(filled(step), along))
     found = banded(features, step).select("feature_id", F.explode(cells).alias("cx"), F.col("_cy").alias("cy"), "_cx0", "_maxx", "_maxy")
     return found.filter(F.col("cx").between(F.col("_cx0"), F.col("_maxx")) & (F.col("cy") <= F.col("_maxy"))).select("feature_id", "cx", "cy")
 

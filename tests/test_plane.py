@@ -144,7 +144,8 @@ def test_warps_by_kernels(spark, ground, method, widen):
 
 
 @pytest.mark.parametrize("cap", [5, 300, 4000])
-def test_capped_groups(spark, cap):
+def test_capped_groups(spark, monkeypatch, cap):
+    monkeypatch.setattr(S, "SECOND_RANK_ROWS", 1000)
     rows = spark.range(20000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"))
     groups = defaultdict(list)
     for r in rows.select("g", F.xxhash64("id").alias("h"), "id").collect():
