@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from landloom.operators import sides as S
+
 
 def ring_area(ring: Column) -> Column:
     """Area of a ring by the shoelace formula, without a sign."""
@@ -93,40 +95,15 @@ def shares_surface(rings: str, x0: str, y0: str, x1: str, y1: str) -> Column:
     return F.exists(sides(rings), through) | (centre % 2 == 1)
 
 
-def banded(features: DataFrame, step: float) -> DataFrame:
-    """Features cut into rows of cells: one row per ``_cy`` with the sides that reach or touch it as ``_near``.
-
-    So what follows carries a row's sides and never a whole polygon.  ``_cx0`` to
-    ``_cx1`` are the columns of the bounds, ``_maxx`` and ``_maxy`` the last
-    column and row that reach into them.
-    """
-
-    def reaching(s: Column) -> Column:
-        p, q = s["p"], s["q"]
-        lo, hi = F.ceil(F.least(p["y"], q["y"]) / step) - 1, F.floor(F.greatest(p["y"], q["y"]) / step)
-        return F.struct(p.alias("p"), q.alias("q"), lo.alias("lo"), hi.alias("hi"), F.floor(F.greatest(p["x"], q["x"]) / step).alias("right"))
-
-    box = bounds()
-    cells = {"_cx0": F.floor(box["minx"] / step), "_cx1": F.floor(box["maxx"] / step), "_maxx": F.ceil(box["maxx"] / step) - 1, "_maxy": F.ceil(box["maxy"] / step) - 1}
-    b = features.withColumns(cells | {"_sides": F.transform(sides(), reaching)})
-    rows = F.transform(F.sequence(F.floor(box["miny"] / step), F.floor(box["maxy"] / step)), lambda cy: F.struct(cy.alias("_cy"), F.filter("_sides", lambda s: (s["lo"] <= cy) & (s["hi"] >= cy)).alias("_near")))
-    return b.withColumn("_row", F.explode(rows)).select(*features.drop("rings").columns, *cells, "_row.*")
-
-
 def pixels_in(pixels: DataFrame, features: DataFrame, cell: float, how: str = "inner") -> DataFrame:
     """Pairs of a pixel (x, y) and a feature that holds its centre.
 
-    Bounds of features are cut into square cells that carry only the sides of
-    their row at or right of them; pixels join by the cell they are in, so the
-    plan is a hash join whose rest is the exact test on those few sides.  With
-    ``how`` "left_semi" (A06) each pixel of the region comes once, without a feature.
+    Sides are cut into square cells, and cells with many sides into finer ones;
+    pixels join by the cell they are in, so the plan is a hash join whose rest
+    is the exact test on a few sides, however many a feature has.  With ``how``
+    "left_semi" (A06) each pixel of the region comes once, without a feature.
     """
-    rows = banded(features, cell)
-    cells = F.transform(F.sequence("_cx0", "_cx1"), lambda cx: F.struct(cx.alias("_fx"), F.filter("_near", lambda s: (s["right"] >= cx) & (s["p"]["y"] != s["q"]["y"])).alias("_right")))
-    cells = rows.withColumn("_cell", F.explode(cells)).select(*features.drop("rings").columns, F.col("_cy").alias("_fy"), "_cell.*").filter(F.size("_right") > 0)
-    keyed = pixels.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    meets = (F.col("_cx") == F.col("_fx")) & (F.col("_cy") == F.col("_fy")) & (crossed(F.col("x"), F.col("y"), F.col("_right")) % 2 == 1)
-    return keyed.join(cells, meets, how).drop("_cx", "_cy", "_fx", "_fy", "_right")
+    return S.points_in(pixels, features, cell, how)
 
 
 def zone_of_pixels(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: float) -> DataFrame:
@@ -134,30 +111,15 @@ def zone_of_pixels(pixels: DataFrame, zones: DataFrame, keys: list[str], cell: f
     return pixels_in(pixels, zones, cell).groupBy(*keys).agg(F.max("feature_id").alias("feature_id"))
 
 
-def filled(step: float) -> Column:
-    """Columns of the cells of a banded row whose centres lie between every other crossing of the row's middle."""
-    y = (F.col("_cy") + 0.5) * step
-    xs = F.array_sort(F.transform(F.filter("_near", lambda s: (s["p"]["y"] > y) != (s["q"]["y"] > y)), lambda s: meeting(y, s)))
-
-    def between(x: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(x)), lambda k: (k % 2 == 0) & (k < F.size(x)))
-        return F.transform(starts, lambda k: F.struct(F.get(x, k).alias("a"), F.get(x, k + 1).alias("b")))
-
-    def cells(s: Column) -> Column:
-        span = F.sequence(F.ceil(s["a"] / step - 0.5) - 1, F.ceil(s["b"] / step - 0.5))
-        return F.filter(span, lambda cx: ((cx + 0.5) * step >= s["a"]) & ((cx + 0.5) * step < s["b"]))
-
-    return F.flatten(F.transform(F.flatten(F.transform(F.array(xs), between)), cells))
-
-
 def burned(features: DataFrame, step: float) -> DataFrame:
     """Cells of a grid snapped to ``step`` whose centres a labelled feature holds; the later feature wins.
 
     Each row of cells is filled between the sides that cross its middle, so no
     cell outside a feature is made.  A class that is none of the ten raises.
     """
+    shapes = S.keyed(features)
     ok = F.when(F.col("class_id").between(1, 10), F.col("class_id")).otherwise(F.raise_error(F.lit("class is none of the ten")).cast("int"))
-    cells = banded(features, step).select("feature_id", "class_id", F.col("_cy").alias("cy"), F.explode(filled(step)).alias("cx"))
+    cells = S.filled(S.side_rows(shapes.select("_key", "rings")), step).join(shapes.select("_key", "feature_id", "class_id"), "_key")
     return cells.groupBy("cx", "cy").agg(F.max_by(ok, "feature_id").alias("class_id"))
 
 
@@ -167,36 +129,11 @@ def touched(features: DataFrame, step: float) -> DataFrame:
     Each row of cells is filled as in G24 and each of its sides adds the cells
     along it, so the work is that of the cells found and not of the bounds.
     """
-
-    def part(a: Column, d: Column, lo: Column) -> tuple[Column, Column]:
-        # first and last share of a side between lo and lo + step
-        t0, t1 = F.try_divide(lo - a, d), F.try_divide(lo + step - a, d)
-        within = (a >= lo) & (a <= lo + step)
-        return F.coalesce(F.least(t0, t1), F.when(within, 0.0), F.lit(2.0)), F.coalesce(F.greatest(t0, t1), F.when(within, 1.0), F.lit(-1.0))
-
-    def within(s: Column) -> Column:
-        # the shares of the side that lie in the row
-        b0, b1 = part(s["p"]["y"], s["q"]["y"] - s["p"]["y"], F.col("_cy") * step)
-        return F.struct(s["p"]["x"].alias("x"), (s["q"]["x"] - s["p"]["x"]).alias("dx"), F.greatest(b0, F.lit(0.0)).alias("first"), F.least(b1, F.lit(1.0)).alias("last"))
-
-    def spanned(s: Column) -> Column:
-        x0, x1 = s["x"] + s["dx"] * s["first"], s["x"] + s["dx"] * s["last"]
-        return F.struct(s.alias("s"), F.sequence(F.ceil(F.least(x0, x1) / step) - 2, F.floor(F.greatest(x0, x1) / step) + 1).alias("span"))
-
-    def met(t: Column) -> Column:
-        s = t["s"]
-
-        def meets(cx: Column) -> Column:
-            a0, a1 = part(s["x"], s["dx"], cx * step)
-            return F.greatest(a0, s["first"]) <= F.least(a1, s["last"])
-
-        return F.filter(t["span"], meets)
-
-    in_row = F.filter(F.transform("_near", within), lambda s: s["first"] <= s["last"])
-    along = F.flatten(F.transform(F.transform(in_row, spanned), met))
-    cells = F.array_distinct(F.concat(filled(step), along))
-    found = banded(features, step).select("feature_id", F.explode(cells).alias("cx"), F.col("_cy").alias("cy"), "_cx0", "_maxx", "_maxy")
-    return found.filter(F.col("cx").between(F.col("_cx0"), F.col("_maxx")) & (F.col("cy") <= F.col("_maxy"))).select("feature_id", "cx", "cy")
+    box, shapes = bounds(), S.keyed(features)
+    edge = {"_cx0": F.floor(box["minx"] / step), "_maxx": F.ceil(box["maxx"] / step) - 1, "_cy0": F.floor(box["miny"] / step), "_maxy": F.ceil(box["maxy"] / step) - 1}
+    s = S.side_rows(shapes.select("_key", "rings"))
+    cells = S.filled(s, step).unionByName(S.along(s, step)).distinct().join(shapes.withColumns(edge).select("_key", "feature_id", *edge), "_key")
+    return cells.filter(F.col("cx").between(F.col("_cx0"), F.col("_maxx")) & F.col("cy").between(F.col("_cy0"), F.col("_maxy"))).select("feature_id", "cx", "cy")
 
 
 def sound_features(features: DataFrame) -> DataFrame:

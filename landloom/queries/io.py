@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -16,21 +14,10 @@ from landloom.queries.accuracy import rounded
 from landloom.queries.samples import SPLIT, samples
 from landloom.sources import tables as T
 from landloom.sources.derived import table
+from landloom.sources.shared import folder
 from landloom.streaming import incremental
 
 
-def folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="spark-io-")
-    return f"{root}/io-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, c_name, c_acctbal FROM {customer}")
 def s04_csv_round_trip(spark, d):
     at = folder(spark)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landloom.operators import pixels as P
 from landloom.operators import raster as R
 from landloom.operators import sampling as S
+from landloom.operators import sides as sides_module
 from landloom.operators import vector as V
 
 
@@ -176,3 +177,33 @@ def test_percentiles_are_exact(spark, accuracy):
             got = P.percentiles(rows, "b", low, high, accuracy).first()
             assert got["_q"] == pytest.approx(list(np.quantile(np.asarray(x, float), [low, high])), abs=1e-9)
             assert (got["_lo"], got["_hi"]) == (min(x), max(x))
+
+
+def comb(n, height, width=1.0):
+    """A rectilinear outline with ``n`` teeth, whose corners lie on a lattice."""
+    top = [(x, y) for k in range(n) for x, y in ((2 * k * width, 0.0), (2 * k * width, height * (1 + k % 3)), ((2 * k + 1) * width, height * (1 + k % 3)), ((2 * k + 1) * width, 0.0))]
+    return [*top, ((2 * n - 1) * width, -1.0), (0.0, -1.0)]
+
+
+@pytest.mark.parametrize("cell", [1.0, 8.0, 512.0])
+def test_many_sides_and_corners_on_the_lattice(spark, cell):
+    wavy = [(8.0 + (2 + 0.3 * math.sin(40 * t)) * math.cos(t), 3.0 + (2 + 0.3 * math.sin(40 * t)) * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 700, endpoint=False)]
+    shapes = [(1, [comb(90, 2.0)]), (2, [comb(40, 1.0, 0.25), [(1.0, -0.75), (5.0, -0.75), (5.0, -0.25), (1.0, -0.25)]]), (3, [wavy]), (3, [wavy[::-1]]), (4, [[(0.0, 0.0), (0.0, 0.0), (9.0, 0.0), (9.0, 9.0)]]), (4, [[(0.0, 0.0), (0.0, 0.0), (9.0, 0.0), (9.0, 9.0)]]), (5, []), (6, [[]])]
+    features = spark.createDataFrame(shapes, "feature_id int, rings array<array<struct<x double, y double>>>")
+    xs = [(float(x), float(y)) for x in np.arange(-1, 24, 0.5) for y in np.arange(-2, 8, 0.25)] + [tuple(map(float, p)) for p in np.random.default_rng(4).uniform(-1, 12, (1500, 2))]
+    points = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(xs)], "k int, x double, y double")
+    want = sorted((k, f) for k, (x, y) in enumerate(xs) for f, rings in shapes if holds(rings, x, y))
+    assert sorted((r.k, r.feature_id) for r in V.pixels_in(points, features, cell).collect()) == want
+    assert sorted(r.k for r in V.pixels_in(points, features.select("rings"), cell, "left_semi").collect()) == sorted({k for k, _ in want})
+    levels = sides_module.cells_of(sides_module.keyed(features).select("_key", "rings"), cell)
+    assert max(c.agg(F.max(F.size("sides"))).first()[0] for c, _ in levels) <= sides_module.CELL_SIDES and (len(levels) > 1) == (cell > 1)
+
+
+def test_sides_of_one_feature_are_on_many_tasks(spark):
+    one = spark.createDataFrame([(1, [comb(2000, 1.0)])], "feature_id int, rings array<array<struct<x double, y double>>>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        per_task = sides_module.side_rows(sides_module.keyed(one).select("_key", "rings")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(per_task) > 1 and max(r["count"] for r in per_task) < 8002 * 0.6
