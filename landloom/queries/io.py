@@ -108,7 +108,7 @@ def r02_updated_mosaic(spark, d):
     for k in (0, 1, 2):
         tiles.filter(F.col("delivery") == k).write.mode("append").parquet(f"{at}/in")
         incremental.update_mosaic(spark, f"{at}/in", tiles.schema, f"{at}/out", f"{at}/done", 4).awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("px_row", "px_col", "value")
+    return incremental.read_mosaic(spark, f"{at}/out", tiles.schema).select("px_row", "px_col", "value")
 
 
 def _layers() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -165,6 +165,4 @@ def m04_a47_forest_importance(spark, d):
 
 @query()
 def m05_m08_grid_of_runs(spark, d):
-    runs = M.grid(M.prepared(samples(spark, d), "ae").cache(), "forest", 64, {"maxDepth": [3, 4]}, [11, 12])
-    best = _evaluated(runs, ["run_name"]).filter("split = 'val'").select("run_name", F.col("macro_f1").alias("val_f1"), F.col("accuracy").alias("test_f1"), (1 - F.col("accuracy")).alias("val_loss"))
-    return best.orderBy(*R.best_order())
+    return _best_of_grid(spark, d, "forest", {"maxDepth": [3, 4]}, [11, 12])
