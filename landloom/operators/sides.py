@@ -140,14 +140,14 @@ def _divided(own: DataFrame, heavy: DataFrame, step: float) -> tuple[DataFrame,
     return parts.filter(F.col("cx") < behind).select(*at, *_ENDS), cells.select(*at, "n", "parity")
 
 
-def cells_of(shapes: DataFrame, cell: float) -> list[tuple[DataFrame, float]]:
-    """Cells of every level, with their size: _key, cy, cx, parity, sides; those outside are left out.
+def cells_of(sides: DataFrame, cell: float) -> list[tuple[DataFrame, float]]:
+    """Cells of every level of closed chains of ``sides`` (_key and ends), with their size: _key, cy, cx, parity, sides; those outside are left out.
 
     Each level's sides and cells are written once; deeper levels are made only
     where cells have more than ``CELL_SIDES`` sides.
     """
     at = ["_key", "cy", "cx"]
-    parts = _spanned(_rows(side_rows(shapes), cell), cell).withColumn("cx", F.explode(F.sequence("c", F.greatest("c", "r"))))
+    parts = _spanned(_rows(sides, cell), cell).withColumn("cx", F.explode(F.sequence("c", F.greatest("c", "r"))))
     own = written(parts.select(*at, *_ENDS, F.when(F.col("cx") == F.col("c"), F.col("starts")).otherwise(0).alias("starts")), "sides")
     cells = written(_along(_sums(own.withColumn("n", F.lit(1).cast("long")), ["_key", "cy"]), ["_key", "cy"]), "cells")
     step, out, inside = cell, [], _inner(cells)
@@ -179,7 +179,7 @@ def points_in(points: DataFrame, features: DataFrame, cell: float, how: str) ->
     """Pairs of a point (x, y) and a feature that holds it, or with ``how`` "left_semi" each point that one holds."""
     shapes = keyed(features)
     left, out = points, []
-    for cells, step in cells_of(shapes.select("_key", "rings"), cell):
+    for cells, step in cells_of(side_rows(shapes.select("_key", "rings")), cell):
         cells = cells.withColumnsRenamed({"cy": "_fy", "cx": "_fx"})
         if how != "left_semi" and len(features.columns) > 1:
             cells = cells.join(shapes.drop("rings"), "_key")
@@ -190,6 +190,14 @@ def points_in(points: DataFrame, features: DataFrame, cell: float, how: str) ->
     return reduce(DataFrame.unionByName, out)
 
 
+def holders(points: DataFrame, sides: DataFrame, cell: float) -> DataFrame:
+    """Pairs of a point (x, y) and the ``_key`` of closed ``sides`` that hold it."""
+    out = []
+    for cells, step in cells_of(sides, cell):
+        out.append(_met(points, cells.withColumnsRenamed({"cy": "_fy", "cx": "_fx", "parity": "_parity", "sides": "_sides"}), step, "inner"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _met(points: DataFrame, cells: DataFrame, step: float, how: str) -> DataFrame:
     at = points.withColumns({"_cx": F.floor(F.col("x") / step), "_cy": F.floor(F.col("y") / step)})
     inside = holds(F.col("x"), F.col("y"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landloom.functions.recode import recoded
+from landloom.operators import boundary as B
 from landloom.operators import parcels as A
 from landloom.operators import vector as V
 from landloom.queries import query
@@ -54,6 +55,17 @@ def g20_dissolved_boundary(spark, d):
     return V.dissolved_edges(plots(spark, d))
 
 
+_WAYS = " UNION ALL ".join(f"SELECT {a}::DOUBLE AS px, {b}::DOUBLE AS py, {c}::DOUBLE AS qx, {e}::DOUBLE AS qy FROM {PLOTS}" for a, b, c, e in (("x0", "y0", "x0 + w", "y0"), ("x0 + w", "y0", "x0 + w", "y0 + 4"), ("x0 + w", "y0 + 4", "x0", "y0 + 4"), ("x0", "y0 + 4", "x0", "y0")))
+
+
+@query(f"""WITH RECURSIVE ways AS ({_WAYS}), s AS (SELECT * FROM ways a WHERE NOT EXISTS (SELECT 1 FROM ways b WHERE a.px = b.qx AND a.py = b.qy AND a.qx = b.px AND a.qy = b.py)),
+ walk AS (SELECT px AS x, py AS y, * FROM s UNION ALL SELECT w.x, w.y, n.* FROM walk w JOIN s n ON n.px = w.qx AND n.py = w.qy WHERE w.qx <> w.x OR w.qy <> w.y)
+ SELECT x, y, sum(px * qy - qx * py) / 2 AS area, count(*) AS corners FROM walk GROUP BY x, y HAVING area > 0""")
+def g20_outer_boundary(spark, d):
+    rings = B.boundary_rings(plots(spark, d))
+    return rings.join(rings.groupBy("ring").agg(F.count("*").alias("corners")), "ring").select("x", "y", "area", "corners")
+
+
 @query("SELECT c_custkey, sha1(concat(c_name, c_mktsegment)) AS key FROM {customer}")
 def g21_geometry_fingerprint(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.concat("c_name", "c_mktsegment").cast("binary").alias("wkb")).select("c_custkey", V.fingerprint("wkb").alias("key"))

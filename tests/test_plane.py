@@ -1,12 +1,13 @@
 """Polygons and neighbourhoods against plain loops."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from landloom.operators import boundary as B
 from landloom.operators import pixels as P
 from landloom.operators import raster as R
 from landloom.operators import sampling as S
@@ -195,7 +196,7 @@ def test_many_sides_and_corners_on_the_lattice(spark, cell):
     want = sorted((k, f) for k, (x, y) in enumerate(xs) for f, rings in shapes if holds(rings, x, y))
     assert sorted((r.k, r.feature_id) for r in V.pixels_in(points, features, cell).collect()) == want
     assert sorted(r.k for r in V.pixels_in(points, features.select("rings"), cell, "left_semi").collect()) == sorted({k for k, _ in want})
-    levels = sides_module.cells_of(sides_module.keyed(features).select("_key", "rings"), cell)
+    levels = sides_module.cells_of(sides_module.side_rows(sides_module.keyed(features).select("_key", "rings")), cell)
     assert max(c.agg(F.max(F.size("sides"))).first()[0] for c, _ in levels) <= sides_module.CELL_SIDES and (len(levels) > 1) == (cell > 1)
 
 
@@ -207,3 +208,65 @@ def test_sides_of_one_feature_are_on_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(per_task) > 1 and max(r["count"] for r in per_task) < 8002 * 0.6
+
+
+def components(cells, box):
+    """4-connected components of ``cells`` within ``box``."""
+    left, out = set(cells), []
+    while left:
+        todo, got = [left.pop()], set()
+        while todo:
+            at = todo.pop()
+            got.add(at)
+            near = {(at[0] + dx, at[1] + dy) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))} & left
+            left -= near
+            todo += near
+        out.append(got)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_boundary_rings_of_squares(spark, seed):
+    rng, n = np.random.default_rng(seed), 9
+    squares = {(int(x), int(y)) for x in range(n) for y in range(n) if rng.random() < 0.6}
+    squares |= {(20, 20), (21, 21), (30, 0), (31, 0), (32, 0), (30, 1), (32, 1), (30, 2), (31, 2)}  # two that touch at a corner, and a ring closed at a corner only
+
+    def around(x, y):
+        ring = [(float(x), float(y)), (x + 1.0, float(y)), (x + 1.0, y + 1.0), (float(x), y + 1.0)]
+        return [ring if rng.random() < 0.5 else ring[::-1] + ring[-1:]]
+
+    rows = [(k, around(x, y)) for k, (x, y) in enumerate(sorted(squares))]
+    features = spark.createDataFrame([*rows, rows[0]], "feature_id int, rings array<array<struct<x double, y double>>>").repartition(3)
+    want, box = Counter(), {(x, y) for x in range(-1, 36) for y in range(-1, 36)}
+    for part in components(squares, box):
+        gaps = [g for g in components(box - part, box) if (-1, -1) not in g]
+        want[False, float(len(part) + sum(map(len, gaps)))] += 1
+        want.update((True, float(len(g))) for g in gaps)
+    got = B.boundary_rings(features, holes=True).collect()
+    rings = defaultdict(list)
+    for r in got:
+        rings[r.ring, r.part, r.hole, r.area].append((r.position, (r.x, r.y)))
+    assert Counter((hole, area) for _, _, hole, area in rings) == want and any(hole for _, _, hole, _ in rings)
+    shapes = {}
+    for (ring, part, hole, area), corners in rings.items():
+        places, corners = zip(*sorted(corners), strict=True)
+        assert places == tuple(range(len(corners))) and len(set(corners)) == len(corners)
+        assert all(abs(p[0] - q[0]) + abs(p[1] - q[1]) == 1 for p, q in sides([list(corners)]))
+        assert sum(p[0] * q[1] - q[0] * p[1] for p, q in sides([list(corners)])) / 2 == (-area if hole else area)
+        shapes[ring] = (part, hole, area, list(corners))
+    for ring, (part, hole, _, corners) in shapes.items():
+        if hole:
+            (px, py), (qx, qy) = corners[:2]
+            holders = [r for r, (_, h, _, c) in shapes.items() if not h and holds([c], (px + qx) / 2 + 1e-6 * (py - qy), (py + qy) / 2 + 1e-6 * (qx - px))]
+            assert part == min(holders, key=lambda r: shapes[r][2])
+        else:
+            assert part == ring
+    outer = B.boundary_rings(features).collect()
+    assert Counter(map(tuple, outer)) == Counter(tuple(r) for r in got if not r.hole)
+
+
+def test_boundary_of_a_feature_with_a_hole_and_of_nothing(spark):
+    kind = "feature_id int, rings array<array<struct<x double, y double>>>"
+    one = spark.createDataFrame([(1, [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]]), (2, None), (3, [])], kind)
+    assert sorted({(r.hole, r.area) for r in B.boundary_rings(one, holes=True).collect()}) == [(False, 16.0), (True, 1.0)]
+    assert B.boundary_rings(one.filter("feature_id > 1"), holes=True).count() == 0
