@@ -7,38 +7,91 @@ from pyspark.sql import functions as F
 
 from landloom.operators.pixels import finite
 from landloom.operators.raster import interior
+from landloom.sources.shared import written
 
-#: Salts that a class is ranked in first.
-SALTS = 64
-#: Rows of a group that a second rank may see without a bound.
+#: Parts that the candidates of a group are cut into at each pass, and sampled rows for each bound between them.
+PARTS, DRAWN = 64, 4
+#: Rows of a group that a rank may see; more are narrowed down by counts first.
 SECOND_RANK_ROWS = 100_000
 
 
-def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int, salts: int = SALTS) -> DataFrame:
-    """The first ``cap`` rows of each group in an order that has no ties.
+def _bounds(near: DataFrame, parts: int, turn: int) -> DataFrame:
+    """Up to ``parts`` - 1 bounds per group from a sample of its candidates: they set the pace, never the result."""
+    share = F.pmod(F.xxhash64("_at", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(1 << 30)) * parts * DRAWN / F.col("_n")
+    drawn = near.filter(share).groupBy("_g").agg(F.sort_array(F.collect_list("_at")).alias("_s"))
+    every = F.greatest(F.floor(F.size("_s") / parts), F.lit(1)).cast("int")
+    return drawn.select("_g", F.filter(F.col("_s"), lambda _, k: (k + 1) % every == 0).alias("_bounds"))
 
-    Ranked within a salt first, so that a group of many rows is many tasks' work.
-    Every salt with ``cap / salts`` rows has as many up to its own row of that
-    rank, so the greatest of those rows has ``cap`` rows up to it: what comes
-    behind it is left out, and little more than ``cap`` rows are ranked again.
-    Groups with a smaller salt have no such bound and fewer rows, and where
-    ``salts`` times ``cap`` is at most SECOND_RANK_ROWS none is needed.  The order
-    is the same in both ranks, so the result is that of one rank.
+
+_INSIDE = "(_lo IS NULL OR _at > _lo) AND (_hi IS NULL OR _at <= _hi)"
+#: A group whose candidates are all equal in order can't be narrowed further.
+_WIDE = "_lo IS NULL OR _hi IS NULL OR _lo < _hi"
+
+
+def _narrowed(narrow: DataFrame, cap: int, parts: int) -> DataFrame:
+    """Between which values (above _lo, up to _hi) groups with more than ``cap`` rows are cut, with the number of candidates and of those to take.
+
+    Candidates of a group are counted between bounds drawn from them, and only
+    those between the two around the ``cap``-th one go on, until few enough are
+    left to be ranked.  A pass divides them by about ``parts``.
+    """
+    state = narrow.groupBy("_g").agg(F.count("*").alias("_n")).filter(F.col("_n") > cap)
+    state = written(state.select("_g", "_n", F.lit(cap).cast("long").alias("_left"), F.lit(None).cast(narrow.schema["_at"].dataType).alias("_lo"), F.lit(None).cast(narrow.schema["_at"].dataType).alias("_hi")), "cuts")
+    turn, done = 0, None
+    while True:
+        small = F.col("_n") <= SECOND_RANK_ROWS
+        ready = state.filter(small | ~F.expr(_WIDE))
+        done = ready if done is None else done.unionByName(ready)
+        state = state.filter(~small & F.expr(_WIDE))
+        if state.isEmpty():
+            break
+        near = narrow.join(state, "_g").filter(_INSIDE)
+        bounds = written(_bounds(near, parts, turn), "bounds")
+        cut = near.join(bounds, "_g", "left").withColumn("_bounds", F.coalesce("_bounds", F.array().cast(near.select(F.array("_at").alias("a")).schema["a"].dataType)))
+        part = F.size(F.filter("_bounds", lambda p: p < F.col("_at")))
+        counts = cut.withColumn("_part", part).groupBy("_g", "_part").agg(F.count("*").alias("_c"), F.first("_left").alias("_left"), F.max("_at").alias("_most"), F.min("_at").alias("_least"))
+        w = Window.partitionBy("_g").orderBy("_part")  # one row per part
+        sums = counts.withColumn("_before", F.sum("_c").over(w) - F.col("_c")).filter((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_c") >= F.col("_left")))
+        # a part of equal values has equal bounds, and is then taken as it is
+        below = F.when(F.col("_least") == F.col("_most"), F.col("_most")).otherwise(None)
+        kept = sums.join(state.select("_g", "_lo"), "_g").join(bounds, "_g", "left")
+        lo = F.coalesce(below, F.when(F.col("_part") > 0, F.get("_bounds", F.col("_part") - 1)), F.col("_lo"))
+        state = written(kept.select("_g", F.col("_c").alias("_n"), (F.col("_left") - F.col("_before")).alias("_left"), lo.alias("_lo"), F.col("_most").alias("_hi")), "cuts")
+        turn += 1
+    return done
+
+
+def _cut_rows(narrow: DataFrame, cap: int, parts: int) -> DataFrame:
+    """Where groups with more than ``cap`` rows are cut (_g, _cut): the ``cap``-th value of their order; and how many rows that have it are taken."""
+    done = _narrowed(narrow, cap, parts)
+    last = narrow.join(done.filter(_WIDE), "_g").filter(_INSIDE)
+    w = Window.partitionBy("_g").orderBy("_at")
+    # the first of the rows that are equal to the cut tells how many come before them
+    nth = last.withColumns({"_r": F.row_number().over(w), "_first": F.rank().over(w)}).filter(F.col("_r") == F.col("_left"))
+    exact = nth.select("_g", F.col("_at").alias("_cut"), (F.col("_left") - F.col("_first") + 1).alias("_take"))
+    return exact.unionByName(done.filter(f"NOT ({_WIDE})").select("_g", F.col("_hi").alias("_cut"), F.col("_left").alias("_take")))
+
+
+def capped(rows: DataFrame, by: list[str], order: list[Column], cap: int, salts: int = PARTS) -> DataFrame:
+    """The first ``cap`` rows of each group in an order; of rows that are equal in it, any.
+
+    The place of the cut is found by counting (``salts`` is the number of parts
+    of a pass), and then rows are kept or left by comparing with it.  So no task
+    sorts a group, however many rows and whatever share of all it has; only rows
+    equal to the cut in every column of the order are numbered.  Null comes first.
     """
-    keyed = rows.withColumns({f"_o{k}": o for k, o in enumerate(order)})
     names = [f"_o{k}" for k in range(len(order))]
-    keyed = keyed.withColumns({"_salt": F.pmod(F.xxhash64(*names), F.lit(salts)), "_group": F.struct(*by), "_at": F.struct(*names)})
-    first = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*names))).filter(F.col("_r") <= cap)
-    if cap * salts <= SECOND_RANK_ROWS:
-        return first.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*names))).filter(F.col("_r") <= cap).select(*rows.columns)
-    ends = first.filter(F.col("_r") == -(-cap // salts)).groupBy(F.col("_group").alias("_g")).agg(F.max("_at").alias("_end"), F.count("*").alias("_n")).filter(F.col("_n") == salts)
-    near = first.join(ends, F.col("_group") == F.col("_g"), "left").filter(F.col("_end").isNull() | (F.col("_at") <= F.col("_end")))
-    return near.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*names))).filter(F.col("_r") <= cap).select(*rows.columns)
+    keyed = rows.withColumns(dict(zip(names, order, strict=True))).withColumns({"_g": F.struct(*by), "_at": F.struct(*names)})
+    cuts = written(_cut_rows(written(keyed.select("_g", "_at"), "orders"), cap, salts), "cuts")
+    met = keyed.join(cuts, "_g", "left")
+    kept = met.filter(F.col("_cut").isNull() | (F.col("_at") < F.col("_cut"))).select(*rows.columns)
+    edge = met.filter(F.col("_at") == F.col("_cut")).withColumn("_r", F.row_number().over(Window.partitionBy("_g").orderBy("_at")))
+    return kept.unionByName(edge.filter(F.col("_r") <= F.col("_take")).select(*rows.columns))
 
 
 def capped_by_area(rows: DataFrame, area_cap: int, train: int, val: int, order: list[Column]) -> DataFrame:
     """At most ``area_cap`` rows per class and area, then a number per class and split."""
-    inside = capped(rows, ["class_id", "area"], order, area_cap)
+    inside = written(capped(rows, ["class_id", "area"], order, area_cap), "capped")
     parts = [capped(inside.filter(F.col("split") == s), ["class_id"], order, n) for s, n in (("train", train), ("val", val))]
     return parts[0].unionByName(parts[1])
 

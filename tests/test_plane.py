@@ -270,3 +270,25 @@ def test_boundary_of_a_feature_with_a_hole_and_of_nothing(spark):
     one = spark.createDataFrame([(1, [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]]), (2, None), (3, [])], kind)
     assert sorted({(r.hole, r.area) for r in B.boundary_rings(one, holes=True).collect()}) == [(False, 16.0), (True, 1.0)]
     assert B.boundary_rings(one.filter("feature_id > 1"), holes=True).count() == 0
+
+
+@pytest.mark.parametrize("cap", [1, 700, 17_000])
+def test_cut_of_a_class_of_nearly_all_rows(spark, monkeypatch, cap):
+    """Ties, nulls and a class of nine tenths of all rows; no rank sees more than a bounded number of its rows."""
+    monkeypatch.setattr(S, "SECOND_RANK_ROWS", 500)
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 3).otherwise(-1).alias("g"), F.when(F.col("id") % 11 > 0, (F.col("id") * 37) % 1009).alias("o"), F.lit("x").alias("_n"))
+    groups = defaultdict(list)
+    for r in rows.collect():
+        groups[r.g].append((r.o is not None, r.o or 0, r.id))
+    got = S.capped(rows.repartition(4), ["g"], [F.col("o"), F.col("id")], cap, 8)
+    assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == sorted(k for v in groups.values() for _, _, k in sorted(v)[:cap])
+    tied = S.capped(rows, ["g"], [F.col("o")], cap, 8).collect()  # about 18 rows share each value
+    for g, v in groups.items():
+        assert sorted((r.o is not None, r.o or 0) for r in tied if r.g == g) == [x[:2] for x in sorted(v)[:cap]]
+    even = S.capped(rows.withColumn("o", F.lit(5)), ["g"], [F.col("o")], cap, 8).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in even} == {g: min(cap, len(v)) for g, v in groups.items()}
+    narrow = rows.select(F.struct("g").alias("_g"), F.struct(F.col("o").alias("_o0"), F.col("id").alias("_o1")).alias("_at"))
+    cuts = {r._g.g: (r._cut._o1, r._take) for r in S._cut_rows(narrow, cap, 8).collect()}
+    assert cuts == {g: (sorted(v)[cap - 1][2], 1) for g, v in groups.items() if len(v) > cap}
+    assert S.capped(rows.filter("false"), ["g"], [F.col("o")], cap).count() == 0
+    assert all(r._n <= 500 for r in S._narrowed(narrow, cap, 8).collect())  # what the last rank sees of a class
