@@ -6,11 +6,16 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.functions.counter import mixed, mixed_numpy
 from landloom.operators.accuracy import class_metrics, run_metrics
 
+#: Weights of blocks in replicates that a task holds at a time.
+WEIGHTS = 4_000_000
+
 
 def block_positions(blocks: DataFrame) -> DataFrame:
     """Place, from 0, of each block in order of its name.  There are few blocks: square kilometres, not pixels."""
@@ -18,9 +23,47 @@ def block_positions(blocks: DataFrame) -> DataFrame:
 
 
 def draws(spark, n_blocks: int, replicates: int, seed: int) -> DataFrame:
-    """``n_blocks`` positions drawn with replacement per replicate, by hashes: the same on any partitioning."""
+    """``n_blocks`` positions drawn with replacement per replicate, by counter: the same on any partitioning."""
     slots = spark.range(replicates).select(F.col("id").alias("replicate")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return slots.withColumn("position", F.pmod(F.xxhash64(F.lit(seed), "replicate", "slot"), F.lit(n_blocks)))
+    return slots.withColumn("position", F.shiftrightunsigned(mixed(seed, F.col("replicate"), F.col("slot")) * n_blocks, 32))
+
+
+def _weights(first: int, size: int, n_blocks: int, seed: int) -> np.ndarray:
+    """How often each of ``size`` replicates from ``first`` on has each position: the counts of ``draws``."""
+    at = mixed_numpy(seed, np.arange(first, first + size)[:, None], np.arange(n_blocks)[None, :])
+    position = (at * np.uint64(n_blocks)) >> np.uint64(32)
+    flat = position.astype(np.int64) + n_blocks * np.arange(size)[:, None]
+    return np.bincount(flat.ravel(), minlength=size * n_blocks).reshape(size, n_blocks)
+
+
+def block_products(blocks: DataFrame, n_blocks: int, replicates: int, seed: int, keys: list[str]) -> DataFrame:
+    """B01 to B03 at once: confusion matrices (keys, replicate, y_true, y_pred, n) of all replicates of ``draws``.
+
+    ``blocks`` has keys, position, y_true, y_pred and n.  A task multiplies the
+    weights of a batch of replicates, which it draws itself, by the blocks of one
+    matrix, blocks times 100 numbers.  So what is shuffled is the blocks once a
+    batch, and neither draws nor pairs of blocks and replicates are ever rows.
+    """
+    batch = max(1, min(WEIGHTS // max(n_blocks, 1), replicates))
+    parts = -(-replicates // batch)
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        first = key[-1].as_py() * batch
+        size = min(batch, replicates - first)
+        true, pred, at, n = (t[c].to_numpy().astype(np.int64) for c in ("y_true", "y_pred", "position", "n"))
+        cells, cell = np.unique(np.stack([true, pred], axis=1), axis=0, return_inverse=True)
+        held = np.zeros((n_blocks, len(cells)))
+        np.add.at(held, (at, cell.ravel()), n)
+        got = np.rint(_weights(first, size, n_blocks, seed).astype(float) @ held).astype(np.int64)
+        row, col = np.nonzero(got)
+        of = [pa.array([k.as_py()] * len(row), t.schema.field(c).type) for c, k in zip(keys, key, strict=False)]
+        out = [first + row, cells[col, 0], cells[col, 1], got[row, col]]
+        return pa.table([*of, *(pa.array(x, k) for x, k in zip(out, (pa.int64(), t.schema.field("y_true").type, t.schema.field("y_pred").type, pa.int64()), strict=True))], names=[*keys, "replicate", "y_true", "y_pred", "n"])
+
+    spread = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + f", replicate long, y_true {kinds['y_true']}, y_pred {kinds['y_pred']}, n long"
+    return spread.groupBy(*keys, "_part").applyInArrow(run, schema)
 
 
 def weights(drawn: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ def intervals(predictions: DataFrame, saved: DataFrame, keys: list[str], replica
     blocks = A.confusion(predictions, [*keys, "block_id"])
     positions = B.block_positions(blocks)
     n = positions.count()
-    drawn = B.draws(predictions.sparkSession, n, replicates, seed)
-    reps = B.replicate_matrices(blocks, positions, drawn, keys)
+    reps = B.block_products(blocks.join(positions, "block_id"), n, replicates, seed, keys)
     sums = A.confusion(predictions, keys)
     return {"gate": A.equal_matrices(sums, saved, keys), "runs": B.interval(B.metric_distribution(reps, keys), [*keys, "metric"]), "classes": B.class_intervals(reps, keys, int(replicates * 0.95))}

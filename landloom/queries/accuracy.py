@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landloom.functions.counter import mixed_sql
 from landloom.operators import accuracy as A
 from landloom.operators import bootstrap as B
 from landloom.operators import runs as R
@@ -185,11 +186,15 @@ def m09_averaged_probabilities(spark, d):
     return rounded(A.averaged(parts[0].unionByName(parts[1]), ["sample_id"]), "p")
 
 
-# The draws of the test queries are a table derived from lineitem, so that both engines have them.
+# Draws of any other kind, for the join of draws and blocks: a table derived from lineitem.
 DRAWN = "(SELECT l_orderkey % 40 AS replicate, l_linenumber AS slot, l_partkey % 50 AS position FROM {lineitem})"
 PLACES = "(SELECT block_id, row_number() OVER (ORDER BY block_id) - 1 AS position FROM (SELECT DISTINCT block_id FROM {block_confusion}))"
 REPS = f"(SELECT run_name, feature_set, model_family, replicate, y_true, y_pred, sum(w * n) AS n FROM {{block_confusion}} JOIN {PLACES} p USING (block_id) JOIN (SELECT replicate, position, count(*) AS w FROM {DRAWN} GROUP BY ALL) USING (position) GROUP BY ALL)"
-DIST = "(SELECT run_name, feature_set, model_family, replicate, unnest(['accuracy', 'macro_f1', 'weighted_f1']) AS metric, unnest([accuracy * 100, macro_f1 * 100, weighted_f1 * 100]) AS value FROM " + per_run(REPS, "run_name, feature_set, model_family, replicate", "null") + ")"
+# Five thousand replicates, drawn by counter: matrices as the product of weights and blocks.
+REPLICATES = 5000
+SHARED = f"(SELECT replicate, slot, ({mixed_sql(42, 'replicate', 'slot')} * n) >> 32 AS position FROM (SELECT n, unnest(range({REPLICATES})) AS replicate FROM (SELECT count(DISTINCT block_id) AS n FROM {{block_confusion}})), LATERAL (SELECT unnest(range(n)) AS slot))"
+MANY = f"(SELECT run_name, feature_set, model_family, replicate, y_true, y_pred, sum(w * n) AS n FROM {{block_confusion}} JOIN {PLACES} p USING (block_id) JOIN (SELECT replicate, position, count(*) AS w FROM {SHARED} GROUP BY ALL) USING (position) GROUP BY ALL)"
+DIST = "(SELECT run_name, feature_set, model_family, replicate, unnest(['accuracy', 'macro_f1', 'weighted_f1']) AS metric, unnest([accuracy * 100, macro_f1 * 100, weighted_f1 * 100]) AS value FROM " + per_run(MANY, "run_name, feature_set, model_family, replicate", "null") + ")"
 ROUND5 = "round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lower, round(quantile_cont(value, 0.975), 6) AS upper, count(value) AS n_valid, count(*) - count(value) AS n_invalid"
 KEYS = ["run_name", "feature_set", "model_family"]
 
@@ -203,8 +208,14 @@ def replicates(spark, d):
     return B.replicate_matrices(b, B.block_positions(b), drawn(spark, d), KEYS)
 
 
+def many(spark, d):
+    b = table(spark, d, "block_confusion")
+    places = B.block_positions(b)
+    return B.block_products(b.join(places, "block_id"), places.count(), REPLICATES, 42, KEYS)
+
+
 def distribution(spark, d):
-    return B.metric_distribution(replicates(spark, d), KEYS)
+    return B.metric_distribution(many(spark, d), KEYS)
 
 
 @query(f"SELECT * FROM {PLACES}")
@@ -212,10 +223,10 @@ def w10_block_positions(spark, d):
     return B.block_positions(table(spark, d, "block_confusion"))
 
 
-@query()
+@query(f"SELECT * FROM {SHARED}")
 def b01_shared_draws(spark, d):
     n = table(spark, d, "block_confusion").select("block_id").distinct().count()
-    return B.draws(spark, n, 200, 42)
+    return B.draws(spark, n, REPLICATES, 42)
 
 
 @query(f"SELECT replicate, position, count(*) AS w FROM {DRAWN} GROUP BY ALL")
@@ -228,6 +239,13 @@ def b03_replicate_matrices(spark, d):
     return replicates(spark, d)
 
 
+@query(f"SELECT run_name, y_true, y_pred, count(*) AS replicates, CAST(sum(n) AS BIGINT) AS total, CAST(min(n) AS BIGINT) AS least, CAST(max(n) AS BIGINT) AS most, CAST(sum(n * n) AS BIGINT) AS squares, CAST(sum(n * (replicate % 97)) AS BIGINT) AS order_check FROM {MANY} GROUP BY run_name, y_true, y_pred")
+def b03_block_products(spark, d):
+    n = F.col("n")
+    sums = [F.count("*").alias("replicates"), F.sum(n).alias("total"), F.min(n).alias("least"), F.max(n).alias("most"), F.sum(n * n).alias("squares"), F.sum(n * (F.col("replicate") % 97)).alias("order_check")]
+    return many(spark, d).groupBy("run_name", "y_true", "y_pred").agg(*sums)
+
+
 @query(f"SELECT run_name, feature_set, model_family, replicate, metric, round(value, 6) AS value FROM {DIST}")
 def b04_metric_distribution(spark, d):
     return rounded(distribution(spark, d), "value")
@@ -255,12 +273,12 @@ def j09_model_gaps(spark, d):
     return rounded(gaps.groupBy("run_name", "metric").agg(F.avg("value").alias("mean")), "mean")
 
 
-_CD = f"(SELECT run_name, class_id, unnest(['recall', 'precision', 'f1']) AS metric, unnest([recall * 100, precision * 100, f1 * 100]) AS value FROM {per_class(REPS, 'run_name, feature_set, model_family, replicate', 'null')})"
+_CD = f"(SELECT run_name, class_id, unnest(['recall', 'precision', 'f1']) AS metric, unnest([recall * 100, precision * 100, f1 * 100]) AS value FROM {per_class(MANY, 'run_name, feature_set, model_family, replicate', 'null')})"
 
 
-@query(f"SELECT run_name, class_id, metric, {ROUND5}, count(value) < 38 AS unstable FROM {_CD} GROUP BY run_name, class_id, metric")
+@query(f"SELECT run_name, class_id, metric, {ROUND5}, count(value) < 4750 AS unstable FROM {_CD} GROUP BY run_name, class_id, metric")
 def b08_class_intervals(spark, d):
-    return rounded(B.class_intervals(replicates(spark, d).drop("feature_set", "model_family"), RUN, 38), "mean", "lower", "upper")
+    return rounded(B.class_intervals(many(spark, d).drop("feature_set", "model_family"), RUN, 4750), "mean", "lower", "upper")
 
 
 @query(f"SELECT metric, {ROUND5} FROM (SELECT metric, replicate, avg(value) AS value FROM {DIST} GROUP BY ALL) GROUP BY metric")
@@ -269,12 +287,12 @@ def b09_consolidated_results(spark, d):
     return rounded(B.interval(per, ["metric"]), "mean", "lower", "upper")
 
 
-_MACRO = "(SELECT replicate, unnest(['macro_recall', 'macro_precision']) AS metric, unnest([macro_recall * 100, macro_precision * 100]) AS value FROM " + per_run(REPS, "run_name, feature_set, model_family, replicate", "null") + ")"
+_MACRO = "(SELECT replicate, unnest(['macro_recall', 'macro_precision']) AS metric, unnest([macro_recall * 100, macro_precision * 100]) AS value FROM " + per_run(MANY, "run_name, feature_set, model_family, replicate", "null") + ")"
 
 
 @query(f"SELECT metric, {ROUND5} FROM (SELECT metric, replicate, avg(value) AS value FROM {_MACRO} GROUP BY ALL) GROUP BY metric")
 def b09_macro_recall_precision(spark, d):
-    each = B.metric_distribution(replicates(spark, d), KEYS, ("macro_recall", "macro_precision"))
+    each = B.metric_distribution(many(spark, d), KEYS, ("macro_recall", "macro_precision"))
     per = each.groupBy("metric", "replicate").agg(F.avg("value").alias("value"))
     return rounded(B.interval(per, ["metric"]), "mean", "lower", "upper")
 
