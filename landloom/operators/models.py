@@ -7,12 +7,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from landloom.operators import training
 from landloom.operators.sampling import class_weights
 
 
@@ -23,23 +24,31 @@ def prepared(samples: DataFrame, features: str) -> DataFrame:
 
 
 def estimator(kind: str, n_features: int, seed: int, **settings):
-    """A classifier of a kind: ``linear``, ``perceptron``, ``forest`` or ``boosted``."""
+    """A classifier of ``spark.ml``: ``linear`` or ``forest``."""
     if kind == "linear":
         return LogisticRegression(weightCol="weight", family="multinomial", **{"maxIter": 30, **settings})
-    if kind == "perceptron":
-        hidden = settings.pop("hidden", [32])
-        return MultilayerPerceptronClassifier(layers=[n_features, *hidden, 10], seed=seed, **{"maxIter": 30, **settings})
     if kind == "forest":
         return RandomForestClassifier(weightCol="weight", seed=seed, **{"numTrees": 20, **settings})
-    if kind == "boosted":
-        return OneVsRest(classifier=GBTClassifier(seed=seed, **{"maxIter": 5, **settings}), weightCol="weight")
     raise ValueError(f"unknown kind of classifier: {kind}")
 
 
 def fit_and_predict(data: DataFrame, kind: str, n_features: int, seed: int = 42, **settings) -> DataFrame:
-    """Predictions of a classifier fitted on the training rows: sample_id, split, y_true, y_pred."""
-    model = estimator(kind, n_features, seed, **settings).fit(data.filter("split = 'train'"))
-    return model.transform(data).select("sample_id", "split", (F.col("label") + 1).cast("int").alias("y_true"), (F.col("prediction") + 1).cast("int").alias("y_pred"))
+    """Predictions of a classifier fitted on the training rows: sample_id, split, y_true, y_pred.
+
+    Kinds ``boosted`` and ``perceptron`` (see ``training``) weigh classes and
+    end by the validation rows; the others are those of ``estimator``.
+    """
+    if kind in ("boosted", "perceptron"):
+        arrays = data.withColumn("features", vector_to_array("features"))
+        if kind == "boosted":
+            trees = training.boosted(arrays, n_features, **settings)
+            out = training.called(arrays, lambda x: trees.scores(x, 10))
+        else:
+            layers = training.perceptron(arrays, n_features, seed=seed, **{"hidden": [32], **settings})
+            out = training.called(arrays, lambda x: training.forward(x, layers)[-1])
+    else:
+        out = estimator(kind, n_features, seed, **settings).fit(data.filter("split = 'train'")).transform(data)
+    return out.select("sample_id", "split", (F.col("label") + 1).cast("int").alias("y_true"), (F.col("prediction") + 1).cast("int").alias("y_pred"))
 
 
 def grid(data: DataFrame, kind: str, n_features: int, settings: dict[str, list], seeds: list[int]) -> DataFrame:

@@ -148,12 +148,12 @@ def _best_of_grid(spark, d, kind, settings, seeds):
 
 @query()
 def m03_perceptron(spark, d):
-    return _best_of_grid(spark, d, "perceptron", {"hidden": [[16], [32]]}, [42])
+    return _best_of_grid(spark, d, "perceptron", {"hidden": [[16], [32]], "epochs": [6]}, [42])
 
 
 @query()
 def m04_boosted(spark, d):
-    return _best_of_grid(spark, d, "boosted", {"maxIter": [1, 3]}, [42])
+    return _best_of_grid(spark, d, "boosted", {"depth": [2, 3], "rounds": [6]}, [42])
 
 
 @query()
