@@ -1,7 +1,8 @@
 """Random numbers by counter: the same from Spark, numpy and SQL, on any partitioning and in any order.
 
 A number depends on a seed and on whole numbers that say what it is for.  They
-are mixed one after the other in 32 bits; all products fit a signed 64-bit integer.
+are folded to 32 bits and mixed one after the other; all products fit a signed
+64-bit integer.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def mixed(seed: int, *counters: Column) -> Column:
     """Number from 0 to 2**32 - 1 that ``seed`` and whole-number ``counters`` decide."""
 
     def step(h: Column, v: Column) -> Column:
-        x = h.bitwiseXOR(v)
+        x = h.bitwiseXOR(v.bitwiseXOR(F.shiftrightunsigned(v, 32)).bitwiseAND(F.lit(MASK)))
         for shift, factor in zip(SHIFTS[:2], FACTORS, strict=True):
             x = (x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK))
         return x.bitwiseXOR(F.shiftrightunsigned(x, SHIFTS[2]))
@@ -31,7 +32,8 @@ def mixed_numpy(seed: int, *counters: np.ndarray) -> np.ndarray:
     """``mixed`` for arrays that broadcast."""
     h = np.uint64(seed)
     for v in counters:
-        x = h ^ np.asarray(v).astype(np.uint64)
+        v = np.asarray(v).astype(np.int64).astype(np.uint64)
+        x = h ^ ((v ^ (v >> np.uint64(32))) & np.uint64(MASK))
         for shift, factor in zip(SHIFTS[:2], FACTORS, strict=True):
             x = ((x ^ (x >> np.uint64(shift))) * np.uint64(factor)) & np.uint64(MASK)
         h = x ^ (x >> np.uint64(SHIFTS[2]))
@@ -40,8 +42,13 @@ def mixed_numpy(seed: int, *counters: np.ndarray) -> np.ndarray:
 
 def mixed_sql(seed: int, *counters: str) -> str:
     """``mixed`` in DuckDB's SQL."""
-    x = "xor(h, v)"
+    x = f"xor(h, xor(v, v >> 32) & {MASK})"
     for shift, factor in zip(SHIFTS[:2], FACTORS, strict=True):
         x = f"((xor({x}, {x} >> {shift}) * {factor}) & {MASK})"
     parts = ", ".join(f"({c})::BIGINT" for c in (seed, *counters))
     return f"list_reduce([{parts}], lambda h, v: xor({x}, {x} >> {SHIFTS[2]}))"
+
+
+def below(n: Column, seed: int, *counters: Column) -> Column:
+    """Whole number from 0 to ``n`` - 1, for ``n`` up to 2**31."""
+    return F.shiftrightunsigned(mixed(seed, *counters) * n, 32)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landloom.functions.counter import mixed, mixed_numpy
+from landloom.functions.counter import below, mixed_numpy
 from landloom.operators.accuracy import class_metrics, run_metrics
 
 #: Weights of blocks in replicates that a task holds at a time.
@@ -25,7 +25,7 @@ def block_positions(blocks: DataFrame) -> DataFrame:
 def draws(spark, n_blocks: int, replicates: int, seed: int) -> DataFrame:
     """``n_blocks`` positions drawn with replacement per replicate, by counter: the same on any partitioning."""
     slots = spark.range(replicates).select(F.col("id").alias("replicate")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    return slots.withColumn("position", F.shiftrightunsigned(mixed(seed, F.col("replicate"), F.col("slot")) * n_blocks, 32))
+    return slots.withColumn("position", below(F.lit(n_blocks), seed, F.col("replicate"), F.col("slot")))
 
 
 def _weights(first: int, size: int, n_blocks: int, seed: int) -> np.ndarray:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.functions.counter import mixed
 from landloom.functions.names import class_name
 
 
@@ -228,4 +229,4 @@ def changed_windows(pixels: DataFrame, size: int, n: int, seed: int, used: DataF
     w = window_counts(pixels, size).filter("valid > 0")
     if used is not None:
         w = w.join(used, "win", "left_anti")
-    return w.orderBy(F.col("changed") == 0, F.xxhash64(F.lit(seed), "win"), "win").limit(n)
+    return w.orderBy(F.col("changed") == 0, mixed(seed, F.col("win")), "win").limit(n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from landloom.functions.counter import below, mixed
 from landloom.operators.pixels import finite
 from landloom.operators.raster import interior
 from landloom.sources.shared import written
@@ -102,8 +103,8 @@ def eroded_training(rows: DataFrame, reach: int) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, seed: int, columns: list[str]) -> DataFrame:
-    """Rows in an order that a seed decides."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *columns), *columns)
+    """Rows in an order that a seed decides, by counters of ``columns``, whole numbers."""
+    return rows.orderBy(mixed(seed, *map(F.col, columns)), *columns)
 
 
 def class_weights(rows: DataFrame, classes: int = 10) -> DataFrame:
@@ -175,29 +176,32 @@ def array_summary(rows: DataFrame, features: str) -> DataFrame:
 def numbered(rows: DataFrame, by: str, order: list[str], per_task: int = 100_000) -> DataFrame:
     """Adds ``_place``, from 0, among the rows that share ``by``, of which there are few values.
 
-    Rows of a value are dealt to buckets of about ``per_task`` and numbered
-    there; a bucket's first number is a running sum over buckets.
+    They are in the order of a number by counter of ``order``, whole numbers,
+    and then of these.  Rows of a value are dealt to buckets of about
+    ``per_task`` by ranges of that number and numbered there; a bucket's first
+    number is a running sum over buckets.
     """
     n = rows.groupBy(by).agg(F.ceil(F.count("*") / per_task).alias("_buckets"))
-    dealt = rows.join(n, by).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets")))
+    dealt = rows.join(n, by).withColumn("_mixed", mixed(0, *map(F.col, order)))
+    dealt = dealt.withColumn("_bucket", F.shiftrightunsigned(F.col("_mixed") * F.col("_buckets"), 32))
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = dealt.groupBy(by, "_bucket").agg(F.count("*").alias("_n")).select(by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inner = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy(*order)) - 1
-    return dealt.withColumn("_inner", inner).join(first, [by, "_bucket"]).withColumn("_place", F.col("_inner") + F.col("_first")).drop("_buckets", "_bucket", "_first", "_inner")
+    inner = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy("_mixed", *order)) - 1
+    return dealt.withColumn("_inner", inner).join(first, [by, "_bucket"]).withColumn("_place", F.col("_inner") + F.col("_first")).drop("_buckets", "_bucket", "_first", "_inner", "_mixed")
 
 
 def balanced_draw(rows: DataFrame, seed: int, keys: list[str], factor: int = 1) -> DataFrame:
     """As many rows as there are, times ``factor``, drawn with replacement; classes weigh the same.
 
-    Each draw takes a class, then one of its rows, by hashes of its number, so
-    reruns agree; ``copy`` tells the draws of a row apart.  ``keys`` tell the
-    rows of a class apart.
+    Each draw takes a class, then one of its rows, by counters of its number, so
+    reruns agree; ``copy`` tells the draws of a row apart.  ``keys``, whole
+    numbers, tell the rows of a class apart.
     """
     every = Window.partitionBy()
     classes = rows.groupBy("class_id").agg(F.count("*").alias("_n"))
     classes = classes.withColumns({"_k": F.row_number().over(Window.orderBy("class_id")) - 1, "_classes": F.count("*").over(every), "_total": F.sum("_n").over(every)})
     total = classes.agg(F.max("_total")).first()[0] or 0
     draws = rows.sparkSession.range(total * factor).withColumnRenamed("id", "copy")
-    drawn = draws.join(F.broadcast(classes), F.pmod(F.xxhash64(F.lit(seed), "copy"), F.col("_classes")) == F.col("_k"))  # one row per class
-    drawn = drawn.select("copy", "class_id", F.pmod(F.xxhash64(F.lit(seed), F.lit("row"), "copy"), F.col("_n")).alias("_place"))
+    drawn = draws.join(F.broadcast(classes), below(F.col("_classes"), seed, F.lit(0), F.col("copy")) == F.col("_k"))  # one row per class
+    drawn = drawn.select("copy", "class_id", below(F.col("_n"), seed, F.lit(1), F.col("copy")).alias("_place"))
     return numbered(rows, "class_id", keys).join(drawn, ["class_id", "_place"]).drop("_place").select(*rows.columns, "copy")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landloom.functions import names
+from landloom.functions.counter import mixed_sql
 from landloom.functions.names import CLASS_NAMES
 from landloom.operators import change as C
 from landloom.operators import vector as V
@@ -196,6 +197,7 @@ def a52_window_counts(spark, d):
     return C.window_counts(pairs(spark, d), 512)
 
 
-@query()
+@query(f"""SELECT win, valid, changed FROM (SELECT CAST(floor(px_row / 512) AS BIGINT) AS win, count(*) FILTER ({VALID}) AS valid, count(*) FILTER ({VALID} AND c1 <> c2) AS changed
+ FROM {{class_pair}} GROUP BY 1) WHERE valid > 0 ORDER BY changed = 0, {mixed_sql(42, 'win')}, win LIMIT 4""")
 def g37_changed_windows(spark, d):
     return C.changed_windows(pairs(spark, d), 512, 4, 42)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from landloom.functions.counter import mixed, mixed_sql
 from landloom.operators import grid as G
 from landloom.operators import pixels as P
 from landloom.operators import sampling as S
@@ -45,9 +46,10 @@ def w13_eroded_budgets(spark, d):
     return S.capped_by_area(S.eroded_training(s, 1), 10, 12, 4, [F.col("sample_id")]).select("sample_id", "class_id", "split")
 
 
-@query()
+@query(f"SELECT sample_id, class_id, {mixed_sql(42, 'sample_id')} AS key FROM {{ae_pixels}} ORDER BY key, sample_id")
 def t07_shuffled(spark, d):
-    return S.shuffled(table(spark, d, "ae_pixels").select("sample_id", "class_id"), 42, ["sample_id"])
+    rows = table(spark, d, "ae_pixels").select("sample_id", "class_id")
+    return S.shuffled(rows.withColumn("key", mixed(42, F.col("sample_id"))), 42, ["sample_id"])
 
 
 @query("SELECT class_id, n, round(raw / avg(raw) OVER (), 6) AS balanced, round((1.0 / n) / sum(1.0 / n) OVER () * 10, 6) AS inverse, round(n / sum(n) OVER (), 6) AS prior FROM (SELECT class_id, count(*) AS n, sum(count(*)) OVER () / (10 * count(*)) AS raw FROM {ae_pixels} GROUP BY 1)")
@@ -106,7 +108,10 @@ def v10_sample_replay(spark, d):
     return one.agg(F.count("*").alias("n")).join(one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("differing")), how="cross")
 
 
-@query()
+@query(f"""WITH rows AS (SELECT sample_id, class_id, row_number() OVER (PARTITION BY class_id ORDER BY {mixed_sql(0, 'sample_id')}, sample_id) - 1 AS place FROM {{ae_pixels}}),
+ kinds AS (SELECT class_id, n, row_number() OVER (ORDER BY class_id) - 1 AS k, count(*) OVER () AS kinds FROM (SELECT class_id, count(*) AS n FROM rows GROUP BY 1)),
+ draws AS (SELECT copy, {mixed_sql(42, '0', 'copy')} AS a, {mixed_sql(42, '1', 'copy')} AS b FROM (SELECT unnest(range(count(*))) AS copy FROM rows))
+ SELECT r.sample_id, r.class_id, copy FROM draws JOIN kinds ON (a * kinds) >> 32 = k JOIN rows r ON r.class_id = kinds.class_id AND r.place = (b * n) >> 32""")
 def m10_balanced_draw(spark, d):
     return S.balanced_draw(table(spark, d, "ae_pixels").select("sample_id", "class_id"), 42, ["sample_id"])
 
