@@ -168,9 +168,20 @@ def p38_cleaned_parcels(spark, d):
     return A.cleaned(table(spark, d, "parcel_year"), {"5-LOW": "low", "1-URGENT": "urgent"}).select("parcel", "year", "kind")
 
 
-@query()
+# The series of the transverse Mercator projection on the ellipsoid of WGS 84, to the sixth order, step by step.
+_UTM = """WITH c AS (SELECT c_custkey, 90.0::DOUBLE + c_custkey % 60 / 10.0::DOUBLE AS lon, 20.0::DOUBLE + c_nationkey / 5.0::DOUBLE AS lat FROM {customer}),
+ k AS (SELECT *, 6378137.0::DOUBLE AS a, 0.9996::DOUBLE AS k0, (1 / 298.257223563::DOUBLE) * (2 - 1 / 298.257223563::DOUBLE) AS e2 FROM c),
+ p AS (SELECT *, e2 / (1 - e2) AS ep, radians(lat) AS phi, radians(lon - 93) AS lam FROM k),
+ q AS (SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, ep * cos(phi) ** 2 AS cc, cos(phi) * lam AS w,
+  a * ((1 - e2 / 4 - 3 * e2 ** 2 / 64 - 5 * e2 ** 3 / 256) * phi - (3 * e2 / 8 + 3 * e2 ** 2 / 32 + 45 * e2 ** 3 / 1024) * sin(2 * phi) + (15 * e2 ** 2 / 256 + 45 * e2 ** 3 / 1024) * sin(4 * phi) - 35 * e2 ** 3 / 3072 * sin(6 * phi)) AS m FROM p),
+ u AS (SELECT *, 500000 + k0 * n * (w + (1 - t + cc) * w ** 3 / 6 + (5 - 18 * t + t ** 2 + 72 * cc - 58 * ep) * w ** 5 / 120) AS easting,
+  k0 * (m + n * tan(phi) * (w ** 2 / 2 + (5 - t + 9 * cc + 4 * cc ** 2) * w ** 4 / 24 + (61 - 58 * t + t ** 2 + 600 * cc - 330 * ep) * w ** 6 / 720)) AS northing FROM q)"""
+
+
+@query(f"{_UTM} SELECT c_custkey, lon, lat, round(easting, 4) AS easting, round(northing, 4) AS northing, round(lon, 7) AS lon_back, round(lat, 7) AS lat_back FROM u")
 def g14_utm_round_trip(spark, d):
     c = table(spark, d, "customer").select("c_custkey", (90.0 + F.col("c_custkey") % 60 / 10.0).alias("lon"), (20.0 + F.col("c_nationkey") / 5.0).alias("lat"))
     u = c.withColumns(V.to_utm(F.col("lon"), F.col("lat")))
     back = V.from_utm(F.col("easting"), F.col("northing"))
-    return u.withColumns({f"{k}_back": v for k, v in back.items()})
+    both = u.withColumns({f"{k}_back": v for k, v in back.items()})
+    return rounded(rounded(both, "easting", "northing", digits=4), "lon_back", "lat_back", digits=7)
