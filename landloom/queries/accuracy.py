@@ -162,6 +162,15 @@ def v06_block_sums_match(spark, d):
     return A.equal_matrices(by_block, matrix(spark, d), RUN)
 
 
+@query(f"""SELECT run_name, CAST(max(abs(coalesce(a.n, 0) - coalesce(b.n, 0))) AS BIGINT) AS max_diff, max(abs(coalesce(a.n, 0) - coalesce(b.n, 0))) = 0 AS equal
+ FROM (SELECT run_name, y_true, y_pred, sum(n) AS n FROM {{block_confusion}} WHERE run_name IN ('run_1', 'run_3', 'run_5') AND block_id <> (SELECT min(block_id) FROM {{block_confusion}}) OR run_name NOT IN ('run_1', 'run_3', 'run_5') GROUP BY ALL) a FULL JOIN {M} b USING (run_name, y_true, y_pred) GROUP BY run_name""")
+def v06_block_sums_of_lost_blocks(spark, d):
+    blocks = table(spark, d, "block_confusion")
+    lost = blocks.agg(F.min("block_id").alias("block_id")).withColumn("_runs", F.array(*map(F.lit, ("run_1", "run_3", "run_5"))))  # one row
+    left = blocks.join(F.broadcast(lost), (blocks["block_id"] == lost["block_id"]) & F.array_contains("_runs", F.col("run_name")), "left_anti")
+    return A.equal_matrices(left.groupBy("run_name", "y_true", "y_pred").agg(F.sum("n").alias("n")), matrix(spark, d), RUN)
+
+
 @query("SELECT run_name, count(DISTINCT block_id) AS n_blocks, (SELECT count(DISTINCT block_id) FROM {block_confusion}) - count(DISTINCT block_id) AS n_missing, (SELECT count(DISTINCT block_id) FROM {block_confusion}) = count(DISTINCT block_id) AS same FROM {block_confusion} GROUP BY run_name")
 def u04_v07_same_blocks(spark, d):
     return A.same_blocks(table(spark, d, "block_confusion"))

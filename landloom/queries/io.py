@@ -130,6 +130,16 @@ def m02_same_statistics(spark, d):
     return M.require_same_statistics(S.feature_statistics(s, "ae"), spark.read.parquet(f"{at}/statistics"))
 
 
+_MOMENTS = "SELECT k, avg(ae[k]::DOUBLE) AS mu, stddev_pop(ae[k]::DOUBLE) AS sigma FROM {}, range(1, 65) r(k) {} GROUP BY k"
+
+
+@query(f"SELECT count(*) AS n, round(max(greatest(abs(p.mu - q.mu), abs(p.sigma - q.sigma))), 9) AS max_diff FROM ({_MOMENTS.format(SPLIT, '')}) p JOIN ({_MOMENTS.format(SPLIT, "WHERE split = 'train'")}) q USING (k)")
+def m02_statistics_of_all_and_training_rows(spark, d):
+    s = samples(spark, d)
+    got = M.require_same_statistics(S.feature_statistics(s.withColumn("split", F.lit("train")), "ae"), S.feature_statistics(s, "ae"), 1.0)
+    return rounded(got, "max_diff", digits=9)
+
+
 def _evaluated(p, keys):
     return rounded(A.run_metrics(A.confusion(p.filter("split <> 'train'"), [*keys, "split"]), [*keys, "split"]), "accuracy", "macro_f1").select(*keys, "split", "n", "accuracy", "macro_f1")
 

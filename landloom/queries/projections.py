@@ -11,6 +11,7 @@ from landloom.operators import grid as G
 from landloom.operators import pixels as P
 from landloom.queries import query
 from landloom.sources.derived import table
+from landloom.sources.tables import flattened
 
 BANDS = "(SELECT px_row, px_col, part, " + ", ".join(f"nullif({b}, 65535)::DOUBLE AS {b}" for b in ("b2", "b3", "b4", "b8", "b11", "b12")) + " FROM {band_pixels})"
 ND = "({a} - {b}) / nullif({a} + {b}, 0)"
@@ -242,6 +243,16 @@ def f12_f13_json_fields(spark, d):
     return e.select("event_id", F.col("j.k").alias("k"), F.coalesce("j.missing", F.lit("none")).alias("other"))
 
 
+@query("""SELECT event_id, event_type AS "run.kind", user_id AS "run.by.user", CAST(props->>'$.k' AS INT) AS "run.by.k", concat('[', user_id, ',', event_id % 7, ']') AS "run.seeds", value AS score FROM {events}""")
+def f12_flattened_records(spark, d):
+    e = table(spark, d, "events")
+    by = F.struct(F.col("user_id").alias("user"), F.from_json("props", "k int")["k"].alias("k"))
+    run = F.struct(F.col("event_type").alias("kind"), by.alias("by"), F.array("user_id", F.col("event_id") % 7).alias("seeds"))
+    records = e.select(F.to_json(F.struct("event_id", run.alias("run"), F.col("value").alias("score"))).alias("text"))
+    kind = "event_id long, run struct<kind:string,by:struct<user:long,k:int>,seeds:array<long>>, score double"
+    return flattened(records.select(F.from_json("text", kind).alias("r")).select("r.*"))
+
+
 @query("SELECT px_row, px_col, part, round(coalesce(b4 / nullif(b8, 0), 0), 6) AS zero, round(b4 / nullif(b8, 0), 6) AS missing FROM (SELECT px_row, px_col, part, b4::DOUBLE AS b4, b8::DOUBLE AS b8 FROM {band_pixels})")
 def f14_f15_safe_divide(spark, d):
     b = table(spark, d, "band_pixels")

@@ -11,6 +11,7 @@ from landloom.operators import sampling as S
 from landloom.queries import query
 from landloom.queries.accuracy import rounded
 from landloom.sources.derived import table
+from landloom.sources.shared import folder
 
 _U = "xor(xor(px_row // 5 * 73856093, px_col // 5 * 19349663), 42::BIGINT * 83492791) % 10000000 / 10000000.0::DOUBLE"
 SPLIT = f"(SELECT *, CASE WHEN u < 0.15 THEN 'test' WHEN u < 0.3 THEN 'val' ELSE 'train' END AS split, printf('%d:r%04d_c%04d', area, px_row // 5, px_col // 5) AS block_id FROM (SELECT *, {_U} AS u FROM {{ae_pixels}}))"
@@ -108,6 +109,14 @@ def v10_sample_replay(spark, d):
     return one.agg(F.count("*").alias("n")).join(one.exceptAll(two).unionByName(two.exceptAll(one)).agg(F.count("*").alias("differing")), how="cross")
 
 
+@query(f"SELECT count(*) AS n, CAST(2 * count(*) FILTER (u >= 0.25 AND u < 0.3) AS BIGINT) AS differing FROM {SPLIT}")
+def v10_replay_with_other_shares(spark, d):
+    at = folder(spark)
+    samples(spark, d).select("sample_id", "split").write.parquet(at)
+    stored, again = spark.read.parquet(at), G.with_blocks(table(spark, d, "ae_pixels"), 5).withColumn("split", P.split_of(G.block_fraction(42), 0.1, 0.15)).select("sample_id", "split")
+    return stored.agg(F.count("*").alias("n")).join(stored.exceptAll(again).unionByName(again.exceptAll(stored)).agg(F.count("*").alias("differing")), how="cross")
+
+
 @query(f"""WITH rows AS (SELECT sample_id, class_id, row_number() OVER (PARTITION BY class_id ORDER BY {mixed_sql(0, 'sample_id')}, sample_id) - 1 AS place FROM {{ae_pixels}}),
  kinds AS (SELECT class_id, n, row_number() OVER (ORDER BY class_id) - 1 AS k, count(*) OVER () AS kinds FROM (SELECT class_id, count(*) AS n FROM rows GROUP BY 1)),
  draws AS (SELECT copy, {mixed_sql(42, '0', 'copy')} AS a, {mixed_sql(42, '1', 'copy')} AS b FROM (SELECT unnest(range(count(*))) AS copy FROM rows))
