@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from landloom.functions import indices as I
 from landloom.operators import raster as R
+from landloom.operators import tiles as L
 from landloom.operators import vector as V
 from landloom.queries import query
 from landloom.queries.accuracy import rounded
 from landloom.sources.derived import table
+from landloom.sources.shared import folder
 
 T = "{{tiles}}"
 MOSAIC = f"SELECT px_row, px_col, value FROM (SELECT *, row_number() OVER (PARTITION BY px_row, px_col ORDER BY {{order}}) AS r FROM {T}) WHERE r = 1"
@@ -241,6 +243,32 @@ def j01_s02_aligned_stack(spark, d):
     return R.aligned(p.select("px_row", "px_col", "class_id"), [table(spark, d, "dem"), p.select("px_row", "px_col", "ae")]).select("px_row", "px_col", "class_id", "z")
 
 
+def tiled(spark, d):
+    """Three rasters stored as tiles: labels, elevation and the first band of embeddings."""
+    p, out = table(spark, d, "ae_pixels"), []
+    for bands in (p.select("px_row", "px_col", "class_id"), table(spark, d, "dem"), p.select("px_row", "px_col", R.float_band("ae", 0).alias("ae_00"))):
+        at, made = folder(spark, "raster"), L.dense(bands, 16)
+        L.stored(made, at)
+        out.append(L.opened(spark, at, 16, made.bands))
+    return out
+
+
+@query("SELECT a.px_row, a.px_col, a.class_id, d.z, CAST(a.ae[1] AS FLOAT) AS ae_00 FROM {ae_pixels} a JOIN {dem} d ON d.px_row = a.px_row AND d.px_col = a.px_col")
+def j01_s02_stacked_tiles(spark, d):
+    return L.pixels_of(L.stacked(*tiled(spark, d)))
+
+
+@query("SELECT a.px_row + 5 AS px_row, a.px_col - 7 AS px_col, a.class_id, d.z FROM {ae_pixels} a JOIN {dem} d ON d.px_row = a.px_row + 5 AND d.px_col = a.px_col - 7")
+def j01_shifted_stack(spark, d):
+    labels, dem, _ = tiled(spark, d)
+    return L.pixels_of(L.stacked(L.shifted(labels, 5, -7), dem))
+
+
+@query("SELECT px_row, px_col, z FROM {dem} WHERE px_row BETWEEN 3 AND 18 AND px_col BETWEEN 10 AND 21")
+def s08_tiled_window(spark, d):
+    return L.pixels_of(L.windowed(tiled(spark, d)[1], 3, 18, 10, 21))
+
+
 @query("SELECT px_row, px_col, z AS value FROM {dem}")
 def s01_s08_tiles_round_trip(spark, d):
     return R.from_tiles(R.as_tiles(table(spark, d, "dem"), "z", 8))
