@@ -38,7 +38,7 @@ def empty(df):
 @pytest.fixture(scope="module")
 def duck(sf):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return c
 
