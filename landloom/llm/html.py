@@ -21,7 +21,7 @@ RAW = frozenset("script style noscript template iframe textarea title svg".split
 #: Elements whose text is not split from what surrounds it.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var".split())
 #: Elements that are never part of an article.
-DROPPED = frozenset("nav footer aside dialog menu button select option fieldset head object canvas audio video map".split())
+DROPPED = frozenset("nav footer aside dialog menu button select option head object canvas audio video map".split())
 #: Words in class, id or role that mark an element as no part of an article, unless it holds most of the page's text.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs cookie cookies consent gdpr popup modal footer masthead topbar comment comments disqus reply replies respond share sharing related recommended newsletter subscribe subscription signup login pagination pager complementary contentinfo thread discussion".split())
 #: Words that do so unless a word of ``GOOD`` stands beside them.
@@ -29,8 +29,14 @@ WEAK_MARKS = frozenset("alert banner notice overlay search side skip social spon
 GOOD = frozenset("article body content entry main post story text".split())
 #: Marks of what may hold most of a page's text and still be no article.
 TALK = frozenset("comment comments consent cookie cookies disqus discussion gdpr replies reply respond thread".split())
+#: Beginnings of one-word names of such boxes, as in "commentlist", and of words that only look like them.
+TALK_STEMS, OTHER_STEMS = ("comment", "disqus", "replies"), ("commentar",)
+#: Words that name a single article, whose own header holds its title.
+PIECES = frozenset("article entry post story".split())
 #: A heading that begins a box of readers' comments.
 _TALK_HEADING = re.compile(r"\W*\d*\s*(?:(?:reader|user)s?\W*\s)?(?:comments?|replies|responses|discussion|(?:leave|post|add|write) an? (?:reply|comment))\W*\d*\W*", re.I)
+#: One that does so behind an article, where "Discussion" may be a chapter.
+_TALK_BEHIND = re.compile(r"\W*\d*\s*(?:(?:reader|user)s?\W*\s)?(?:comments?|replies|(?:leave|post|add|write) an? (?:reply|comment))\W*\d*\W*", re.I)
 #: Words that turn a mark around, as in "no-sidebar" or "has-comments".
 TURNS = frozenset("has no with without".split())
 #: An end or start of the second kind of element closes an open one of the first.
@@ -43,23 +49,29 @@ BESIDE = frozenset("ul ol dl pre table blockquote figure".split())
 BOXES = frozenset("ul ol dl table div section".split())
 #: Characters of a running paragraph, and of all that a marked element without other signs of an article must have.
 RUNNING, MUCH = 80, 200
+#: A container is left for one around it that holds this many times its running text, at a like share of links.
+CLIMB, LIKE_LINKS = 1.3, 0.1
+#: The page's only article is taken if it holds this share of the unlinked text, or the main heading.
+ARTICLE_SHARE = 1 / 10
 
 
 class Element:
     """An element: what its tag and names say, and sums over the text blocks in it."""
 
-    __slots__ = ("articles", "at", "block", "box", "chars", "child", "dropped", "fence", "first", "good", "half", "in_article", "kept", "last", "last_block", "links", "mark", "parent", "prose", "running", "score", "stays", "tag", "title")
+    __slots__ = ("articles", "at", "block", "box", "chars", "child", "dropped", "fence", "first", "good", "half", "in_article", "kept", "last", "last_block", "links", "mark", "parent", "prose", "running", "score", "stays", "tag", "talk_rank", "title")
 
-    def __init__(self, tag: str, parent: Element | None, depth: int = 0, at: int = 0, mark: str = "", good: bool = False):
+    def __init__(self, tag: str, parent: Element | None, depth: int = 0, at: int = 0, mark: str = "", good: bool = False, piece: bool = False):
         self.tag, self.parent, self.mark, self.good, self.at = tag, parent, mark, good, at
         self.dropped = mark == "dropped" or parent is not None and parent.dropped
-        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
+        self.in_article = piece or tag in ("article", "main") or parent is not None and parent.in_article
         #: Depths of the innermost elements around here that are no inline ones, and that no end tag of a paragraph goes beyond.
         self.block: Element = self if parent is None or tag not in INLINE else parent.block
         self.fence: int = depth if tag in FENCES or parent is None else parent.fence
         self.last, self.first, self.last_block = at, -1, -1
         self.score, self.chars, self.links = 0.0, 0, 0
         self.prose, self.running, self.title = 0, 0, False
+        #: Rank of the heading that says that the rest of this element is readers' comments; 0 for none.
+        self.talk_rank = 0
 
     def density(self) -> float:
         return self.links / self.chars if self.chars else 0.0
@@ -68,24 +80,25 @@ class Element:
 Block = tuple[Element, str, int, Element]
 
 
-def mark_of(tag: str, rest: str, in_article: bool) -> tuple[str, bool]:
-    """What an element's tag and names say: "dropped", a kind of mark or nothing, and whether they name an article.
+def mark_of(tag: str, rest: str, in_article: bool) -> tuple[str, bool, bool]:
+    """What an element's tag and names say: "dropped", a kind of mark or nothing, and whether they name an article, or a single one.
 
     A marked element is left out unless ``released`` finds that it holds the article.
     """
     if tag in DROPPED or tag == "header" and not in_article:
-        return "dropped", False
+        return "dropped", False, False
     words = {w.lower() for m in _NAMES.finditer(rest) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")} if "=" in rest else set()
-    good = bool(words & GOOD)
-    if tag == "form":
-        return "form", good
+    good, piece = bool(words & GOOD), bool(words & PIECES)
+    if tag in ("form", "fieldset"):
+        return "form", good, piece
     if tag in ("html", "body", "article", "main"):
-        return "", tag in ("article", "main")
+        return "", tag in ("article", "main"), False
     if words & TURNS:
-        return "", good
-    if words & MARKS or words & WEAK_MARKS and not good or "header" in words and not in_article and not good:
-        return "talk" if words & TALK else "mark", good
-    return "", good
+        return "", good, piece
+    talk = words & TALK or any(w.startswith(TALK_STEMS) and not w.startswith(OTHER_STEMS) for w in words)
+    if talk or words & MARKS or words & WEAK_MARKS and not good or "header" in words and not in_article and not good:
+        return "talk" if talk else "mark", good, False
+    return "", good, piece
 
 
 def parsed(page: str) -> tuple[list[Element], list[Block]]:
@@ -99,9 +112,10 @@ def parsed(page: str) -> tuple[list[Element], list[Block]]:
     opened: dict[str, list[int]] = defaultdict(list)  # depths of the open elements of a tag
     endless: set[str] = set()
     end = page.rfind(">") + 1  # no tag begins behind it
+    told = 0  # characters outside headings and links so far
 
     def close_block() -> None:
-        nonlocal links
+        nonlocal links, told
         if text:
             words = " ".join(entities.unescape("".join(text)).split())
             inner = stack[-1]
@@ -109,6 +123,10 @@ def parsed(page: str) -> tuple[list[Element], list[Block]]:
                 owner, box = inner.block, inner.block.parent
                 if owner.tag in HEADINGS and box is not None and box.first < 0 and box.tag in ("div", "section") and not box.mark and _TALK_HEADING.fullmatch(words):
                     box.mark = "talk"
+                elif owner.tag in HEADINGS and box is not None and told >= RUNNING and _TALK_BEHIND.fullmatch(words):
+                    owner.mark, box.talk_rank = "talk", int(owner.tag[1])
+                if owner.tag not in HEADINGS:
+                    told += len(words) - min(links, len(words))
                 e = inner
                 while e is not None and e.first < 0:
                     e.first = len(blocks)
@@ -165,6 +183,11 @@ def parsed(page: str) -> tuple[list[Element], list[Block]]:
         parent = stack[-1]
         opened[tag].append(len(stack))
         e = Element(tag, parent, len(stack), len(elements), *mark_of(tag, rest, parent.in_article))
+        if parent.talk_rank and tag not in INLINE:
+            if tag in HEADINGS and int(tag[1]) <= parent.talk_rank:
+                parent.talk_rank = 0
+            elif not e.mark:
+                e.mark = "talk"
         stack.append(e)
         elements.append(e)
         in_link += tag == "a"
@@ -250,7 +273,7 @@ def beside(blocks: list[Block], top: Element) -> set[int]:
         return sum(blocks[k][2] for k in unit[1]) / sum(len(blocks[k][1]) for k in unit[1])
 
     def heading(unit: tuple[Element | None, list[int]]) -> bool:
-        return all(blocks[k][0].tag in HEADINGS for k in unit[1])
+        return all(blocks[k][0].tag in HEADINGS for k in unit[1]) or unit[0] is not None and unit[0].tag == "header"
 
     held = [k for k, (child, _) in enumerate(units) if child is not None and child.kept is child]
     first, last = held[0], held[-1]
@@ -272,13 +295,48 @@ def beside(blocks: list[Block], top: Element) -> set[int]:
     return {at for k in chosen for at in units[k][1]}
 
 
+def only_article(elements: list[Element]) -> Element | None:
+    """The page's one outermost article, or main if there is no article, with a good part of the text or the main heading."""
+    for tag in ("article", "main"):
+        found, behind = [], 0
+        for e in elements:
+            if e.at >= behind and e.tag == tag and e.stays and e.prose:
+                found.append(e)
+                behind = e.last + 1
+        if found:
+            one = found[0]
+            return one if len(found) == 1 and (one.title or one.prose >= ARTICLE_SHARE * elements[0].prose) else None
+    return None
+
+
+def climbed(best: Element, bound: Element | None) -> Element:
+    """The container around ``best`` that holds the rest of an article cut into sections, up to ``bound``.
+
+    That is one with ``CLIMB`` times its running text, or with more of it and a
+    name of an article.  Of the body only the child on the way is taken, to be
+    held against its siblings.
+    """
+    below, e = best, best.parent
+    while best is not bound and e is not None:
+        more = e.running >= CLIMB * best.running or e.good and e.running > best.running
+        if more and best.running and e.density() <= best.density() + LIKE_LINKS:
+            best = below if e.tag in ("body", "html") else e
+        if e is bound:
+            break
+        below, e = e, e.parent
+    return best
+
+
 def main_text(page: str | None) -> str:
     """Text of the best container of a page and of its siblings that go with it.
 
     A block gives 1 point, 1 for each comma and up to 3 for each hundred
     characters; its container gets them, each further ancestor half of what the
     one below got.  Containers lose the share of their text that is in links;
-    article and main elements count double, those in a marked element half.
+    article and main elements count double, those in a marked element half.  If
+    the page has one article element, the best container is looked for in it and
+    its own siblings are kept only as headings and lists are; a
+    container that holds one section of an article is left for that of all.
     A sibling is kept if it has a fifth of the best score, or holds running
     text, or stands between or beside such blocks as headings and lists do.
     Lists and boxes inside the container that are links for the most part are
@@ -294,7 +352,7 @@ def main_text(page: str | None) -> str:
         e.half = p is not None and p.half or bool(e.mark) and e.mark != "form" and not e.good
     blocks = [b for b in every if b[3].stays]
     if not blocks:
-        bare = re.sub(r"(?i)</?form\b[^>]*>", "", page or "")
+        bare = re.sub(r"(?i)</?(?:form|fieldset)\b[^>]*>", "", page or "")
         return main_text(bare) if bare != (page or "") else ""  # some pages are one form
     if len(blocks) < len(every):
         summed(elements, blocks)
@@ -302,11 +360,13 @@ def main_text(page: str | None) -> str:
     def worth(e: Element) -> float:
         return e.score * (1 - e.density()) * (2 if e.tag in ("article", "main") else 1) * (0.5 if e.half else 1)
 
-    best = max((e for e in elements if e.score), key=worth)
+    article = only_article(elements)
+    pool = elements[article.at : article.last + 1] if article is not None else elements
+    best = climbed(max((e for e in pool if e.score), key=worth, default=article), article)
     top = best.parent
     for e in elements:
         p = e.parent
-        if e is best or p is not None and p is top and e.first >= 0 and (worth(e) >= worth(best) / 5 or e.tag == "p" and e.chars > 80 and e.density() < 0.25):
+        if e is best or best is not article and p is not None and p is top and e.first >= 0 and (worth(e) >= worth(best) / 5 or e.tag == "p" and e.chars > 80 and e.density() < 0.25):
             e.kept = e
         else:
             e.kept = p and p.kept

@@ -125,6 +125,11 @@ def test_id_files(spark, tmp_path, monkeypatch):
     assert parts.agg(F.max("n_docs")).first()[0] <= 50_000
     back = idfile.read_id_files(parts)
     assert back.agg(F.count("*"), F.sum("start"), F.max("n_tokens")).first() == (300_000, 300_000 * 299_999 // 2, 1)
+    ends = spark.createDataFrame([(-(2**63), "least"), (None, "none"), (0, ""), (2**63 - 1, "most")], "doc_id long, text string")
+    back = {r.doc_id: r for r in idfile.id_file_digest(ends, PATH).collect()}
+    assert set(back) == {-(2**63), None, 0, 2**63 - 1} and back[None].start == 0 and back[2**63 - 1].start + back[2**63 - 1].n_tokens == sum(r.n_tokens for r in back.values())
+    words = spark.createDataFrame([("12", "twelve"), ("no number", "x")], "doc_id string, text string")
+    assert {r.doc_id for r in idfile.id_file_digest(words, PATH).collect()} == {12, None}
     with pytest.raises(ValueError, match="does not fit"):
         idfile.pack(np.array([8], "<u4"), 3)
 
@@ -220,6 +225,69 @@ def test_html_keeps_what_goes_with_the_article(page, want):
     assert html.main_text(page) == want
 
 
+TWELVE = [f"Sentence {k} of twelve tells of rivers, fields and the towns beside them, and of what was found there by those who came." for k in range(12)]
+
+
+def paragraphs(some):
+    return "".join(f"<p>{x}</p>" for x in some)
+
+
+@pytest.mark.parametrize("cuts", [(0, 4, 8, 12), (0, 8, 12), (0, 2, 7, 12), (0, 3, 6, 9, 12)])
+@pytest.mark.parametrize("box", ["<section><div>{}</div></section>", "<div class=row><div class=col>{}</div></div>", "<section>{}</section>", "<div><div><div>{}</div></div></div>"])
+@pytest.mark.parametrize("around", ["<div id=content>{}</div>", "<div><div>{}</div></div>", "<article>{}</article>", "{}"])
+def test_html_article_in_sections(around, box, cuts):
+    body = around.format("".join(box.format(paragraphs(TWELVE[a:b])) for a, b in zip(cuts, cuts[1:])))
+    assert html.main_text(f"<body><nav>{HOME}</nav>{body}<footer>Rights</footer></body>") == " ".join(TWELVE)
+
+
+@pytest.mark.parametrize("around", ["<div id=content>{}</div>", "<article>{}</article>"])
+def test_html_small_sections_with_headings(around):
+    """A named container keeps sections of any size, and their headings."""
+    cuts = (0, 9, 11, 12)
+    parts = [(f"Part {a}", TWELVE[a:b]) for a, b in zip(cuts, cuts[1:])]
+    body = around.format("".join(f"<section><h2>{h}</h2><div>{paragraphs(x)}</div></section>" for h, x in parts))
+    assert html.main_text(f"<body><nav>{HOME}</nav>{body}<div class=sidebar><p>{LONG[0]}</p></div></body>") == " ".join(" ".join([h, *x]) for h, x in parts)
+
+
+def test_html_fieldsets_and_headers_of_posts():
+    assert html.main_text(f"<body><div class=post><fieldset>{PARAGRAPHS}</fieldset></div></body>") == ARTICLE
+    assert html.main_text(f"<body><div class=post>{PARAGRAPHS}<fieldset>Your name</fieldset></div></body>") == ARTICLE
+    assert html.main_text(f"<body><div class=post><header><h1>T</h1></header>{PARAGRAPHS}</div></body>") == "T " + ARTICLE
+    assert html.main_text(f"<body><div class=post><header><h1>T</h1><p>By me</p></header><div>{PARAGRAPHS}</div></div></body>") == "T By me " + ARTICLE
+    assert html.main_text(f"<body><header><h1>Site</h1></header><div class=post>{PARAGRAPHS}</div></body>") == ARTICLE
+
+
+@pytest.mark.parametrize(
+    "talk",
+    [
+        "<ol class=commentlist><li>{}</li></ol>",
+        "<div id=commentsWrap>{}</div>",
+        "<h2>Comments</h2><div>{}</div>",
+        "<h3>12 comments</h3><div>{}</div><div>{}</div><h4>Leave a reply</h4><div>Your name, please, and your mail.</div>",
+        "<div>{}</div>",
+        "<div class=box>{}</div><div class=box>{}</div>",
+    ],
+)
+def test_html_comments_beside_an_article_stay_out(talk):
+    short = "".join(f"<p>{x}</p>" for x in LONG[:3])
+    assert html.main_text(f"<body><article>{short}</article>{talk.replace('{}', paragraphs(TWELVE))}</body>") == " ".join(LONG[:3])
+
+
+@pytest.mark.parametrize("talk", ["<ol class=commentlist><li>{}</li></ol>", "<h2>Comments</h2><div>{}</div>", "<h3>3 Comments</h3>{}"])
+def test_html_comments_in_a_post_stay_out(talk):
+    assert html.main_text(f"<body><div class=post>{PARAGRAPHS}{talk.format(paragraphs(TWELVE))}</div></body>") == ARTICLE
+
+
+def test_html_headings_that_are_no_comments():
+    for page, want in (
+        (f"<div class=post><h1>T</h1><h4>3 Comments</h4>{PARAGRAPHS}</div>", f"T 3 Comments {ARTICLE}"),
+        (f"<div class=post>{PARAGRAPHS}<h2>Discussion</h2>{PARAGRAPHS}</div>", f"{ARTICLE} Discussion {ARTICLE}"),
+        (f"<div class=post>{PARAGRAPHS}<h2>Comments</h2><p>{TWELVE[0]}</p><h2>Methods</h2>{PARAGRAPHS}</div>", f"{ARTICLE} Methods {ARTICLE}"),
+        (f"<div class=commentary-post>{PARAGRAPHS}</div>", ARTICLE),
+    ):
+        assert html.main_text(page) == want
+
+
 def test_html_article_of_links():
     text = html.main_text("<body><div class=post>" + "".join(f"<p><a href={k}>A linked headline, number {k}</a> seen</p>" for k in range(9)) + "</div></body>")
     assert text == " ".join(f"A linked headline, number {k} seen" for k in range(9))
