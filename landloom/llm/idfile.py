@@ -4,7 +4,7 @@ A file holds ``MAGIC``, packed blocks of ``BLOCK_IDS`` ids each (the last one
 shorter), an index and the index's length as 8 bytes.  Every id takes the
 fewest bits that hold the vocabulary.  The index has the number of bits, of
 ids and of documents, the byte offset of each block, and each document's id,
-first position and length.  Any range of ids is read by way of the block offsets.
+first position and length, and whether it has an id at all.  Any range of ids is read by way of the block offsets.
 """
 
 from __future__ import annotations
@@ -26,15 +26,15 @@ from pyspark.sql import functions as F
 from landloom.llm.common import new_dir, written
 from landloom.llm.tokens import encoded, encoder
 
-MAGIC = b"IDBITS01"
+MAGIC = b"IDBITS02"
 #: A multiple of 8, so that every full block ends at a byte.
 BLOCK_IDS = 1 << 16
 #: A file is closed after the document that reaches this many ids, or this many documents.
 SHARD_IDS, SHARD_DOCS = 16 << 20, 1 << 20
+#: Characters of a text that decide between tasks where ids are equal.
+RANGE_CHARS = 64
 #: Documents of a batch of digests.
 BATCH_DOCS = 1 << 16
-#: Stands for a null document id in the index.
-NULL_ID = -(2**63)
 
 
 def bits_for(vocab: int) -> int:
@@ -80,11 +80,12 @@ class IdFileWriter:
         self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
         self.blocks: list[int] = []
-        self.docs = array("q")
+        self.docs, self.nameless = array("q"), bytearray()
         self.n_docs = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.extend((NULL_ID if doc_id is None else doc_id, self.n_ids, len(ids)))
+        self.docs.extend((doc_id or 0, self.n_ids, len(ids)))
+        self.nameless.append(doc_id is None)
         self.n_docs += 1
         self.n_ids += len(ids)
         self.waiting.append(ids)
@@ -103,7 +104,7 @@ class IdFileWriter:
 
     def close(self) -> None:
         self._flush(self.n_waiting)
-        index = struct.pack("<4q", self.bits, self.n_ids, self.n_docs, len(self.blocks)) + np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes()
+        index = struct.pack("<4q", self.bits, self.n_ids, self.n_docs, len(self.blocks)) + np.array(self.blocks, "<i8").tobytes() + np.array(self.docs, "<i8").tobytes() + bytes(self.nameless)
         self.out.write(index + struct.pack("<q", len(index)))
         self.out.close()
         self.fs.move(self.temp, self.path)
@@ -126,6 +127,7 @@ class IdFile:
         self.bits, self.n_ids, n_docs, n_blocks = struct.unpack_from("<4q", index)
         self.blocks = np.frombuffer(index, "<i8", n_blocks, 32)
         self.docs = np.frombuffer(index, "<i8", 3 * n_docs, 32 + 8 * n_blocks).reshape(n_docs, 3)
+        self.nameless = np.frombuffer(index, np.uint8, n_docs, 32 + 8 * n_blocks + 24 * n_docs)
 
     def read(self, start: int, count: int) -> np.ndarray:
         """Ids ``start`` up to ``start + count``; only their blocks are read."""
@@ -143,8 +145,8 @@ class IdFile:
             first = int(self.docs[row, 1])
             stop = max(row + 1, int(np.searchsorted(ends, first + step_ids, side="right")))
             ids = self.read(first, int(self.docs[stop - 1, 1:].sum()) - first)
-            for doc, at, count in self.docs[row:stop].tolist():
-                yield (None if doc == NULL_ID else doc), at, ids[at - first : at - first + count]
+            for (doc, at, count), nameless in zip(self.docs[row:stop].tolist(), self.nameless[row:stop].tolist(), strict=True):
+                yield (None if nameless else doc), at, ids[at - first : at - first + count]
             row = stop
 
     def close(self) -> None:
@@ -156,15 +158,18 @@ def write_id_files(docs: DataFrame, url: str, tokenizer_path: str, end_id: int,
 
     Returns the manifest: part, shard, url, n_docs, n_ids.  Files are in order
     of (part, shard).  Null texts are empty, so each document has its end id at
-    least; null ids come first; equal ids are in order of their texts; an empty
-    table gives no file; ids are longs or what casts to them.  A file ends at
+    least; null ids come first, with ids that are no numbers, which are null;
+    equal ids are in order of their texts; an empty table gives no file; ids are
+    longs or what casts to them.  A file ends at
     ``shard_ids`` ids or ``shard_docs`` documents, so its index is bounded, and
-    very long texts make it no longer than one of them.  Documents are dealt by ranges of id, so a task holds
-    one range and in memory one batch; a lost task is run again and writes the
+    very long texts make it no longer than one of them.  Documents are dealt by ranges of id and, within an
+    id, of the text's beginning, so rows of one id, or of none, lie in several tasks
+    (those that begin alike as well in one, which streams them); a task holds one range and in memory one batch; a lost task is run again and writes the
     same files.
     """
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = some.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    some = docs.select(F.col(id_col).try_cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a text's beginning sorts as the text does, and keeps the bounds of the ranges short
+    dealt = some.repartitionByRange("doc_id", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, enc, rows, out = TaskContext.get(), encoder(tokenizer_path), [], None
