@@ -23,55 +23,80 @@ from pyspark.sql import functions as F
 from landloom.llm.common import written
 from landloom.llm.components import connected_components
 
-BLOCK_DIMS = 8
+#: Axes of a block, and the most blocks: a vector goes to each, so more axes make wider blocks.
+BLOCK_DIMS, MOST_BLOCKS = 8, 8
+#: Components that are rotated; distances in these are no larger than in all, so the search stays whole, and what meets is checked on all.
+MOST_DIMS = 1_024
 #: Vectors of a cell that one task holds; fuller cells are dealt on more axes, and at the last ones to pairs of chunks.
 CHUNK_ROWS = 2_048
 #: Width of a cell in reaches of its block.
 CELL_REACHES = 4.0
 #: Axes of a block that cells are cut on at a time, and the offsets from a cell to the cells behind it.
 CELL_AXES = 2
+#: How often full cells are cut before they are dealt to pairs of chunks.
+CELL_LEVELS = 4
 BEHIND = ((0, 1), (1, -1), (1, 0), (1, 1))
 #: Axes on which the rows of a cell are cut into slabs, before the one they are swept on.
 SLAB_AXES = 5
 #: Pairs that one vectorised step looks at.
 PAIRS_AT_ONCE = 1 << 18
+#: Axes of a block by which pairs are left out at a time, and numbers that a step of the rotation holds.
+AXES_AT_ONCE, ROTATED_AT_ONCE = 16, 1 << 15
 _SLACK = 1e-9
 
 
 def moments(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Second moments of the unit vectors in column ``unit`` (dims x dims), summed over all rows."""
+    """Second moments of the first ``dims`` components of column ``unit`` (dims x dims), summed over all rows.
+
+    Each task sums its rows; the sums are added line by line, so the driver gets
+    ``dims`` arrays, at most ``MOST_DIMS``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
         for batch in batches:
             x = padded(batch.column(0), dims)
             total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(total.ravel())], ["cell", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims)), lists_of(total)], ["line", "s"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(padded(batch.column(1), dims).sum(axis=0) for batch in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), lists_of(total[None])], ["line", "s"])
+
+    lines = vectors.select("unit").mapInArrow(run, "line long, s array<double>").groupBy("line").applyInArrow(add, "line long, s array<double>")
+    out = np.zeros((dims, dims))
+    for r in lines.toLocalIterator():
+        out[r["line"]] = r["s"]
+    return out
+
 
-    got = vectors.select("unit").mapInArrow(run, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s")).collect()  # dims x dims rows
-    out = np.zeros(dims * dims)
-    for r in got:
-        out[r["cell"]] = r["s"]
-    return out.reshape(dims, dims)
+def lists_of(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
 
 
 def padded(lists: pa.Array, dims: int) -> np.ndarray:
-    """Lists of numbers as rows of ``dims`` doubles, zeros behind short ones."""
+    """Lists of numbers as rows of ``dims`` doubles, zeros behind short ones; what long ones have beyond is left out."""
     n = len(lists)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
     sizes = np.diff(lists.offsets.to_numpy())
     if (sizes == dims).all():
         return flat.reshape(n, dims)
     out = np.zeros((n, dims))
-    out[np.repeat(np.arange(n), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    row, place = np.repeat(np.arange(n), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    held = place < dims
+    out[row[held], place[held]] = flat[held]
     return out
 
 
 def rotated(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """x @ axes in an order of additions that doesn't depend on the number of rows."""
     out = np.zeros_like(x)
-    for k in range(x.shape[1]):
-        out += x[:, k : k + 1] * axes[k]
+    step = max(1, ROTATED_AT_ONCE // max(1, x.shape[1]))
+    for at in range(0, len(x), step):
+        some, turned = x[at : at + step], out[at : at + step]
+        for k in range(x.shape[1]):
+            turned += some[:, k : k + 1] * axes[k]
     return out
 
 
@@ -83,7 +108,7 @@ class Subspaces:
         values, axes = np.linalg.eigh(second)
         order = np.argsort(-values, kind="stable")
         self.axes, variance = axes[:, order], np.maximum(values[order], 0) + 1e-6 * max(values.sum(), 1e-300)
-        n = -(-dims // block_dims)
+        n = min(-(-dims // block_dims), MOST_BLOCKS)
         # the widest axes go to different blocks, so that each block has some to cut cells on
         self.blocks = [list(range(b, dims, n)) for b in range(n)]
         share = np.array([variance[b].sum() for b in self.blocks])
@@ -99,17 +124,19 @@ def dealt(rows: DataFrame, spaces: Subspaces, dims: int, level: int) -> DataFram
     """Rows again for each cell of the ``level``-th axes of their blocks that they are in or visit.
 
     At level 0 rows are (node, grp, times, unit) and go to all blocks; later
-    they have a block, and a path of cells that grows.  Bit ``level`` of
+    they have a block, their place in it, and a path of cells that grows.  Bit ``level`` of
     ``visits`` marks visitors: a pair counts where no bit is common, so that
     each pair within reach meets in one cell of a block.
     """
 
-    def cells(y: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        axes, width = spaces.blocks[block][level * CELL_AXES : (level + 1) * CELL_AXES], CELL_REACHES * spaces.reach[block]
-        x = np.zeros((len(y), CELL_AXES))
-        x[:, : len(axes)] = y[:, axes]
+    wide = max(map(len, spaces.blocks))
+
+    def cells(place: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        axes, width = range(len(spaces.blocks[block]))[level * CELL_AXES : (level + 1) * CELL_AXES], CELL_REACHES * spaces.reach[block]
+        x = np.zeros((len(place), CELL_AXES))
+        x[:, : len(axes)] = place[:, axes]
         home = np.floor(x / width).astype(np.int64)
-        yield np.arange(len(y)), home, 0
+        yield np.arange(len(place)), home, 0
         below = x - home * width
         for step in BEHIND if len(axes) == CELL_AXES else ((1, 0),) * len(axes):
             gap = np.where(np.array(step) > 0, width - below, np.where(np.array(step) < 0, below, 0.0))
@@ -119,12 +146,14 @@ def dealt(rows: DataFrame, spaces: Subspaces, dims: int, level: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = dict(zip(batch.schema.names, batch.columns, strict=True))
-            y = rotated(padded(named["unit"], dims), spaces.axes)
+            y = padded(named["place"], wide) if level else rotated(padded(named["unit"], dims), spaces.axes)
             of = named["block"].to_numpy() if level else None
-            found = []
-            for block in range(len(spaces.blocks)):
+            found, places = [], []
+            for block, axes in enumerate(spaces.blocks):
                 mine = np.flatnonzero(of == block) if level else np.arange(len(y))
-                for at, cell, bit in cells(y[mine], block):
+                place = y[mine][:, : len(axes)] if level else y[:, axes]
+                for at, cell, bit in cells(place, block):
+                    places.append(lists_of(place[at]))
                     found.append((mine[at], np.full(len(at), block), cell[:, 0], cell[:, 1], np.full(len(at), bit)))
             at, block, first, second, bit = (np.concatenate(c) for c in zip(*found, strict=True))
             take = pa.array(at)
@@ -134,10 +163,10 @@ def dealt(rows: DataFrame, spaces: Subspaces, dims: int, level: int) -> DataFram
             else:
                 path = pa.nulls(len(at), pa.string())
             kept = [named[c].take(take) for c in ("node", "grp", "times", "unit")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(block), pa.array(bit), path, pa.array(first), pa.array(second)], [*"node grp times unit block visits path first second".split()])
+            yield pa.RecordBatch.from_arrays([*kept, pa.concat_arrays(places), pa.array(block), pa.array(bit), path, pa.array(first), pa.array(second)], [*"node grp times unit place block visits path first second".split()])
 
-    out = rows.mapInArrow(run, "node long, grp string, times long, unit array<double>, block long, visits long, path string, first long, second long")
-    return out.select("node", "grp", "times", "unit", "block", "visits", F.concat_ws("/", "path", F.concat_ws(",", "first", "second")).alias("path"))
+    out = rows.mapInArrow(run, "node long, grp string, times long, unit array<double>, place array<double>, block long, visits long, path string, first long, second long")
+    return out.select("node", "grp", "times", "unit", "place", "block", "visits", F.concat_ws("/", "path", F.concat_ws(",", "first", "second")).alias("path"))
 
 
 def met(classes: DataFrame, spaces: Subspaces, dims: int, chunk_rows: int) -> DataFrame:
@@ -147,7 +176,7 @@ def met(classes: DataFrame, spaces: Subspaces, dims: int, chunk_rows: int) -> Da
     block.  Those that are as full on the last axes are dealt to pairs of chunks.
     """
     keys, parts = ["grp", "block", "path"], []
-    levels = -(-max(map(len, spaces.blocks)) // CELL_AXES)
+    levels = min(CELL_LEVELS, -(-max(map(len, spaces.blocks)) // CELL_AXES))
     rows = dealt(classes, spaces, dims, 0)
     for level in range(1, levels + 1):
         full = written(rows.groupBy(*keys).count().filter(F.col("count") > chunk_rows), "full-cells")
@@ -222,18 +251,34 @@ def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block, across = key[0].as_py(), key[3] != key[4]
-        x = padded(table["unit"].combine_chunks(), dims)
-        y = rotated(x, spaces.axes)
-        small, length = y[:, spaces.blocks[block]], np.sqrt(np.einsum("ij,ij->i", x, x))
+        units, places = table["unit"].combine_chunks(), table["place"].combine_chunks()
+        x = padded(units, int(pc.max(pc.list_value_length(units)).as_py()))  # vectors of a group are of one length
+        small, length = padded(places, len(spaces.blocks[block])), np.sqrt(np.einsum("ij,ij->i", x, x))
         chunk, times, node, visits = (table[c].to_numpy() for c in ("chunk", "times", "node", "visits"))
         n, left, right = len(x), [], []
 
+        turned, known = np.zeros((n, dims)), np.zeros(n, bool)
+
+        def turned_of(some: np.ndarray) -> np.ndarray:
+            new = some[~known[some]]
+            if len(new):
+                turned[new] = rotated(padded(units.take(pa.array(new)), dims), spaces.axes)
+                known[new] = True
+            return turned[some]
+
         def keep(pairs: list[tuple[np.ndarray, np.ndarray]]) -> None:
             p, q = (np.concatenate(c) for c in zip(*pairs, strict=True))
+            step = max(1, PAIRS_AT_ONCE * 8 // x.shape[1])
+            for at in range(0, len(p), step):
+                check(p[at : at + step], q[at : at + step])
+
+        def check(p: np.ndarray, q: np.ndarray) -> None:
             near = np.einsum("ij,ij->i", x[p], x[q]) / (length[p] * length[q]) >= cosine
             p, q = p[near], q[near]
             if len(p):
-                over = spaces.squares(y[p] - y[q]) - spaces.budget
+                some, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+                y = turned_of(some)
+                over = spaces.squares(y[place[: len(p)]] - y[place[len(p) :]]) - spaces.budget
                 inside = over <= 0
                 inside[~inside.any(axis=1), over[~inside.any(axis=1)].argmin(axis=1)] = True
                 mine = inside.argmax(axis=1) == block
@@ -245,9 +290,14 @@ def links(classes: DataFrame, spaces: Subspaces, dims: int, cosine: float, chunk
             good = (visits[p] & visits[q]) == 0
             if across:
                 good &= chunk[p] != chunk[q]
-            good &= ((small[p] - small[q]) ** 2).sum(axis=1) <= limit
-            if good.any():
-                waiting.append((p[good], q[good]))
+            p, q = p[good], q[good]
+            far = np.zeros(len(p))
+            for at in range(0, small.shape[1], AXES_AT_ONCE):
+                far += ((small[p, at : at + AXES_AT_ONCE] - small[q, at : at + AXES_AT_ONCE]) ** 2).sum(axis=1)
+                good = far <= limit
+                p, q, far = p[good], q[good], far[good]
+            if len(p):
+                waiting.append((p, q))
                 held += len(waiting[-1][0])
             if held > 65536:
                 keep(waiting)
@@ -313,7 +363,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, chunk_rows: int = CHU
     sound = hashed.filter("_label is not null").select("vec_id", "h1", "h2", "_label", "_v").mapInArrow(run, f"vec_id {kind}, h1 long, h2 long, _label string, unit array<double>").filter("unit is not null")
     classes = sound.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("times"), F.first("_label").alias("_label"), F.first("unit").alias("unit"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "least", "times", F.concat_ws(":", F.size("unit"), "_label").alias("grp"), "unit"), "vector-classes")
-    dims = classes.agg(F.max(F.size("unit"))).first()[0] or 1
+    dims = min(classes.agg(F.max(F.size("unit"))).first()[0] or 1, MOST_DIMS)
 
     spaces = Subspaces(moments(classes, dims), 2 - 2 * cosine, BLOCK_DIMS)
     found = written(links(classes.select("node", "grp", "times", "unit"), spaces, dims, cosine, chunk_rows), "vector-links")

@@ -615,6 +615,31 @@ def test_near_vectors(spark, chunk_rows):
     assert embeddings.near_vectors(empty(df)).count() == 0
 
 
+@pytest.mark.parametrize("most", [40, 1024])
+def test_near_vectors_of_many_components(spark, monkeypatch, most):
+    """Wide vectors go to few blocks; components beyond the rotated ones count in the check; one long vector changes nothing."""
+    monkeypatch.setattr(embeddings, "MOST_DIMS", most)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 200))
+    rows = [((centres[rng.integers(30)] + rng.normal(size=200) * rng.choice([0.05, 0.15, 0.4])).tolist(), int(rng.integers(2))) for _ in range(160)]
+    rows += [(rng.normal(size=5000).tolist(), 0)] + [(v + [0.0] * 5, 1) for v, _ in rows[:20]]
+    rows = [(k, v, lab) for k, (v, lab) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    n, root = brute_vectors(rows)
+    got = {r.vec_id: r for r in embeddings.near_vectors(df.repartition(3), chunk_rows=16).collect()}
+    assert [got[k].n_links for k in range(len(rows))] == n and sum(n) > 50 and [got[k].component_id for k in range(len(rows))] == root
+
+
+def test_vectors_of_many_components_are_dealt_to_few_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 768))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spaces = embeddings.Subspaces(x.T @ x, 2 - 2 * 0.98, embeddings.BLOCK_DIMS)
+    df = spark.createDataFrame([(k, "g", 1, v.tolist()) for k, v in enumerate(x)], "node long, grp string, times long, unit array<double>")
+    assert len(spaces.blocks) == 8 and embeddings.dealt(df, spaces, 768, 0).count() < 15 * len(x)
+    assert np.allclose(embeddings.moments(df, 768), x.T @ x)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 60), st.integers(1, 8), st.floats(0.001, 2))
 def test_close_pairs_meet_once(seed, n, dims, limit):
