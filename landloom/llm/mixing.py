@@ -144,9 +144,10 @@ def mix(docs: DataFrame, weights: list[int], share: float = 1.5, cap: float = 2.
 
     Sizes are words; the mix has ``share`` times all words, dealt to the sources
     by weight.  A document is taken whole, ``epochs`` times or once more, so a
-    source misses its target by less than half a document.  Null texts have
-    size 0 and are never taken; a null source is a source of its own; repeated
-    rows stay and are decided together; an empty table gives no row.
+    source misses its target by less than half a document, or by less than half
+    of all rows that repeat one id and text: these stay and are decided
+    together.  Null texts have size 0 and are never taken; a null source is a
+    source of its own; an empty table gives no row.
     """
     rows = written(keyed(docs, seed, id_col, text_col, source_col, [F.col(id_col).alias("doc_id")]), "mix-rows")
     out = passes(rows, plan(rows, weights, share, cap))

@@ -270,7 +270,8 @@ def grouped(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """Group of each language and source: gkey, grp, buckets.
 
     A source with fewer than ``least_rows`` vectors in a language is pooled with
-    others like it in that language, and these, if they are too few, with all.
+    others like it in that language, and these, if they are too few, with all
+    that are in the same case; a pool holds no vectors of larger sources.
     """
     from pyspark.sql import Window
 
