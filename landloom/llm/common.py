@@ -145,6 +145,6 @@ def per_batch(columns: Callable[[pa.RecordBatch], dict[str, pa.Array]], keep: bo
 def n_words(text) -> F.Column:
     """Number of words of a text column; 0 for null.  JVM only.
 
-    Each run of characters outside the ASCII white space becomes one mark.
+    Of each run of characters outside the ASCII white space its first one stays, of a text of white space alone nothing.
     """
-    return F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "x")), F.lit(0))
+    return F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]?)[^\x20\x09-\x0D]*[\x20\x09-\x0D]*", "$1")), F.lit(0))

@@ -674,6 +674,13 @@ def test_matches_sql(spark, duck, sf, name):
     assert key(got) == key(want)
 
 
+def test_mix_counts_no_words_in_white_space(spark):
+    rows = [(1, " ", "a"), (2, "\t\r\n  \x0b\x0c", "a"), (3, " b  c\n", "a"), (4, "\U0001d4b3 $1 \\", "b"), (5, "", "b"), (6, None, "b"), (7, "\x1c \x85", "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [3, 1, 2]).collect()
+    assert {r.doc_id: r["size"] for r in got} == {1: 0, 2: 0, 3: 2, 4: 3, 5: 0, 6: 0, 7: 2}
+    assert {(r.source_size, r.target) for r in got} == {(2, 4.0), (5, 6.5)}
+
+
 def test_mix(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "SORT_ROWS", 3)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
