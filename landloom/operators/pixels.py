@@ -12,7 +12,8 @@ INF = float("inf")
 
 
 def finite(x: Column) -> Column:
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(INF))
+    """Neither null nor infinite nor NaN, which is above all numbers; ``x`` stands here once, as filters repeat what they are made of."""
+    return F.coalesce(F.abs(x) < F.lit(INF), F.lit(False))
 
 
 def all_bands(ae: str = "ae") -> Column:
@@ -40,6 +41,17 @@ def all_known(columns: list[str]) -> Column:
     return reduce(Column.__and__, (finite(F.col(c)) for c in columns))
 
 
+def known(pixels: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``pixels`` with ``columns``, where all of these are finite and known.
+
+    The columns are fields of a one-row generator.  A filter on plain columns
+    would be put below them, with every band written out in each place that
+    uses it, as a method that the JVM only interprets.
+    """
+    fields = F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items()))))
+    return pixels.select("*", fields).filter(all_known(list(columns)))
+
+
 def fused(pixels: DataFrame, indices: list[str], ae: str = "ae") -> DataFrame:
     """One vector of bands and indices; rows whose vector is short or not finite go."""
     out = pixels.withColumn("features", F.concat(F.col(ae).cast("array<double>"), F.array(*(F.col(c).cast("double") for c in indices))))

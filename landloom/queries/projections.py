@@ -60,7 +60,7 @@ def p14_labelled(spark, d):
 @query(f"SELECT px_row, px_col, part FROM {BANDS} WHERE b8 IS NOT NULL AND b8 + b4 <> 0 AND b8 + b11 <> 0 AND b3 + b8 <> 0 AND b11 + b3 <> 0")
 def p15_known_indices(spark, d):
     some = {k: v for k, v in I.all_indices().items() if k in ("ndvi", "ndmi", "ndwi", "ndpi", "ndbi")}
-    return table(spark, d, "band_pixels").withColumns(some).filter(P.all_known(list(some))).select("px_row", "px_col", "part")
+    return P.known(table(spark, d, "band_pixels"), some).select("px_row", "px_col", "part")
 
 
 _IDX = [f"i{k}" for k in range(10)]

@@ -19,6 +19,7 @@ from landloom.operators import runs as RU
 from landloom.operators import sampling as S
 from landloom.operators import vector as V
 from landloom.plans import block_bootstrap, change_analysis, sampling
+from landloom.queries import QUERIES, load
 from landloom.sources import tables as T
 from landloom.sources.derived import table
 
@@ -228,3 +229,13 @@ def test_entry_works_without_the_optional_part():
     code = "import sys; sys.modules['tokenizers'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) >= 222 and int(out[1]) >= 200
+
+
+def test_known_indices_are_computed_below_the_filter(spark, sf):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, nan, 2.0), (4, 1.0, inf), (5, 1.0, -inf), (6, 0.0, -3.0), (7, 1.0, None)], "id int, a double, b double")
+    assert [r.id for r in P.known(df, {"s": F.col("a") + 0, "t": F.col("b") * 2}).collect()] == [1, 6]
+    load()
+    plan = QUERIES["p15_known_indices"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("CASE WHEN" in line for line in filters)
