@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from landloom.functions import indices as I
 from landloom.functions import names as N
 from landloom.functions.recode import MAJOR, PAIRS, recoded
+from landloom.functions.rounding import scaled_round
 from landloom.operators import grid as G
 from landloom.operators import pixels as P
 from landloom.queries import query
@@ -69,7 +70,7 @@ _IDX = [f"i{k}" for k in range(10)]
 @query("SELECT sample_id, 74 AS n, round(list_sum(list_transform(ae, lambda x: x::DOUBLE)) + (sample_id % 13) * 45, 6) AS total FROM {ae_pixels}")
 def p16_fused_features(spark, d):
     p = table(spark, d, "ae_pixels").withColumns({c: (F.col("sample_id") % 13) * k for k, c in enumerate(_IDX)})
-    return P.fused(p, _IDX).select("sample_id", F.size("features").alias("n"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return P.fused(p, _IDX).select("sample_id", F.size("features").alias("n"), scaled_round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
 _U = "xor(xor(px_row // 5 * 73856093, px_col // 5 * 19349663), 42::BIGINT * 83492791) % 10000000 / 10000000.0::DOUBLE"
@@ -83,8 +84,8 @@ def p17_p40_split(spark, d):
 
 @query("SELECT sample_id, list_transform(ae, lambda x: round((x::DOUBLE - 0.125) / 0.25, 6)) AS z FROM {ae_pixels}")
 def p18_standardised(spark, d):
-    mu, sigma = F.array_repeat(F.lit(0.125), 64), F.array_repeat(F.lit(0.25), 64)
-    return table(spark, d, "ae_pixels").select("sample_id", F.transform(P.standardised("ae", mu, sigma), lambda x: F.round(x, 6)).alias("z"))
+    mu, sigma = (F.array_repeat(F.lit(v), F.size("ae")) for v in (0.125, 0.25))
+    return table(spark, d, "ae_pixels").select("sample_id", F.transform(P.standardised("ae", mu, sigma), lambda x: scaled_round(x)).alias("z"))
 
 
 _TEN = "list_transform(ae[1:10], lambda x: exp(x::DOUBLE * 8 - list_max(ae[1:10])::DOUBLE * 8))"
@@ -165,7 +166,7 @@ def p41_shifted_logits(spark, d):
     from math import log
 
     p = table(spark, d, "ae_pixels").withColumn("logits", F.slice("ae", 1, 10).cast("array<double>"))
-    return p.select("sample_id", F.transform(P.shifted_logits("logits", [log(k / 55) for k in range(1, 11)], 0.5), lambda x: F.round(x, 6)).alias("shifted"))
+    return p.select("sample_id", F.transform(P.shifted_logits("logits", [log(k / 55) for k in range(1, 11)], 0.5), lambda x: scaled_round(x)).alias("shifted"))
 
 
 @query("SELECT c_custkey, regexp_replace(regexp_replace(concat('#', c_name, ' / ', c_mktsegment, '!'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') AS stem FROM {customer}")

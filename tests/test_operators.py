@@ -239,3 +239,20 @@ def test_known_indices_are_computed_below_the_filter(spark, sf):
     plan = QUERIES["p15_known_indices"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("CASE WHEN" in line for line in filters)
+
+
+def test_standardised_pixels_equal_sql_to_the_sign_of_zero(spark, tmp_path):
+    """Values next to the mean, ties, large ones, none, and vectors of other lengths."""
+    import duckdb
+
+    from landloom.queries import ORACLES
+
+    load()
+    near = [0.125 - k * 2.0**-27 for k in range(40)] + [0.125 + k * 2.0**-27 for k in range(24)]
+    odd = [None, float("nan"), float("inf"), -float("inf"), 3e38, -3e38, 1e10, 123456.79, 0.126953125, 0.123046875, -0.0]
+    rows = [(0, near, 1), (1, odd, 1), (2, [0.5] * 63, 2), (3, [0.1] * 65, 2), (4, None, 3), (5, [], None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = duckdb.connect().execute(ORACLES["p18_standardised"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")).fetchall()
+    got = QUERIES["p18_standardised"](spark, str(tmp_path)).collect()
+    assert {r.sample_id: repr(r.z) for r in got} == {k: repr(z) for k, z in want}
+    assert any(repr(v) == "-0.0" for v in dict(want)[0])
