@@ -47,9 +47,15 @@ def write_samples(samples: DataFrame, statistics: DataFrame, meta: dict[str, str
 
 
 def write_raster(pixels: DataFrame, path: str, size: int) -> None:
-    """Pixels by year and row of tiles, each file in order of place, so that windows skip files."""
+    """Pixels by year and row of tiles, all in order of place.
+
+    Ranges of tile rows, not single ones, make a file, so that their number is
+    that of tasks however high the raster is; windows skip files and parts of
+    files by the least and greatest ``tile_r`` in them.
+    """
     keyed = pixels.withColumn("tile_r", F.expr(f"px_row div {size}"))
-    keyed.repartition("year", "tile_r").sortWithinPartitions("year", "tile_r", "px_row", "px_col").write.mode("overwrite").partitionBy("year", "tile_r").parquet(path)
+    place = ["year", "tile_r", "px_row", "px_col"]
+    keyed.repartitionByRange(*place).sortWithinPartitions(*place).write.mode("overwrite").parquet(path)
 
 
 def write_report(rows: DataFrame, path: str, columns: list[str]) -> None:

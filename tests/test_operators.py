@@ -256,3 +256,15 @@ def test_standardised_pixels_equal_sql_to_the_sign_of_zero(spark, tmp_path):
     got = QUERIES["p18_standardised"](spark, str(tmp_path)).collect()
     assert {r.sample_id: repr(r.z) for r in got} == {k: repr(z) for k, z in want}
     assert any(repr(v) == "-0.0" for v in dict(want)[0])
+
+
+def test_raster_files_do_not_grow_with_rows_of_tiles(spark, tmp_path):
+    """Each file holds a range of tile rows in order, and no two files of a year share one."""
+    rows = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("px_row"), F.lit(3).alias("px_col"), F.when(F.col("id") % 2 == 0, 2017).otherwise(2024).alias("year"), F.col("id").alias("v"))
+    T.write_raster(rows, str(tmp_path / "r"), 16)
+    back = spark.read.parquet(str(tmp_path / "r"))
+    assert sorted(map(tuple, back.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert back.filter("tile_r <> px_row div 16").count() == 0
+    spans = back.groupBy(F.input_file_name().alias("f"), "year").agg(F.min("px_row").alias("lo"), F.max("px_row").alias("hi")).orderBy("year", "lo").collect()
+    assert len({s.f for s in spans}) <= 20
+    assert all(a.year != b.year or a.hi < b.lo for a, b in zip(spans, spans[1:], strict=False))
