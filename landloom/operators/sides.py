@@ -32,6 +32,11 @@ def keyed(features: DataFrame) -> DataFrame:
     return features.withColumn("_key", F.xxhash64(*features.columns))
 
 
+def with_features(cells: DataFrame, features: DataFrame) -> DataFrame:
+    """``cells`` with the columns of the keyed ``features``; both are shuffled, as features may be too many to meet in the driver for a broadcast."""
+    return cells.join(features.hint("merge"), "_key")
+
+
 def side_rows(shapes: DataFrame) -> DataFrame:
     """Sides of the rings of ``shapes`` (_key, rings): _key, px, py, qx, qy.
 
@@ -182,7 +187,7 @@ def points_in(points: DataFrame, features: DataFrame, cell: float, how: str) ->
     for cells, step in cells_of(side_rows(shapes.select("_key", "rings")), cell):
         cells = cells.withColumnsRenamed({"cy": "_fy", "cx": "_fx"})
         if how != "left_semi" and len(features.columns) > 1:
-            cells = cells.join(shapes.drop("rings"), "_key")
+            cells = with_features(cells, shapes.drop("rings"))
         cells = cells.drop("_key").withColumnsRenamed({"parity": "_parity", "sides": "_sides"})
         out.append(_met(left, cells, step, how))
         if how == "left_semi":

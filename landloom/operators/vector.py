@@ -119,7 +119,7 @@ def burned(features: DataFrame, step: float) -> DataFrame:
     """
     shapes = S.keyed(features)
     ok = F.when(F.col("class_id").between(1, 10), F.col("class_id")).otherwise(F.raise_error(F.lit("class is none of the ten")).cast("int"))
-    cells = S.filled(S.side_rows(shapes.select("_key", "rings")), step).join(shapes.select("_key", "feature_id", "class_id"), "_key")
+    cells = S.with_features(S.filled(S.side_rows(shapes.select("_key", "rings")), step), shapes.select("_key", "feature_id", "class_id"))
     return cells.groupBy("cx", "cy").agg(F.max_by(ok, "feature_id").alias("class_id"))
 
 
@@ -132,7 +132,7 @@ def touched(features: DataFrame, step: float) -> DataFrame:
     box, shapes = bounds(), S.keyed(features)
     edge = {"_cx0": F.floor(box["minx"] / step), "_maxx": F.ceil(box["maxx"] / step) - 1, "_cy0": F.floor(box["miny"] / step), "_maxy": F.ceil(box["maxy"] / step) - 1}
     s = S.side_rows(shapes.select("_key", "rings"))
-    cells = S.filled(s, step).unionByName(S.along(s, step)).distinct().join(shapes.withColumns(edge).select("_key", "feature_id", *edge), "_key")
+    cells = S.with_features(S.filled(s, step).unionByName(S.along(s, step)).distinct(), shapes.withColumns(edge).select("_key", "feature_id", *edge))
     return cells.filter(F.col("cx").between(F.col("_cx0"), F.col("_maxx")) & F.col("cy").between(F.col("_cy0"), F.col("_maxy"))).select("feature_id", "cx", "cy")
 
 

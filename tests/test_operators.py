@@ -268,3 +268,9 @@ def test_raster_files_do_not_grow_with_rows_of_tiles(spark, tmp_path):
     spans = back.groupBy(F.input_file_name().alias("f"), "year").agg(F.min("px_row").alias("lo"), F.max("px_row").alias("hi")).orderBy("year", "lo").collect()
     assert len({s.f for s in spans}) <= 20
     assert all(a.year != b.year or a.hi < b.lo for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_features_are_not_broadcast_to_cells(spark, sf):
+    load()
+    for name in ("g24_burned_labels", "g25_touched_cells"):
+        assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
