@@ -41,12 +41,14 @@ def side_rows(shapes: DataFrame) -> DataFrame:
     """Sides of the rings of ``shapes`` (_key, rings): _key, px, py, qx, qy.
 
     Equal features give their sides once.  That step deals the sides of each
-    feature to all tasks.  Sides without length are left out.
+    feature to all tasks.  Before it, features are dealt, as a table of a
+    single file is one task, and equal sides are sought only after both, so
+    that no task gathers the sides of all.  Sides without length are left out.
     """
-    ring = shapes.select("_key", F.posexplode("rings").alias("_ring", "r"))
+    ring = shapes.repartition("_key").select("_key", F.posexplode("rings").alias("_ring", "r"))
     nxt = F.concat(F.slice("r", F.lit(2), F.size("r")), F.slice("r", 1, 1))
     s = ring.select("_key", "_ring", F.posexplode(F.arrays_zip(F.col("r").alias("p"), nxt.alias("q"))).alias("_at", "s"))
-    flat = s.select("_key", "_ring", "_at", *(F.col(f"s.{e[0]}.{e[1]}").alias(e) for e in _ENDS)).dropDuplicates(["_key", "_ring", "_at"])
+    flat = s.select("_key", "_ring", "_at", *(F.col(f"s.{e[0]}.{e[1]}").alias(e) for e in _ENDS)).repartition("_key", "_ring", "_at").dropDuplicates(["_key", "_ring", "_at"])
     return flat.filter("px <> qx OR py <> qy").select("_key", *_ENDS)
 
 

@@ -274,3 +274,9 @@ def test_features_are_not_broadcast_to_cells(spark, sf):
     load()
     for name in ("g24_burned_labels", "g25_touched_cells"):
         assert "Broadcast" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_sides_are_dealt_before_equal_ones_are_sought(spark, sf):
+    load()
+    plan = QUERIES["g24_burned_labels"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
